@@ -8,20 +8,24 @@ from panelweave.plans.views import table
 from panelweave.registry import query
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def bars(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Tumbling bars per user on event time; rows later than ``late`` are dropped on a stream."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = timed(events, late)
     at = F.struct("ts", "event_id")
     return e.groupBy(F.window("ts", width).alias("w"), "user_id").agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "open", "high", "low", "close", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = timed(events, late)
     return e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
 def rolling(events: DataFrame, width: str = "7 days", slide: str = "1 day", late: str = "8 days") -> DataFrame:
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = timed(events, late)
     return e.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), rounded(F.avg("value"), 4).alias("mean")).select("event_type", F.col("w.start").alias("start"), "n", "mean")
 
 

@@ -63,7 +63,7 @@ def links(fp: np.ndarray, end: np.ndarray, radius: int, block: int = 1 << 15) ->
     lanes = np.zeros(-(-n // 64) * 64, np.uint64)
     lanes[:n] = fp
     bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(bits.T.reshape(64, -1, 64), axis=2, bitorder="little").view("<u8")[:, :, 0]  # [bit, word]
+    planes = np.packbits(np.ascontiguousarray(bits.T).reshape(64, -1, 64), axis=2, bitorder="little").reshape(64, -1).view("<u8")  # [bit, word]
     first = np.arange(n) // 64
     count = np.where(end > np.arange(n) + 1, (end - 1) // 64 - first + 1, 0)
     left, right = [], []

@@ -15,6 +15,7 @@ between two such places is solved once per worker and remembered.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,14 +24,16 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.shared import column, materialize, pieces, ship
 from panelweave.llm.tokens import vocabulary
 
-CHUNK, MEMO, NONE = 1 << 14, 400_000, float("-inf")
+CHUNK, MEMO, NONE = 1 << 14, 600_000, float("-inf")
 SPACE = "▁"
+MEETING = re.compile(f"(?<!{SPACE}){SPACE}")
 RESULT = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -45,6 +48,12 @@ class Pieces:
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.names = [model.id_to_piece(i) for i in ids]
         self.score = {self.names[i]: (model.get_score(i), i) for i in plain}
+        self.trie: dict = {}  # character -> (score of what is read so far or None, what can follow)
+        for piece in sorted(self.score, key=len):  # beginnings come before what they begin
+            kids = self.trie
+            for c in piece[:-1]:
+                kids = kids.setdefault(c, (None, {}))[1]
+            kids[piece[-1]] = (self.score[piece][0], kids.get(piece[-1], (None, {}))[1])
         self.unknown = min(s for s, _ in self.score.values()) - 10
         self.bytes = {int(self.names[i][3:5], 16): i for i in ids if model.is_byte(i)}
         self.reach = max(map(len, self.score))
@@ -61,28 +70,35 @@ class Pieces:
 
     def forward(self, text: str, best: list[float], begin: int) -> tuple[list[float], list[int]]:
         """Best scores and last starts at positions after ``begin``; ``best`` holds those up to it. Ties go to the longest piece."""
-        get, reach, unknown = self.score.get, self.reach, self.unknown
-        best, back = best[: begin + 1] + [NONE] * (len(text) - begin), [0] * (len(text) + 1)
-        for end in range(begin + 1, len(text) + 1):
-            top, at = NONE, end - 1
-            for start in range(max(0, end - reach), end):
-                found = get(text[start:end])
-                if found is not None and best[start] != NONE:
-                    value = best[start] + found[0]
-                    if value > top:
-                        top, at = value, start
-            if text[end - 1] not in self.score and best[end - 1] != NONE and best[end - 1] + unknown > top:
-                top, at = best[end - 1] + unknown, end - 1
-            best[end], back[end] = top, at
+        n, chars, root, limit = len(text), list(text), self.trie, len(text)
+        best, back = best[: begin + 1] + [NONE] * (n - begin), [0] * (n + 1)
+        for start in range(n):
+            so_far = best[start]
+            if so_far == NONE:
+                continue
+            kids, end = root, start
+            while end < limit:
+                node = kids.get(chars[end])
+                if node is None:
+                    break
+                score, kids = node
+                end += 1
+                if score is not None and so_far + score > best[end] and end > begin:
+                    best[end], back[end] = so_far + score, start
+            if start >= begin and chars[start] not in self.score and so_far + self.unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = so_far + self.unknown, start
         return best, back
 
     def trace(self, text: str, back: list[int], end: int, stop: int) -> tuple[list[int], int]:
         """Ids of the pieces that end in ``(stop, end]``, and where the first of them starts."""
-        found = []
+        found, score = [], self.score
         while end > stop:
-            found.append(text[back[end] : end])
-            end = back[end]
-        return [i for p in reversed(found) for i in self.ids_of(p)], end
+            piece, end = text[back[end] : end], back[end]
+            if piece in score:
+                found.append(score[piece][1])
+            else:
+                found.extend(reversed(self.ids_of(piece)))
+        return found[::-1], end
 
     def run(self, run: str) -> tuple[float, bytes]:
         """Score and ids of a run whose both ends all paths meet at."""
@@ -103,12 +119,8 @@ class Pieces:
         if SPACE * 2 not in text:
             head, *rest = text.split(SPACE)
             return [x for x in (head, *[SPACE + r for r in rest]) if x]
-        found, at = [], 0
-        for k in range(1, len(text)):
-            if text[k] == SPACE and text[k - 1] != SPACE:
-                found.append(text[at:k])
-                at = k
-        return [*found, text[at:]]
+        at = [0, *[m.start() for m in MEETING.finditer(text) if m.start()], len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole normalised text: one chunk, entered and left in the state of no overhang."""
@@ -125,20 +137,17 @@ class Pieces:
         """
         text, lead, reach = left + own, len(left), self.reach
         out = np.full((reach, reach), NONE)
-        cuts = self.meeting(text, lead)
-        if len(cuts) > 1 and len(text) - cuts[-2] >= reach:
-            a = cuts[0]
-            # from the first meeting to the last but as many as the exit states span, all states share the way
-            b = max(c for c in cuts if len(text) - c >= reach - 1) if any(len(text) - c >= reach - 1 for c in cuts) else cuts[0]
-            middle = sum(self.run(r)[0] for r in self.runs(text[a:b])) if b > a else 0.0
+        met = self.meeting(text, lead)
+        if met:
+            # All states share the way from the first meeting to the last. Its score is left out: a number added to a whole
+            # matrix changes no choice.
+            a, b = met
             tail, _ = self.forward(text[b:], [0.0], 0)
             for d in range(min(reach, lead + 1)):
                 start = [NONE] * (lead + 1)
                 start[lead - d] = 0.0
                 head = self.forward(text[:a], start, lead)[0][-1]
-                for e in range(reach):
-                    if len(text) - e - b >= 0:
-                        out[d, e] = head + middle + tail[len(text) - e - b]
+                out[d] = [head + tail[len(text) - e - b] for e in range(reach)]
             return out
         for d in range(min(reach, lead + 1)):
             start = [NONE] * (lead + 1)
@@ -148,30 +157,34 @@ class Pieces:
                 out[d, e] = best[len(text) - e]
         return out
 
-    def meeting(self, text: str, lead: int) -> list[int]:
-        """Positions after ``lead`` at which all paths meet."""
-        if not self.cuts:
-            return []
-        return [k for k in range(lead + 1, len(text)) if text[k] == SPACE and text[k - 1] != SPACE]
-
-    def segments(self, left: str, own: str, entry: np.ndarray) -> tuple[list[bytes], list[int]]:
-        """For each exit state the ids of pieces that end in the chunk, and the state it was entered in."""
+    def meeting(self, text: str, lead: int) -> tuple[int, int] | None:
+        """The first position after ``lead`` at which all paths meet, and the last that no exit state precedes; None without both."""
+        first = MEETING.search(text, lead + 1) if self.cuts else None
+        most = len(text) - self.reach + 1
+        if first is None or first.start() > most:
+            return None
+        for back in (64, 1024, len(text)):
+            last = [m.start() for m in MEETING.finditer(text, max(lead + 1, most - back)) if m.start() <= most]
+            if last:
+                return first.start(), last[-1]
+        return None
+
+    def segments(self, left: str, own: str, entry: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
+        """Ids of pieces that end in the chunk: those that all exit states share, then the rest for each exit state; and the state that each was entered in."""
         text, lead, reach = left + own, len(left), self.reach
         start = [entry[lead - k] if lead - k < reach else NONE for k in range(lead + 1)]
-        cuts = self.meeting(text, lead)
-        exits = range(min(reach, len(own)))
-        a = cuts[0] if cuts else None
-        b = max((c for c in cuts if len(text) - c >= reach - 1), default=a)
-        if a is None or len(text) - b < reach - 1:
+        met, exits = self.meeting(text, lead), range(min(reach, len(own)))
+        if met is None:
             _, back = self.forward(text, start, lead)
             found = [self.trace(text, back, len(text) - e, lead) for e in exits]
-            return [array("I", ids).tobytes() for ids, _ in found], [lead - at for _, at in found]
+            return b"", [array("I", ids).tobytes() for ids, _ in found], [lead - at for _, at in found]
+        a, b = met
         _, back = self.forward(text[:a], start, lead)
         ids, at = self.trace(text[:a], back, a, lead)
         common = array("I", ids).tobytes() + (self.encode(text[a:b]) if b > a else b"")
         _, back = self.forward(text[b:], [0.0], 0)
         tails = [array("I", self.trace(text[b:], back, len(text) - e - b, 0)[0]).tobytes() for e in exits]
-        return [common + t for t in tails], [lead - at] * len(tails)
+        return common, tails, [lead - at] * len(tails)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
@@ -203,9 +216,13 @@ def own_pieces(path: str) -> Pieces:
     return _OWN[path]
 
 
-def digest(model: Pieces, doc_id: int | None, text: str, raw: bytes) -> tuple:
+def text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.replace(SPACE, " ").encode("utf-8", "surrogatepass")) >> 1
+
+
+def digest(model: Pieces, doc_id: int | None, hashed: int, raw: bytes) -> tuple:
     ids = np.frombuffer(raw, np.uint32)
-    return doc_id, len(ids), zlib.crc32(raw), model.decode(ids) == text.replace(SPACE, " ")
+    return doc_id, len(ids), zlib.crc32(raw), text_hash(model.decode(ids)) == hashed
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -214,10 +231,11 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, chunk: int) -> Iterator[p
     for batch in pieces(batches):
         rows = []
         for row, doc_id, text in zip(column(batch, "row"), column(batch, "doc_id"), column(batch, "text")):
+            hashed = text_hash(text or "")
             text = own_pieces(path).normalize(text or "")
             for k in range(max(1, -(-len(text) // chunk))):
-                rows.append((row, doc_id, k, text[max(0, k * chunk - reach + 1) : k * chunk], text[k * chunk : (k + 1) * chunk]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["row", "doc_id", "k", "left", "own"])
+                rows.append((row, doc_id, hashed, k, text[max(0, k * chunk - reach + 1) : k * chunk], text[k * chunk : (k + 1) * chunk]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["row", "doc_id", "hashed", "k", "left", "own"])
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -242,28 +260,25 @@ def _entries(frame: pd.DataFrame) -> pd.DataFrame:
 def _segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = own_pieces(path)
     for batch in pieces(batches, "own"):
-        ids, states, texts = [], [], []
-        for left, own, entry in zip(column(batch, "left"), column(batch, "own"), column(batch, "entry")):
-            a, b = model.segments(left, own, np.frombuffer(entry))
-            ids.append(a)
-            states.append(b)
-            texts.append(own)
-        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in ("row", "doc_id", "k")], pa.array(texts), pa.array(ids, pa.list_(pa.binary())), pa.array(states, pa.list_(pa.int32()))], names=["row", "doc_id", "k", "own", "ids", "states"])
+        found = [model.segments(left, own, np.frombuffer(entry)) for left, own, entry in zip(column(batch, "left"), column(batch, "own"), column(batch, "entry"))]
+        made = [pa.array(x, t) for x, t in zip(zip(*found), (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
+        kept = ("row", "doc_id", "hashed", "k")
+        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in kept], *made], names=[*kept, "common", "tails", "states"])
 
 
-def resolve(ids: list, states: list) -> bytes:
+def resolve(common: list, tails: list, states: list) -> bytes:
     """The ids of a document from its chunks' alternatives, from the last chunk backwards."""
     state, found = 0, []
-    for own, entered in zip(reversed(ids), reversed(states)):
-        found.append(own[state])
+    for shared, own, entered in zip(reversed(common), reversed(tails), reversed(states)):
+        found += [own[state], shared]
         state = int(entered[state])
     return b"".join(reversed(found))
 
 
 def _resolved(frame: pd.DataFrame, path: str) -> pd.DataFrame:
     frame, model = frame.sort_values("k"), own_pieces(path)
-    text = "".join(frame["own"])[1:]
-    return pd.DataFrame([digest(model, frame["doc_id"].iloc[0], text, resolve(list(frame["ids"]), list(frame["states"])))], columns=[x.split()[0] for x in RESULT.split(", ")])
+    raw = resolve(list(frame["common"]), list(frame["tails"]), list(frame["states"]))
+    return pd.DataFrame([digest(model, frame["doc_id"].iloc[0], frame["hashed"].iloc[0], raw)], columns=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def _short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -271,7 +286,7 @@ def _short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in pieces(batches):
         rows = []
         for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
-            rows.append(digest(model, doc_id, text or "", model.encode(model.normalize(text or ""))))
+            rows.append(digest(model, doc_id, text_hash(text or ""), model.encode(model.normalize(text or ""))))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
@@ -288,8 +303,10 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     long = F.length("text") >= chunk
     short = docs.where(long.isNull() | ~long).mapInArrow(partial(_short, path=path), RESULT)
     rows = docs.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = materialize(rows.mapInArrow(partial(_cut, path=path, chunk=chunk), "row long, doc_id long, k int, left string, own string"), "chunks")
-    matrices = parts.select("row", "k", "left", "own").repartition("row", "k").mapInArrow(partial(_matrices, path=path), "row long, k int, m binary")
+    parts = materialize(rows.mapInArrow(partial(_cut, path=path, chunk=chunk), "row long, doc_id long, hashed long, k int, left string, own string"), "chunks")
+    matrices = parts.select("row", "k", "left", "own").mapInArrow(partial(_matrices, path=path), "row long, k int, m binary")
     entries = matrices.groupBy("row").applyInPandas(_entries, "row long, k int, entry binary")
-    segments = parts.join(entries, ["row", "k"]).mapInArrow(partial(_segments, path=path), "row long, doc_id long, k int, own string, ids array<binary>, states array<int>")
+    # A fixed number of partitions by the join's keys: the work that follows is in the CPU, not in the bytes.
+    dealt = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "k")
+    segments = dealt.join(entries, ["row", "k"]).mapInArrow(partial(_segments, path=path), "row long, doc_id long, hashed long, k int, common binary, tails array<binary>, states array<int>")
     return short.unionByName(segments.groupBy("row").applyInPandas(lambda frame: _resolved(frame, path), RESULT))

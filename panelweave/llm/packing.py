@@ -138,14 +138,15 @@ class Packer:
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     tok = tokenizer(path, "word")
-    stops = sentence_ids(tok.tokenizer)
+    stops = np.zeros(tok.tokenizer.get_vocab_size(), bool)
+    stops[sentence_ids(tok.tokenizer)] = True
     packer = Packer(window, TaskContext.get().partitionId() << 32)
     give = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
     for batch in pieces(batches):
         texts = [t or "" for t in column(batch, "text")]
         for doc_id, raw in zip(column(batch, "doc_id"), tok.encode(texts)):
             ids = np.append(np.frombuffer(raw, np.dtype(tok.code)), np.array(END_ID, tok.code))
-            packer.add(doc_id, ids, np.flatnonzero(np.isin(ids, stops)) + 1)
+            packer.add(doc_id, ids, np.flatnonzero(stops[ids]) + 1)
             while packer.full():
                 yield give(packer.flush(False))
     if rows := packer.flush(True):

@@ -13,10 +13,12 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units that a worker remembers.
-MEMO = 800_000
+MEMO = 900_000
+#: Longer units are not remembered.
+LONGEST = 64
 #: White space other than space and line feed, and the separators that only Python takes for white space.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
-ODD = (*OTHER_SPACE, "<|")
+ODD = (*OTHER_SPACE, "\0", "<|")
 RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -28,49 +30,41 @@ class MemoTokenizer:
 
         self.tokenizer, self.style, self.memo = Tokenizer.from_file(path), style, memo
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], missing: set[str], lead: str) -> None:
-        for at in range(0, len(words := list(missing)), 20_000):
-            part = words[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch([lead + w for w in part], add_special_tokens=False)):
-                known[word] = array(self.code, found.ids).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def units(self, text: str) -> list[str]:
+        if any(x in text for x in ODD):
+            return [text]
+        if self.style == "word":
+            return text.split()
+        if any(x in text for x in RUNS):
+            return [text]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native-endian integers of ``self.code``."""
-        if len(self.heads) + len(self.tails) > self.memo:
-            self.heads.clear()
-            self.tails.clear()
-        return self._bytes(texts) if self.style == "byte" else self._words(texts)
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(x in t for x in ODD) else t.split() for t in texts]
-        new: set[str] = set()
-        for words in cut:
-            new.update(words or ())
-        self._learn(self.heads, new.difference(self.heads), "")
-        get = self.heads.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
-        heads, tails = {"\n"}, set()
-        for t in texts:
-            if any(x in t for x in RUNS) or any(x in t for x in ODD):
-                cut.append(None)
-                continue
-            cut.append(lines := [x.split(" ") for x in t.split("\n")])
-            for line in lines:
-                heads.add(line[0])
-                tails.update(line[1:])
-        self._learn(self.heads, heads.difference(self.heads), "")
-        self._learn(self.tails, tails.difference(self.tails), " ")
-        head, tail, feed = self.heads, self.tails.__getitem__, self.heads["\n"]
-        return [self._whole(t) if lines is None else feed.join([head[x[0]] + b"".join(map(tail, x[1:])) for x in lines]) for t, lines in zip(texts, cut)]
+        if len(self.known) > self.memo:
+            self.known.clear()
+        get, new, cut = self.known.get, set(), []
+        for text in texts:
+            units = self.units(text)
+            found = list(map(get, units))
+            gaps = [k for k, x in enumerate(found) if x is None] if None in found else []
+            new.update([units[k] for k in gaps])
+            cut.append((units, found, gaps))
+        new = list(new)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for unit, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self.known[unit] = array(self.code, got.ids).tobytes()
+        for units, found, gaps in cut:
+            for k in gaps:
+                found[k] = self.known[units[k]]
+        out = [b"".join(found) for _, found, _ in cut]
+        for unit in new:
+            if len(unit) > LONGEST:
+                del self.known[unit]
+        return out
 
 
 _OWN: dict[tuple[str, str], MemoTokenizer] = {}

@@ -46,14 +46,14 @@ def walk_forward(spark, sf_dir):
 @query(
     "fc01_baseline",
     f"""WITH {STEPS} SELECT entity_id, round(CASE WHEN max(n) >= 3 THEN sum(close * CASE WHEN back = n THEN pow(10.0 / 11, n - 1) ELSE 1.0 / 11 * pow(10.0 / 11, back - 1) END) * 1.0
-    ELSE max(close) FILTER (back = 1) END + 1e-9, 4) AS ema, round(max(close) FILTER (back = 1), 4) AS last FROM (SELECT * REPLACE (CAST(n AS DOUBLE) AS n, CAST(back AS DOUBLE) AS back) FROM s) GROUP BY 1""",
+    ELSE max(close) FILTER (back = 1) END + 1e-9, 4) AS ema, round(max(close) FILTER (back = 1) + 1e-9, 4) AS last FROM (SELECT * REPLACE (CAST(n AS DOUBLE) AS n, CAST(back AS DOUBLE) AS back) FROM s) GROUP BY 1""",
 )
 def baseline(spark, sf_dir):
     """Level of an exponential mean of span 21 as a weighted sum, so that no history is gathered into an array; and the last value."""
     df, keep = steps(spark, sf_dir), 10 / 11
     weight = F.when(F.col("back") == F.col("n"), F.pow(F.lit(keep), F.col("n") - 1)).otherwise(1 / 11 * F.pow(F.lit(keep), F.col("back") - 1))
     last = F.max(F.when(F.col("back") == 1, F.col("close")))
-    return df.groupBy("entity_id").agg(rounded(F.when(F.max("n") >= 3, F.sum(F.col("close") * weight)).otherwise(last), 4).alias("ema"), F.round(last, 4).alias("last"))
+    return df.groupBy("entity_id").agg(rounded(F.when(F.max("n") >= 3, F.sum(F.col("close") * weight)).otherwise(last), 4).alias("ema"), rounded(last, 4).alias("last"))
 
 
 @query(
@@ -187,7 +187,7 @@ def lagged_causality(spark, sf_dir):
     a AS (SELECT entity_id, max(n) AS n, avg(close) FILTER (t < n // 3) AS early, avg(close) FILTER (back <= (n + 2) // 3) AS late, max(close) FILTER (back = 1) / max(close) FILTER (t = 0) - 1 AS total, min(drawdown) AS worst, min(close) AS lowest, max(close) AS highest FROM d GROUP BY 1)
     SELECT entity_id, CASE WHEN n >= 3 AND late > early * 1.05 THEN 'up' WHEN n >= 3 AND late < early * 0.95 THEN 'down' ELSE 'flat' END AS trend,
     CASE WHEN n < 5 THEN 'unknown' WHEN total > 0.3 AND worst > -0.2 THEN 'bull' WHEN total < -0.2 THEN 'bear' WHEN total > 0 AND worst < -0.3 THEN 'recovery' ELSE 'sideways' END AS regime,
-    round(CASE WHEN n >= 3 THEN lowest END, 4) AS lower_bound, round(CASE WHEN n >= 3 THEN highest END, 4) AS upper_bound FROM a""",
+    round(CASE WHEN n >= 3 THEN lowest END + 1e-9, 4) AS lower_bound, round(CASE WHEN n >= 3 THEN highest END + 1e-9, 4) AS upper_bound FROM a""",
 )
 def trend_and_regime(spark, sf_dir):
     """First against last third of days, return against worst drawdown, and the range that forecasts stay in."""
@@ -197,7 +197,7 @@ def trend_and_regime(spark, sf_dir):
     trend = F.when((F.col("n") >= 3) & (F.col("late") > F.col("early") * 1.05), "up").when((F.col("n") >= 3) & (F.col("late") < F.col("early") * 0.95), "down").otherwise("flat")
     total, worst, enough = F.col("total"), F.col("worst"), F.col("n") >= 3
     regime = F.when(F.col("n") < 5, "unknown").when((total > 0.3) & (worst > -0.2), "bull").when(total < -0.2, "bear").when((total > 0) & (worst < -0.3), "recovery").otherwise("sideways")
-    return a.select("entity_id", trend.alias("trend"), regime.alias("regime"), F.round(F.when(enough, F.col("lowest")), 4).alias("lower_bound"), F.round(F.when(enough, F.col("highest")), 4).alias("upper_bound"))
+    return a.select("entity_id", trend.alias("trend"), regime.alias("regime"), rounded(F.when(enough, F.col("lowest")), 4).alias("lower_bound"), rounded(F.when(enough, F.col("highest")), 4).alias("upper_bound"))
 
 
 @query(

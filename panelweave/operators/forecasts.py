@@ -201,7 +201,7 @@ def trend_and_regime(spark, sf_dir):
 
 
 @query(
-    "fc36_rolling_coverage",
+    "fc38_rolling_coverage",
     """WITH s AS (SELECT entity_id, date, abs(close - lag(close) OVER (PARTITION BY entity_id ORDER BY date)) AS score FROM px),
     q AS (SELECT *, quantile_cont(score, 0.9) OVER p AS width, count(score) OVER p AS m FROM s WINDOW p AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))
     SELECT entity_id, date, round(width + 1e-9, 4) AS width, CAST(score <= width AS INTEGER) AS covered FROM q WHERE m >= 20""",

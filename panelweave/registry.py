@@ -12,7 +12,7 @@ from panelweave.plans.views import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("operators.joins", "operators.windows", "operators.aggregates", "operators.rankings", "operators.scores", "operators.graph", "operators.forecasts", "operators.quality", "functions.scalars", "sources.files", "streaming.events")
+MODULES = ("operators.joins", "operators.windows", "operators.aggregates", "operators.rankings", "operators.scores", "operators.graph", "operators.forecasts", "operators.errors", "operators.risk", "operators.quality", "functions.scalars", "sources.files", "streaming.events")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

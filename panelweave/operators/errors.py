@@ -27,19 +27,23 @@ def errors(spark, sf_dir):
     return e.select("entity_id", "date", "mode", "model", "predicted", (F.col("predicted") - F.col("close")).alias("error"))
 
 
-RMSE, RMSE_SQL = F.sqrt(F.avg(F.col("error") * F.col("error"))), "sqrt(avg(error * error))"
+RMSE_SQL = "sqrt(avg(error * error))"
+
+
+def rmse():
+    return F.sqrt(F.avg(F.col("error") * F.col("error")))
 
 
 @query("agg22_error_leaderboard", f"WITH {ERRORS}, g AS (SELECT mode, model, count(*) AS n, avg(abs(error)) AS mae, {RMSE_SQL} AS rmse FROM e GROUP BY 1, 2) SELECT mode, model, n, round(mae + 1e-9, 4) AS mae, round(rmse + 1e-9, 4) AS rmse, row_number() OVER (PARTITION BY mode ORDER BY mae, model) = 1 AS best FROM g")
 def agg22(spark, sf_dir):
-    g = errors(spark, sf_dir).groupBy("mode", "model").agg(F.count("*").alias("n"), F.avg(F.abs("error")).alias("mae"), RMSE.alias("rmse"))
+    g = errors(spark, sf_dir).groupBy("mode", "model").agg(F.count("*").alias("n"), F.avg(F.abs("error")).alias("mae"), rmse().alias("rmse"))
     best = F.row_number().over(Window.partitionBy("mode").orderBy("mae", "model")) == 1
     return g.select("mode", "model", "n", rounded(F.col("mae"), 4).alias("mae"), rounded(F.col("rmse"), 4).alias("rmse"), best.alias("best"))
 
 
 @query("agg24_mode_weights", f"WITH {ERRORS}, g AS (SELECT mode, model, 1 / {RMSE_SQL} AS x FROM e GROUP BY 1, 2) SELECT mode, model, round(x / sum(x) OVER (PARTITION BY mode) + 1e-9, 6) AS weight FROM g")
 def agg24(spark, sf_dir):
-    g = errors(spark, sf_dir).groupBy("mode", "model").agg((1 / RMSE).alias("x"))
+    g = errors(spark, sf_dir).groupBy("mode", "model").agg((1 / rmse()).alias("x"))
     return g.select("mode", "model", rounded(F.col("x") / F.sum("x").over(Window.partitionBy("mode"))).alias("weight"))
 
 
@@ -52,7 +56,7 @@ def agg25(spark, sf_dir, slack: float = 1.2):
 
 
 def weights(e):
-    g = e.groupBy("entity_id", "model").agg((1 / RMSE).alias("x"))
+    g = e.groupBy("entity_id", "model").agg((1 / rmse()).alias("x"))
     return g.select("entity_id", "model", (F.col("x") / F.sum("x").over(Window.partitionBy("entity_id"))).alias("weight"))
 
 

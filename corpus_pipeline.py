@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import packing, pii, quality, simhash, toxicity
+from panelweave.llm import jaccard, packing, pii, quality, toxicity
 from panelweave.llm.shared import materialize, table
 
 
@@ -28,11 +28,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group, once.
+    """The document with the least doc_id of each group of 5-word similarity 0.8, once.
 
     Documents without a doc_id go where their group has another, and stay where it hasn't.
     """
-    ids = simhash.near_duplicates(docs).select(F.col("component_id").alias("least")).distinct()
+    own = jaccard.with_sets(docs)
+    ids = own.join(jaccard.near_groups(own), "sid").groupBy("root").agg(F.min("doc_id").alias("least")).select("least").distinct()
     kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 

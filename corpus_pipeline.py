@@ -28,14 +28,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of 5-word similarity 0.8, once.
+    """One row of each group of 5-word similarity 0.8: the one with the least doc_id.
 
-    Documents without a doc_id go where their group has another, and stay where it hasn't.
+    A row without a doc_id stays only where its group has no other; of rows with
+    the same doc_id in one group, or without any, one stays by a hash of the row.
     """
     own = jaccard.with_sets(docs)
-    ids = own.join(jaccard.near_groups(own), "sid").groupBy("root").agg(F.min("doc_id").alias("least")).select("least").distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "rid")
+    best = own.groupBy("sid").agg(F.min(place).alias("best"))
+    rows = best.join(jaccard.near_groups(own), "sid").groupBy("root").agg(F.min("best").alias("best")).select("best.rid")
+    return own.join(rows, "rid", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

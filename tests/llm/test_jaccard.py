@@ -54,3 +54,16 @@ def test_cells_lose_no_link(spark):
     for cell in ({"cell": 8}, {"cell_bytes": 4000}):
         groups = own.join(jaccard.near_groups(own, **cell), "sid").groupBy("root").agg({"doc_id": "min"}).collect()
         assert sorted(r[1] for r in groups) == sorted(set(plain_roots(texts)))
+
+
+def test_one_row_per_group(spark):
+    rng = random.Random(7)
+    a, b, c, d, e = (sentence(rng, 200) for _ in range(5))
+    rows = [(None, a), (None, b), (1, c), (None, changed(rng, c, 2)), (2, d), (2, e), (0, changed(rng, e, 1)), (3, a + " end"), (4, d), (None, changed(rng, b, 1))]
+    kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert {x for x in kept if x[0] is not None} == {(1, c), (2, d), rows[6], rows[7]}
+    assert [x in (rows[1], rows[9]) for x in kept if x[0] is None] == [True] and len(kept) == 5
+    texts = [sentence(rng, 60) for _ in range(3)]  # one id, or none, and unrelated texts
+    rows = [(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[0] + " " + texts[1]), (7, texts[2])]
+    kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert len(kept) == 5 and set(kept) == set(rows)

@@ -35,8 +35,11 @@ def exposure(spark, sf_dir):
 
 
 @query("graph03_pagerank")
-def pagerank(spark, sf_dir, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """Ranks sum to one; dangling mass is spread evenly. Lineage is cut every few rounds by a checkpoint."""
+def pagerank(spark, sf_dir, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
+    """Ranks sum to one; dangling mass is spread evenly. Ends once a round changes the ranks by less than ``tol`` in all.
+
+    Every fourth round is checkpointed and its change, one number, comes to the driver.
+    """
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
@@ -47,9 +50,15 @@ def pagerank(spark, sf_dir, damping: float = 0.85, rounds: int = 12) -> DataFram
     nodes = e.select(F.col("src").alias("node")).distinct().checkpoint()
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
+    for k in range(1, rounds + 1):
         got = e.join(ranks, e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got")).withColumnRenamed("dst", "node")
-        ranks = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 4 == 3:
+        last = k % 4 == 0
+        known = ranks.withColumnRenamed("rank", "before") if last else nodes
+        ranks = known.join(got, "node", "left").withColumn("rank", F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).drop("got")
+        if last:
             ranks = ranks.checkpoint()
+            change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+            ranks = ranks.drop("before")
+            if change < tol:
+                break
     return ranks

@@ -47,6 +47,25 @@ def agg12(spark, sf_dir):
     return li.where("x is not null").groupBy("entity_id").agg(rounded(F.sum(F.when(F.col("before") == 0, F.col("x")).otherwise(0.0)) / F.sum("x")).alias("new_share"))
 
 
+YEARS = "p AS (SELECT l_suppkey AS entity_id, l_partkey, year(l_shipdate) AS year, sum(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2, 3), u AS (SELECT entity_id, l_partkey, year, x, 1 AS now, 0 AS before FROM p UNION ALL SELECT entity_id, l_partkey, year + 1, 0, 0, 1 FROM p), d AS (SELECT entity_id, l_partkey, year, sum(x) AS x, max(now) AS now, max(before) AS before FROM u GROUP BY 1, 2, 3), t AS (SELECT min(year) AS a, max(year) AS b FROM p)"
+
+
+def year_pairs(spark, sf_dir):
+    """Revenue per supplier, part and year, with flags for sales in that year and in the one before; the first year has none before it."""
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id"), "l_partkey", F.year("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("x"))
+    sides = F.explode(F.array(F.struct("year", "x", F.lit(1).alias("now"), F.lit(0).alias("before")), F.struct((F.col("year") + 1).alias("year"), (F.col("x") * 0).alias("x"), F.lit(0).alias("now"), F.lit(1).alias("before"))))
+    d = p.select("entity_id", "l_partkey", sides.alias("s")).groupBy("entity_id", "l_partkey", "s.year").agg(F.sum("s.x").alias("x"), F.max("s.now").alias("now"), F.max("s.before").alias("before"))
+    t = table(spark, sf_dir, "lineitem").agg(F.min(F.year("l_shipdate")).alias("a"), F.max(F.year("l_shipdate")).alias("b"))  # one row
+    return d.join(F.broadcast(t)).where("year > a and year <= b").drop("a", "b")
+
+
+@query("agg12_net_new_revenue_by_year", f"WITH {YEARS} SELECT entity_id, year, round(sum(CASE WHEN before = 0 THEN x ELSE 0 END) / sum(x) + 1e-9, 6) AS new_share FROM d, t WHERE year > a AND year <= b AND now = 1 GROUP BY 1, 2")
+def agg12_by_year(spark, sf_dir):
+    """Every year against the one before; agg12_net_new_revenue is its year 1998."""
+    d = year_pairs(spark, sf_dir).where("now = 1")
+    return d.groupBy("entity_id", "year").agg(rounded(F.sum(F.when(F.col("before") == 0, F.col("x")).otherwise(0.0)) / F.sum("x")).alias("new_share"))
+
+
 @query("agg30_coverage", "SELECT 'o_totalprice' AS variable, round(avg((o_totalprice > 1000)::int), 6) AS coverage FROM orders UNION ALL SELECT 'o_orderpriority', round(avg((nullif(o_orderpriority, '5-LOW') IS NOT NULL)::int), 6) FROM orders")
 def agg30(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.when(F.col("o_totalprice") > 1000, 1).alias("o_totalprice"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelweave.core import rounded
+from panelweave.operators.aggregates import YEARS, year_pairs
 from panelweave.plans.views import filings, peers, prices, table
 from panelweave.registry import query
 
@@ -51,6 +52,12 @@ def set04(spark, sf_dir):
     return pairs.groupBy("entity_id").agg(F.count_if(F.col("a") == 1998).alias("n_new"), F.count_if(F.col("b") == 1997).alias("n_gone"))
 
 
+@query("set04_new_and_gone_by_year", f"WITH {YEARS} SELECT entity_id, year, count(*) FILTER (before = 0) AS n_new, count(*) FILTER (now = 0) AS n_gone FROM d, t WHERE year > a AND year <= b GROUP BY 1, 2")
+def set04_by_year(spark, sf_dir):
+    """Every year against the one before; set04_new_and_gone is its year 1998."""
+    return year_pairs(spark, sf_dir).groupBy("entity_id", "year").agg(F.count_if(F.col("before") == 0).alias("n_new"), F.count_if(F.col("now") == 0).alias("n_gone"))
+
+
 @query("set01_union_series", "SELECT 'order' AS kind, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'ship', CAST(l_shipdate AS DATE), count(*) FROM lineitem GROUP BY 2")
 def set01(spark, sf_dir):
     count = lambda t, c, kind: table(spark, sf_dir, t).groupBy(F.to_date(c).alias("date")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "date", "n")

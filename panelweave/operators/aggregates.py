@@ -22,6 +22,18 @@ def agg02(spark, sf_dir):
     return wide.toDF(*[c.lower() for c in wide.columns])
 
 
+REGIONS, PANEL = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"), ("open", "high", "low", "close", "volume")
+WIDE = {(r, v): f"{r}_{v}".lower().replace(" ", "_") for r in REGIONS for v in PANEL}
+
+
+@query("agg02_groups_wide_all", f"SELECT date, {', '.join(f"round(avg({v}) FILTER (region = '{r}') + 1e-9, 4) AS {name}" for (r, v), name in WIDE.items())} FROM px JOIN peers USING (entity_id) GROUP BY 1")
+def agg02_all(spark, sf_dir):
+    """All five regions and all panel variables; agg02_groups_wide has four regions' close."""
+    px = prices(spark, sf_dir).join(peers(spark, sf_dir), "entity_id")
+    wide = px.groupBy("date").pivot("region", list(REGIONS)).agg(*[rounded(F.avg(v), 4).alias(v) for v in PANEL])
+    return wide.toDF("date", *WIDE.values())
+
+
 @query("agg03_ohlcv_resample", "SELECT entity_id, CAST(date_trunc('month', date) AS DATE) AS month, round(arg_min(open, date) + 1e-9, 4) AS open, round(max(high) + 1e-9, 4) AS high, round(min(low) + 1e-9, 4) AS low, round(arg_max(close, date) + 1e-9, 4) AS close, sum(volume) AS volume FROM px GROUP BY 1, 2")
 def agg03(spark, sf_dir):
     month = F.to_date(F.date_trunc("month", "date")).alias("month")

@@ -3,13 +3,23 @@
 A unit ends where the tokenizer's own pre-tokenisation always ends a token, so
 the ids of a text are those of its units in a row. Each Python worker keeps the
 units that it has met, at most ``MEMO`` of them, whatever the corpus holds.
+
+A new unit is cut in the tokenizer's pre-tokens, and pre-tokens that are new as
+well are handed to the library many in one string, which costs less than one
+by one. Where the ids of each end there follows from the bytes that an id
+stands for (byte style) or from the mark on a pre-token's last id (word
+style). Units for which that isn't certain, and strings in which the ends
+don't come out even, are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units that a worker remembers.
@@ -19,7 +29,18 @@ LONGEST = 64
 #: White space other than space and line feed, and the separators that only Python takes for white space.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
 ODD = (*OTHER_SPACE, "\0", "<|")
+ODD_ASCII = tuple(x for x in ODD if x.isascii())
 RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Pre-tokens that are encoded together in one string.
+TOGETHER = 512
+#: Letters of Latin blocks that lower case and composition leave as single letters, and typographic marks.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f"
+CERTAIN = re.compile(f" ?[!-~{LETTERS}\u2013\u2014\u2018-\u201e\u2026]+")
+#: Pre-tokens of such units: those of the word tokenizer after lower-casing, and those of the byte tokenizer.
+PRETOKENS = {
+    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+"),
+    "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^ 0-9{LETTERS}]+"),
+}
 
 
 class MemoTokenizer:
@@ -31,9 +52,13 @@ class MemoTokenizer:
         self.tokenizer, self.style, self.memo = Tokenizer.from_file(path), style, memo
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # ids of pre-tokens
+        tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda kv: kv[1])
+        self.ends = np.array([t.endswith("</w>") for t, _ in tokens])
+        self.sizes = np.array([len(t) for t, _ in tokens])
 
     def units(self, text: str) -> list[str]:
-        if any(x in text for x in ODD):
+        if any(x in text for x in (ODD_ASCII if text.isascii() else ODD)):
             return [text]
         if self.style == "word":
             return text.split()
@@ -45,6 +70,8 @@ class MemoTokenizer:
         """The ids of each text, as native-endian integers of ``self.code``."""
         if len(self.known) > self.memo:
             self.known.clear()
+        if len(self.parts) > self.memo:
+            self.parts.clear()
         get, new, cut = self.known.get, set(), []
         for text in texts:
             units = self.units(text)
@@ -53,10 +80,7 @@ class MemoTokenizer:
             new.update([units[k] for k in gaps])
             cut.append((units, found, gaps))
         new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for unit, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[unit] = array(self.code, got.ids).tobytes()
+        self.learn(new)
         for units, found, gaps in cut:
             for k in gaps:
                 found[k] = self.known[units[k]]
@@ -66,6 +90,48 @@ class MemoTokenizer:
                 del self.known[unit]
         return out
 
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of ``new`` units into ``known``."""
+        alone = [u for u in new if not CERTAIN.fullmatch(u) or "<|" in u]
+        skip, cut = set(alone), PRETOKENS[self.style].findall
+        sure = [(u, cut(u.lower() if self.style == "word" else u)) for u in new if u not in skip]
+        fresh = list({p for _, own in sure for p in own} - self.parts.keys())
+        for at in range(0, len(fresh), 100 * TOGETHER):
+            self.learn_parts(fresh[at : at + 100 * TOGETHER])
+        get = self.parts.get
+        for unit, own in sure:
+            try:
+                self.known[unit] = b"".join(map(get, own))
+            except TypeError:  # a part whose end wasn't found
+                alone.append(unit)
+        for unit, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[unit] = array(self.code, got.ids).tobytes()
+
+    def learn_parts(self, new: list[str]) -> None:
+        groups = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([self.joined(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, self.code)
+            bounds = self.bounds(group, ids)
+            if bounds is not None:
+                raw, width = ids.tobytes(), ids.itemsize
+                for part, a, b in zip(group, (bounds[0] * width).tolist(), (bounds[1] * width).tolist()):
+                    self.parts[part] = raw[a:b]
+
+    def joined(self, group: list[str]) -> str:
+        return " ".join(group) if self.style == "word" else "".join([p if p[0] == " " else "\n" + p for p in group])
+
+    def bounds(self, group: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where each pre-token's ids begin and end, or None where that doesn't come out even."""
+        if self.style == "word":
+            end = np.flatnonzero(self.ends[ids]) + 1
+            return (np.append(0, end[:-1]), end) if len(end) == len(group) and end[-1] == len(ids) else None
+        lead = np.array([p[0] != " " for p in group], np.int64)
+        stop = np.cumsum(np.array([len(p.encode()) for p in group]) + lead)
+        start = np.append(0, stop[:-1]) + lead
+        at = np.append(0, np.cumsum(self.sizes[ids]))
+        begin, end = np.searchsorted(at, start), np.searchsorted(at, stop)
+        return (begin, end) if at[-1] == stop[-1] and (at[begin] == start).all() and (at[end] == stop).all() else None
+
 
 _OWN: dict[tuple[str, str], MemoTokenizer] = {}
 

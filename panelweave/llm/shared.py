@@ -28,9 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in tests one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where all runs in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,6 +45,11 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """A fixed number of partitions, for work that is in the CPU and not in the bytes: those would be joined to a few by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that ``column`` holds about ``limit`` bytes in each."""
     for batch in batches:

@@ -10,7 +10,10 @@ span; base spans always stay.
 
 Positions come from splitting a text by the pattern that also extracts its
 matches, so gaps and matches alternate. Patterns are possessive and start only
-where a run starts, so they take linear time on any text.
+where a run starts, so they take linear time on any text; running sums and
+maxima over matches go block by block, and pieces of a long text are taken
+from chunks of it, since appending to an array and counting code points from
+the text's start would take the square of its length.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ BASE = {
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LOOSE = r"(?<![A-Za-z0-9+/@._-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,128}\"?|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Z0-9]))"
+LOOSE = r"(?<![A-Za-z0-9+/@._-])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,}+\"?|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Z0-9]))"
 KINDS = (*BASE, "secret", "local_phone", "ssn", "iban")
 #: Gazetteers: top-level domains, country calling codes, first digits of card issuers. Fixed values.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|us"
@@ -48,6 +51,42 @@ LABELERS = ("regex", "gazetteer", "context")
 FEATURES = ("kind", "before", "after", "length")
 ROUNDS = 8
 BEFORE = 24
+#: Matches of a block of a running sum; code points of a chunk of a text that is longer than some of them.
+BLOCK, CHUNK = 128, 1024
+SPANS = "array<struct<start:int,end:int,hit:string>>"
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """What an associative ``step`` has made of all values before each one and, last, of all of them."""
+
+    def scanned(part: Column, first: Column) -> Column:
+        nothing = F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, nothing, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocks(n: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+    part = lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
+    sums = F.transform(blocks(F.size(values)), lambda b: F.aggregate(part(b), zero, step))
+    # the sums are scanned once, then each block from what came before it
+    heads = scanned(sums, zero)
+    each = F.flatten(F.transform(F.arrays_zip(heads["out"].alias("first"), blocks(F.size(values)).alias("b")), lambda x: scanned(part(x["b"]), x["first"])["out"]))
+    few = scanned(values, zero)
+    few = F.transform(F.array(few), lambda x: F.concat(x["out"], F.array(x["at"])))[0]
+    many = F.transform(F.array(heads["at"]), lambda x: F.concat(each, F.array(x)))[0]
+    return F.when(F.size(values) == 0, F.array(zero)).when(F.size(values) <= BLOCK, few).otherwise(many)
+
+
+def chunks(text: Column) -> Column:
+    return F.when(F.length(text) > 4 * CHUNK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(text))
+
+
+def taken(parts: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to ``end`` of the text whose ``chunks`` are given."""
+    first, last = F.floor(begin / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    one = F.substring(F.get(parts, F.lit(0)), begin + 1, end - begin)
+    return F.when(end <= begin, "").when(F.size(parts) == 1, one).otherwise(F.substring(some, begin - first * CHUNK + 1, end - begin))
 
 
 def found(kind: str, text: str, pattern: str) -> tuple[Column, Column]:
@@ -59,17 +98,17 @@ def found(kind: str, text: str, pattern: str) -> tuple[Column, Column]:
     return hits, F.when(F.size(f"m_{kind}") > 0, F.transform(F.split(text, pattern, -1), F.length))
 
 
-def spans(kind: str) -> Column:
-    """Structs of start, end and the match, in code points."""
+def lengths(kind: str) -> Column:
+    """The lengths of the gap before each match and of the match, in turn."""
     hits, gaps = F.col(f"m_{kind}"), F.col(f"g_{kind}")
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    return F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.array(gap, F.length(hit))))
 
-    def step(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.get(gaps, k)
-        end = start + F.length(F.get(hits, k))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(hits, k).alias("hit")))).alias("out"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), nothing, step)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+def spans(kind: str) -> Column:
+    """Structs of start, end and the match, in code points; ``p_kind`` is the running sum of ``lengths``."""
+    hits, ends = F.col(f"m_{kind}"), F.col(f"p_{kind}")
+    made = F.transform(hits, lambda hit, k: F.struct(F.get(ends, 2 * k + 1).alias("start"), F.get(ends, 2 * k + 2).alias("end"), hit.alias("hit")))
+    return F.when(F.size(hits) > 0, made).otherwise(F.array().cast(SPANS))
 
 
 def digits(hit: Column) -> Column:
@@ -140,21 +179,24 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     every = {**BASE, "loose": LOOSE}
     df = df.select("*", *[found(k, "_t", p)[0].alias(f"m_{k}") for k, p in every.items()])
     df = df.select("*", *[found(k, "_t", p)[1].alias(f"g_{k}") for k, p in every.items()])
-    df = df.select(*keep, "_t", *[spans(k).alias(f"s_{k}") for k in every])
+    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, lengths(k)).alias(f"l_{k}") for k in every])
+    df = df.select("*", chunks(F.col("_t")).alias("_p"), *[F.when(F.size(f"m_{k}") > 0, running(F.col(f"l_{k}"), F.lit(0), lambda a, x: a + x)).alias(f"p_{k}") for k in every])
+    df = df.select(*keep, "_p", *[spans(k).alias(f"s_{k}") for k in every])
     typed = [F.transform(f"s_{k}", checked(n, k)) for n, k in enumerate(BASE)]
     number = lambda kind: reduce(lambda x, n: x.when(kind == KINDS[n], n), range(5, len(KINDS)), F.when(kind == KINDS[4], 4))
     loose = F.transform("s_loose", lambda s: F.struct(s["start"].alias("start"), number(loose_kind(s["hit"])).alias("no"), loose_kind(s["hit"]).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(None).cast("boolean").alias("ok")))
-    df = df.select(*keep, "_t", F.concat(*typed).alias("b"), loose.alias("l"))
+    df = df.select(*keep, "_p", F.concat(*typed).alias("b"), loose.alias("l"))
     # what fails by far is no candidate: short numbers are everywhere
     near = F.filter("b", lambda s: s["ok"] | F.length(digits(s["hit"])).between(9, 20))
-    df = df.select(*keep, "_t", F.array_sort(F.transform(F.filter("b", lambda s: s["ok"]), lambda s: s.dropFields("hit", "ok"))).alias("base"), F.concat(near, "l").alias("c"))
+    df = df.select(*keep, "_p", F.array_sort(F.transform(F.filter("b", lambda s: s["ok"]), lambda s: s.dropFields("hit", "ok"))).alias("base"), F.concat(near, "l").alias("c"))
 
     def voted(s: Column) -> Column:
-        before = F.substring(F.col("_t"), F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)))
+        text = F.col("_p")
+        before = taken(text, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
         return F.struct(
             s["start"].alias("start"), s["no"].alias("no"), s["kind"].alias("kind"), s["end"].alias("end"),
             F.when(s["ok"], 1).when(~s["ok"], -1).otherwise(0).alias("regex"), gazetteer(s["kind"], s["hit"]).alias("gazetteer"), context(s["kind"], before).alias("context"),
-            F.when(s["start"] == 0, "edge").otherwise(side(F.substring(F.col("_t"), s["start"], F.lit(1)))).alias("before"), side(F.substring(F.col("_t"), s["end"] + 1, F.lit(1))).alias("after"),
+            F.when(s["start"] == 0, "edge").otherwise(side(F.right(before, F.lit(1)))).alias("before"), side(taken(text, s["end"], s["end"] + 1)).alias("after"),
             F.least(F.floor((s["end"] - s["start"]) / 4), F.lit(9)).cast("string").alias("length"),
         )
 
@@ -220,9 +262,17 @@ def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             odds = odds + F.coalesce(F.element_at(table, c[f].cast("string")), F.lit(0.0))
         return odds >= 0
 
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.transform(F.filter("cand", lambda c: (c["regex"] != 1) & accepted(c) & clear(c)), lambda c: F.struct(c["start"].alias("start"), c["no"].alias("no"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return own.select("_keep", "base", F.array_sort(F.array_union("base", added)).alias("found"))
+    def event(at: Column, base: int, end: Column, s: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(base).alias("base"), end.alias("end"), s["start"].alias("start"), s["no"].alias("no"), s["kind"].alias("kind"), s["end"].alias("stop"))
+
+    # A candidate is clear of base spans if of those that start before its end none ends after its start.
+    extra = F.filter("cand", lambda c: (c["regex"] != 1) & accepted(c))
+    own = own.select("_keep", "base", extra.alias("extra"))
+    events = F.array_sort(F.concat(F.transform("base", lambda b: event(b["start"], 1, b["end"], b)), F.transform("extra", lambda c: event(c["end"], 0, F.lit(0), c))))
+    own = own.select("_keep", "base", F.when(F.size("extra") > 0, events).alias("events"))
+    own = own.select("*", F.when(F.col("events").isNotNull(), running(F.transform("events", lambda e: e["end"]), F.lit(0), lambda a, x: F.greatest(a, x))).alias("reached"))
+    clear = F.transform("events", lambda e, k: F.when((e["base"] == 0) & (F.get("reached", k) <= e["start"]), F.struct(e["start"].alias("start"), e["no"].alias("no"), e["kind"].alias("kind"), e["stop"].alias("end"))))
+    return own.select("_keep", "base", F.when(F.col("events").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.array_compact(clear)))).alias("found"))
 
 
 def listed(spans_of: str) -> Column:
@@ -241,14 +291,11 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
     text = F.col("_keep.text")
     df = detect(docs, names)
-    nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("found", nothing, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    some = F.size("found") > 0
+    df = df.select("*", F.when(some, chunks(text)).alias("_p"), F.when(some, running(F.transform("found", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))).alias("reached"))
+    # a span that begins within one before it is covered by that one's mark
+    marked = F.transform("found", lambda s, k: F.when(s["start"] >= F.get("reached", k), F.concat(taken(F.col("_p"), F.get("reached", k), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+    done = F.concat(F.array_join(marked, ""), taken(F.col("_p"), F.get("reached", F.size("found")), F.length(text)))
     new = {x: F.col(f"_keep.`{x}`") for x in names}
     new["text"] = F.when(F.size("found") > 0, done).otherwise(text)
     if "n_chars" in names:

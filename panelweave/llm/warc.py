@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from panelweave.llm.shared import column, materialize, pieces, shared_dir, ship
 
 MIN_REVISIT, LEVEL, ARCHIVE_BYTES, RANGE_BYTES, READ = 1000, 3, 64 << 20, 4 << 20, 1 << 18
+#: Tasks over which the pages of one digest are dealt; ranges that a reading task gets where there are very many.
+SALT, RANGES = 16, 16
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, bytes long, records long"
@@ -149,7 +151,13 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
     same = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     refers = F.when((F.col("size") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    dealt = rows.join(same, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    # only payloads that may be revisited are shuffled, those of one digest over SALT tasks
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
+    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    columns = ["page_id", "url", "html", "digest"]
+    large = rows.where(F.col("size") >= MIN_REVISIT).withColumn("salt", salt).join(same, ["digest", "salt"], "left")
+    small = rows.where(F.col("size") < MIN_REVISIT).select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    dealt = large.select(*columns, refers.alias("refers_to")).unionByName(small)
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return materialize(dealt.mapInArrow(partial(_write, folder=folder), MANIFEST), "warc-manifest")
 
@@ -158,5 +166,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of every record, read range by range."""
     ship(manifest.sparkSession)
     ranges = manifest.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))))
-    ranges = ranges.select("path", "lo", F.least(F.col("lo") + range_bytes, "bytes").alias("hi"), "bytes").repartition("path", "lo")
+    ranges = ranges.select("path", "lo", F.least(F.col("lo") + range_bytes, "bytes").alias("hi"), "bytes")
+    # a number of tasks by the archives' bytes: the ranges themselves are a few bytes, which would all be joined to one task
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(max(1, min(int(n), max(int(n) // RANGES, 4 * manifest.sparkSession.sparkContext.defaultParallelism))), "path", "lo")
     return ranges.mapInArrow(_read, RESULT)

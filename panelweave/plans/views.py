@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,5 +42,11 @@ PEERS = """peers AS (SELECT s_suppkey AS entity_id, n_name AS nation, r_name AS
 
 def with_views(sql: str) -> str:
     """Puts the views that ``sql`` names before it."""
-    used = [v for name, v in (("px", PRICES), ("filings", FILINGS), ("peers", PEERS)) if name in sql]
+    from panelweave.plans.statements import DAY, FIN, MACRO
+
+    known = {"day": (DAY, "px", "fin"), "fin": (FIN, "filings", "peers"), "macro": (MACRO,), "px": (PRICES,), "filings": (FILINGS,), "peers": (PEERS,)}
+    wanted = {name for name in known if re.search(rf"\b(FROM|JOIN) {name}\b" if name in ("day", "fin", "macro") else name, sql)}
+    for name in ("day", "fin"):
+        wanted |= set(known[name][1:]) if name in wanted else set()
+    used = [known[name][0] for name in ("px", "filings", "peers", "fin", "day", "macro") if name in wanted]
     return "WITH " + ", ".join(used) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql) if used else sql

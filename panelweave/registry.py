@@ -12,11 +12,11 @@ from panelweave.plans.views import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("operators.joins", "operators.windows", "operators.aggregates", "operators.rankings", "operators.scores", "operators.graph", "operators.forecasts", "operators.errors", "operators.risk", "operators.structure", "operators.quality", "functions.scalars", "sources.files", "streaming.events")
+MODULES = ("operators.joins", "operators.windows", "operators.aggregates", "operators.rankings", "operators.scores", "operators.graph", "operators.forecasts", "operators.errors", "operators.risk", "operators.structure", "operators.quality", "functions.scalars", "sources.files", "streaming.events", "operators.fundamentals", "operators.survival", "operators.health", "operators.fund", "operators.macro")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; ``sql`` may name the views px, filings and peers."""
+    """Registers a query; ``sql`` may name the views of ``plans``."""
 
     def put(f: Query) -> Query:
         _QUERIES[name] = f

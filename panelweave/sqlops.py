@@ -4,8 +4,8 @@ The text is Spark SQL; frames stand in it as ``{px}``, ``{fin}`` and so on, and
 ``apply`` runs it on any frames with those columns. For the comparison with
 DuckDB the same SELECT is read over that engine's views, so the text keeps to
 what both understand; where they differ it says ``DAYS(a, b)`` (from a to b),
-``MONTH_OF(d)`` (its first day), ``LASTSEEN(x) OVER`` (the last value that
-isn't null) or ``RAT(x, y)`` (a quotient, null where y is null or smaller than
+``MONTH_OF(d)`` (its first day), ``LASTSEEN(x) OVER`` and ``NEXTSEEN(x)
+OVER`` (the last and the first value that isn't null) or ``RAT(x, y)`` (a quotient, null where y is null or smaller than
 1e-9).
 """
 
@@ -54,8 +54,8 @@ def expand(text: str, forms: dict[str, str]) -> str:
 
 
 RATIO = "(CASE WHEN abs($2) >= 1e-9 THEN ($1) / ($2) END)"
-SPARK_FORMS = {"RAT": RATIO, "LASTSEEN": "last($1, true)", "DAYS": "datediff($2, $1)", "MONTH_OF": "CAST(date_trunc('month', $1) AS DATE)"}
-DUCK_FORMS = {"RAT": RATIO, "LASTSEEN": "last_value($1 IGNORE NULLS)", "DAYS": "CAST(date_diff('day', $1, $2) AS INTEGER)", "MONTH_OF": "CAST(date_trunc('month', $1) AS DATE)"}
+SPARK_FORMS = {"RAT": RATIO, "LASTSEEN": "last($1, true)", "NEXTSEEN": "first($1, true)", "DAYS": "datediff($2, $1)", "MONTH_OF": "CAST(date_trunc('month', $1) AS DATE)"}
+DUCK_FORMS = {"RAT": RATIO, "LASTSEEN": "last_value($1 IGNORE NULLS)", "NEXTSEEN": "first_value($1 IGNORE NULLS)", "DAYS": "CAST(date_diff('day', $1, $2) AS INTEGER)", "MONTH_OF": "CAST(date_trunc('month', $1) AS DATE)"}
 
 
 def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:

@@ -1 +1,99 @@
-"""placeholder"""
+"""Names, classes and scalar parsers of fields; window signals, entropy measures, peaks and rankings."""
+
+from panelweave.operators.estimation import DEBT
+from panelweave.operators.macro import HOME, RET
+from panelweave.operators.survival import SECTOR
+from panelweave.sqlops import rounded, sql_query
+
+W = "(PARTITION BY entity_id ORDER BY date)"
+WQ = "(PARTITION BY entity_id ORDER BY report_date)"
+V = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows) + ")"
+sql_query("proj03_profile_columns", f"SELECT x.entity_id, x.date, p.nation AS country, p.region, {SECTOR.replace('entity_id', 'x.entity_id')} AS sector FROM {{px}} x JOIN {{peers}} p ON p.entity_id = x.entity_id")
+#: Other names of fields.
+ALIASES = [("totalRevenue", "revenue"), ("Revenue", "revenue"), ("sales", "revenue"), ("netIncomeLoss", "net_income"), ("profit", "net_income"), ("Assets", "total_assets"), ("totalAssets", "total_assets"), ("StockholdersEquity", "total_equity"), ("capitalExpenditure", "capex")]
+RAW = [("totalRevenue",), ("SALES",), ("Net Income",), ("Assets",), ("capitalExpenditure",), ("mystery",), ("total_assets",), ("StockholdersEquity",), ("NetIncomeLoss",)]
+# Lines name their fields as vendors do: each order line has one of the raw names.
+NAMED = f"nm AS (SELECT l_suppkey AS entity_id, raw, l_extendedprice AS value FROM {{lineitem}} JOIN {V([(k, r[0]) for k, r in enumerate(RAW)])} AS t(k, raw) ON l_orderkey % {len(RAW)} = k), al AS (SELECT * FROM {V(ALIASES)} AS t(alias, canonical)), la AS (SELECT lower(alias) AS alias, min(canonical) AS canonical FROM al GROUP BY lower(alias))"
+SNAKE = "replace(lower(raw), ' ', '_')"
+RESOLVED = f"{NAMED}, rs AS (SELECT nm.*, coalesce(al.canonical, la.canonical, {SNAKE}) AS canonical, CASE WHEN al.canonical IS NOT NULL THEN 'exact' WHEN la.canonical IS NOT NULL THEN 'normalised' ELSE 'kept' END AS how FROM nm LEFT JOIN al ON al.alias = nm.raw LEFT JOIN la ON la.alias = lower(nm.raw))"
+sql_query("proj04_rename_canonical", f"WITH {RESOLVED} SELECT raw, canonical, count(*) AS n FROM rs GROUP BY raw, canonical")
+sql_query("proj05_alias_duplicates", f"WITH {RESOLVED}, c AS (SELECT entity_id, canonical, raw, avg(value) AS value FROM rs GROUP BY entity_id, canonical, raw) SELECT entity_id, canonical, count(*) AS n_names, min(raw) AS chosen, {rounded({'value': 'min_by(value, raw)'}, 3)} FROM c GROUP BY entity_id, canonical")
+sql_query("proj06_alias_table", f"WITH {RESOLVED} SELECT al.alias, al.canonical, count(nm.raw) AS n FROM al LEFT JOIN nm ON nm.raw = al.alias GROUP BY al.alias, al.canonical")
+sql_query("proj07_resolve_name", f"WITH {RESOLVED} SELECT how, canonical, count(*) AS n, count(DISTINCT entity_id) AS entities FROM rs GROUP BY how, canonical")
+sql_query("scal04_concept_map", f"WITH {NAMED}, pf AS (SELECT raw, entity_id, value, CASE WHEN entity_id % 2 = 0 THEN concat('us-gaap:', raw) ELSE raw END AS concept FROM nm) SELECT coalesce(a.canonical, b.canonical, c.canonical, 'unmapped') AS canonical, count(*) AS n FROM pf LEFT JOIN al a ON a.alias = pf.concept LEFT JOIN al b ON b.alias = regexp_replace(pf.concept, '^[a-z-]+:', '') LEFT JOIN la c ON c.alias = lower(regexp_replace(pf.concept, '^[a-z-]+:', '')) GROUP BY coalesce(a.canonical, b.canonical, c.canonical, 'unmapped')")
+sql_query("scal05_statement_translation", f"WITH {RESOLVED}, t AS (SELECT entity_id, canonical, value, CASE WHEN canonical IN ('total_assets', 'total_equity') THEN 'balance' WHEN canonical = 'capex' THEN 'cashflow' ELSE 'income' END AS statement FROM rs WHERE how <> 'kept') SELECT entity_id, statement, canonical, count(*) AS n, {rounded({'value': 'avg(value)'}, 3)} FROM t GROUP BY entity_id, statement, canonical")
+sql_query("scal06_profile_translation", "SELECT s_suppkey AS entity_id, s_name AS name, n_name AS country, CAST(NULL AS VARCHAR(10)) AS website, CASE WHEN s_acctbal > 0 THEN 'active' END AS status FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
+LONG = "lg AS (SELECT entity_id, report_date, field, CASE field WHEN 'revenue' THEN revenue WHEN 'net_income' THEN net_income WHEN 'selling' THEN 0.6 * sga_expenses WHEN 'admin' THEN 0.4 * sga_expenses END AS value FROM {fin} CROSS JOIN (VALUES ('revenue'), ('net_income'), ('selling'), ('admin')) AS t(field))"
+sql_query("scal07_long_to_wide", f"WITH {LONG} SELECT entity_id, report_date, {rounded({"revenue": "max(CASE WHEN field = 'revenue' THEN value END)", "net_income": "max(CASE WHEN field = 'net_income' THEN value END)", "sga_expenses": "sum(CASE WHEN field IN ('selling', 'admin') THEN value END)"}, 3)} FROM lg GROUP BY entity_id, report_date")
+sql_query("scal08_wide_guard", f"WITH {LONG}, n AS (SELECT entity_id, report_date, count(*) AS rows_per_date, count(DISTINCT field) AS fields FROM lg GROUP BY entity_id, report_date) SELECT entity_id, max(rows_per_date) AS rows_per_date, CASE WHEN max(rows_per_date) > 1 THEN 'long' ELSE 'wide' END AS format FROM n GROUP BY entity_id")
+sql_query("scal09_period_aliases", "WITH r AS (SELECT entity_id, report_date, CASE entity_id % 6 WHEN 0 THEN ' 10-Q' WHEN 1 THEN 'q' WHEN 2 THEN 'Quarter ' WHEN 3 THEN '10-K' WHEN 4 THEN 'H1' ELSE 'odd' END AS raw, DAYS(lag(report_date) OVER (PARTITION BY entity_id ORDER BY report_date), report_date) AS gap FROM {fin}) SELECT entity_id, report_date, CASE WHEN lower(trim(raw)) IN ('10-q', 'q', 'quarter', 'quarterly') THEN 'quarterly' WHEN lower(trim(raw)) IN ('10-k', 'a', 'annual', 'fy') THEN 'annual' WHEN lower(trim(raw)) IN ('h1', 'h2', 's', 'semiannual') THEN 'semiannual' WHEN gap < 120 THEN 'quarterly' WHEN gap IS NULL THEN 'unknown' ELSE 'annual' END AS period_type FROM r")
+DATES = "dt AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS dd FROM {orders})"
+P2 = lambda x: f"lpad(CAST({x} AS VARCHAR(9)), 2, '0')"
+sql_query("scal02_roc_date", f"WITH {DATES}, t AS (SELECT o_orderkey, d, concat(CAST(y - 1911 AS VARCHAR(9)), '/', {P2('m')}, '/', {P2('dd')}) AS roc FROM dt) SELECT o_orderkey, CAST(concat(CAST(CAST(regexp_extract(roc, '^([0-9]+)/', 1) AS INT) + 1911 AS VARCHAR(9)), '-', regexp_extract(roc, '/([0-9]+)/', 1), '-', regexp_extract(roc, '/([0-9]+)$', 1)) AS DATE) AS parsed FROM t")
+sql_query("scal03_japanese_era", f"WITH {DATES}, t AS (SELECT o_orderkey, concat('H', CAST(y - 1988 AS VARCHAR(9)), '.', {P2('m')}, '.', {P2('dd')}) AS era FROM dt) SELECT o_orderkey, CAST(concat(CAST(CAST(regexp_extract(era, '^[A-Z]([0-9]+)[.]', 1) AS INT) + CASE substring(era, 1, 1) WHEN 'R' THEN 2018 WHEN 'H' THEN 1988 WHEN 'S' THEN 1925 END AS VARCHAR(9)), '-', regexp_extract(era, '[.]([0-9]+)[.]', 1), '-', regexp_extract(era, '[.]([0-9]+)$', 1)) AS DATE) AS parsed FROM t")
+sql_query("src13_sdmx_periods", f"WITH {DATES}, t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(y AS VARCHAR(9)) WHEN 1 THEN concat(CAST(y AS VARCHAR(9)), '-', {P2('m')}) ELSE concat(CAST(y AS VARCHAR(9)), '-Q', CAST(quarter(d) AS VARCHAR(9))) END AS period FROM dt) SELECT o_orderkey, period, CAST(concat(substring(period, 1, 4), '-', CASE WHEN period LIKE '%-Q%' THEN lpad(CAST(3 * CAST(substring(period, 7, 1) AS INT) - 2 AS VARCHAR(9)), 2, '0') WHEN length(period) = 7 THEN substring(period, 6, 2) ELSE '01' END, '-01') AS DATE) AS date FROM t")
+sql_query("scal15_relationship_dates", f"WITH {DATES}, t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(y AS VARCHAR(9)) WHEN 1 THEN concat(CAST(y AS VARCHAR(9)), '-', {P2('m')}) WHEN 2 THEN 'current' ELSE CAST(d AS VARCHAR(12)) END AS raw FROM dt) SELECT o_orderkey, CASE WHEN raw = 'current' THEN NULL WHEN length(raw) = 4 THEN CAST(concat(raw, '-01-01') AS DATE) WHEN length(raw) = 7 THEN CAST(concat(raw, '-01') AS DATE) ELSE CAST(raw AS DATE) END AS since FROM t")
+sql_query("scal16_horizon_parse", "WITH t AS (SELECT o_orderkey, concat(CAST(o_custkey % 9 + 1 AS VARCHAR(9)), CASE o_orderkey % 4 WHEN 0 THEN 'd' WHEN 1 THEN 'w' WHEN 2 THEN 'm' ELSE 'y' END) AS horizon FROM {orders}) SELECT o_orderkey, horizon, CAST(regexp_extract(horizon, '^([0-9]+)', 1) AS INT) * CASE regexp_extract(horizon, '([a-z])$', 1) WHEN 'd' THEN 1 WHEN 'w' THEN 5 WHEN 'm' THEN 21 ELSE 252 END AS business_days FROM t")
+sql_query("scal24_grouped_number", "WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS v, CAST(floor(l_extendedprice) AS BIGINT) AS k FROM {lineitem}), g AS (SELECT *, concat(CASE WHEN l_orderkey % 2 = 0 THEN '(' ELSE '' END, CASE WHEN k >= 1000 THEN concat(CAST(CAST(floor(k / 1000) AS BIGINT) AS VARCHAR(20)), ',', lpad(CAST(k % 1000 AS VARCHAR(9)), 3, '0')) ELSE CAST(k AS VARCHAR(20)) END, CASE WHEN l_orderkey % 2 = 0 THEN ')' ELSE '' END) AS raw FROM t) SELECT raw, CASE WHEN raw LIKE '(%' THEN -1 ELSE 1 END * CAST(replace(replace(replace(raw, '(', ''), ')', ''), ',', '') AS BIGINT) AS value, count(*) AS n FROM g GROUP BY raw")
+sql_query("scal31_annualisation", f"WITH {RET} SELECT r.entity_id, freq, {rounded({'annualised_vol': 'stddev_samp(ret) * sqrt(periods)'}, 5)} FROM r CROSS JOIN (VALUES ('D', 252e0), ('W', 52e0), ('M', 12e0), ('Q', 4e0), ('S', 2e0), ('A', 1e0)) AS t(freq, periods) GROUP BY r.entity_id, freq, periods")
+sql_query("scal32_hurst_annualisation", f"WITH {RET}, h AS (SELECT entity_id, greatest(0.3e0, least(0.7e0, 0.5 + corr(ret, p) / 2)) AS hurst, stddev_samp(ret) AS sd FROM (SELECT *, lag(ret) OVER {W} AS p FROM r) a GROUP BY entity_id) SELECT entity_id, {rounded({'factor': 'pow(252e0, hurst)', 'annualised_vol': 'sd * pow(252e0, hurst)'}, 4)} FROM h")
+sql_query("scal19_policy_risk", f"WITH h AS (SELECT doc_id, {', '.join(f'CAST(length(lower(text)) - length(replace(lower(text), {w!r}, {chr(39)}{chr(39)})) AS DOUBLE) / {len(w)} AS {c}' for c, w in (('regulation', 'law'), ('trade', 'trade'), ('tax', 'tax'), ('conflict', 'war')))} FROM {{documents}} WHERE text IS NOT NULL) SELECT doc_id, {rounded({'risk': 'least(1e0, greatest(regulation, trade, tax, conflict) / 5)'}, 4)}, CASE WHEN greatest(regulation, trade, tax, conflict) = 0 THEN 'none' WHEN regulation >= greatest(trade, tax, conflict) THEN 'regulation' WHEN trade >= greatest(tax, conflict) THEN 'trade' WHEN tax >= conflict THEN 'tax' ELSE 'conflict' END AS category FROM h")
+COUNT = lambda w: f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}e0"
+POSITIVE, NEGATIVE = ("gain", "grow", "good", "strong", "best"), ("loss", "fall", "bad", "weak", "risk")
+SENTIMENT = f"st AS (SELECT doc_id, source, {' + '.join(map(COUNT, POSITIVE))} AS pos, {' + '.join(map(COUNT, NEGATIVE))} AS neg FROM {{documents}} WHERE text IS NOT NULL)"
+sql_query("scal18_sentiment_words", f"WITH {SENTIMENT} SELECT doc_id, {rounded({'sentiment': 'coalesce(RAT(pos - neg, pos + neg), 0e0)'})} FROM st")
+sql_query("scal20_sentiment_label", f"WITH {SENTIMENT} SELECT doc_id, CASE WHEN coalesce(RAT(pos - neg, pos + neg), 0e0) > 0.2 THEN 'positive' WHEN coalesce(RAT(pos - neg, pos + neg), 0e0) < -0.2 THEN 'negative' ELSE 'neutral' END AS label FROM st")
+sql_query("scal21_catalyst_news", f"WITH st AS (SELECT doc_id, {COUNT('launch')} + {COUNT('new')} AS pos, {COUNT('recall')} + {COUNT('delay')} AS neg FROM {{documents}} WHERE text IS NOT NULL) SELECT doc_id, {rounded({'score': 'greatest(0e0, least(1e0, 0.5 + 0.1 * pos - 0.15 * neg))'}, 4)} FROM st")
+sql_query("agg21_sentiment_by_source", f"WITH {SENTIMENT}, u AS (SELECT source, pos, neg, count(*) AS n FROM st GROUP BY source, pos, neg) SELECT source, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_distinct, {rounded({'mean_sentiment': 'avg(coalesce(RAT(pos - neg, pos + neg), 0e0))'}, 5)} FROM u GROUP BY source")
+sql_query("scal23_fuzzy_concept", f"WITH al AS (SELECT * FROM {V(ALIASES)} AS t(alias, canonical)), q AS (SELECT DISTINCT p_type FROM {{part}}), s AS (SELECT p_type, alias, canonical, 1 - levenshtein(lower(p_type), lower(alias)) / CAST(greatest(length(p_type), length(alias)) AS DOUBLE) AS similarity FROM q CROSS JOIN al), k AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY round(similarity, 9) DESC, alias) AS place FROM s) SELECT p_type, canonical, {rounded({'similarity': 'similarity'}, 5)}, CAST(similarity >= 0.6 AS INT) AS accepted FROM k WHERE place = 1")
+sql_query("scal37_profile_check", "SELECT p.entity_id, concat_ws(',', CASE WHEN max(d.report_date) IS NULL THEN 'statements' END, CASE WHEN max(d.receivables) IS NULL THEN 'receivables' END, CASE WHEN max(d.cash_and_equivalents) IS NULL THEN 'cash' END, CASE WHEN max(d.research_and_development) IS NULL THEN 'research' END) AS absent FROM {peers} p LEFT JOIN {day} d ON d.entity_id = p.entity_id GROUP BY p.entity_id")
+sql_query("proj11_temporal_class", f"WITH c AS (SELECT entity_id, {', '.join(f'avg(CASE WHEN {x} <> {x}_0 THEN 1e0 WHEN {x}_0 IS NOT NULL THEN 0e0 END) AS {x}' for x in ('close', 'revenue', 'shares_outstanding'))} FROM (SELECT entity_id, close, revenue, shares_outstanding, lag(close) OVER {W} AS close_0, lag(revenue) OVER {W} AS revenue_0, lag(shares_outstanding) OVER {W} AS shares_outstanding_0 FROM {{day}}) a GROUP BY entity_id) SELECT entity_id, {', '.join(f'CASE WHEN {x} > 0.5 THEN {chr(39)}tick{chr(39)} WHEN {x} > 0.003 THEN {chr(39)}periodic{chr(39)} ELSE {chr(39)}static{chr(39)} END AS {x}_class' for x in ('close', 'revenue', 'shares_outstanding'))} FROM c")
+sql_query("proj12_model_feature_sets", "WITH c AS (SELECT entity_id, count(DISTINCT close) / CAST(count(*) AS DOUBLE) AS close, count(DISTINCT revenue) / CAST(count(*) AS DOUBLE) AS revenue, count(DISTINCT inventory) / CAST(count(*) AS DOUBLE) AS inventory FROM {day} GROUP BY entity_id) SELECT c.entity_id, model, concat_ws(',', CASE WHEN (c.close > 0.5) = fast THEN 'close' END, CASE WHEN (c.inventory > 0.5) = fast THEN 'inventory' END, CASE WHEN (c.revenue > 0.5) = fast THEN 'revenue' END) AS features FROM c CROSS JOIN (VALUES ('filter', true), ('trees', false)) AS t(model, fast)")
+sql_query("proj13_column_frequency", f"WITH c AS (SELECT entity_id, {', '.join(f'count(DISTINCT {x}) / CAST(nullif(count({x}), 0) AS DOUBLE) AS {x}' for x in ('close', 'revenue', 'shares_outstanding'))} FROM {{day}} GROUP BY entity_id) SELECT entity_id, {', '.join(f'CASE WHEN {x} > 0.10 THEN {chr(39)}daily{chr(39)} WHEN {x} > 0.01 THEN {chr(39)}quarterly{chr(39)} WHEN {x} > 0.002 THEN {chr(39)}annual{chr(39)} ELSE {chr(39)}constant{chr(39)} END AS {x}_frequency' for x in ('close', 'revenue', 'shares_outstanding'))} FROM c")
+sql_query("proj10_feature_selector", "WITH c AS (SELECT variable, count(CASE variable WHEN 'receivables' THEN receivables WHEN 'cash' THEN cash_and_equivalents WHEN 'research' THEN research_and_development WHEN 'long_term_debt' THEN long_term_debt ELSE revenue END) / CAST(count(*) AS DOUBLE) AS coverage FROM {fin} CROSS JOIN (VALUES ('receivables'), ('cash'), ('research'), ('long_term_debt'), ('revenue')) AS t(variable) GROUP BY variable), k AS (SELECT *, row_number() OVER (ORDER BY coverage DESC, variable) AS place FROM c WHERE coverage >= 0.7) SELECT variable, round(coverage + 1e-9, 6) AS coverage FROM k WHERE place <= 4")
+sql_query("proj14_sector_normaliser", "WITH r AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Electronic Computers' WHEN 1 THEN 'Crude Petroleum' WHEN 2 THEN 'State Commercial Banks' WHEN 3 THEN 'Retail-Variety Stores' WHEN 4 THEN 'Pharmaceutical Preparations' ELSE 'Electric Services' END AS raw FROM {supplier}) SELECT s_suppkey, raw, CASE WHEN lower(raw) LIKE '%computer%' OR lower(raw) LIKE '%software%' THEN 'technology' WHEN lower(raw) LIKE '%petrol%' OR lower(raw) LIKE '%oil%' THEN 'energy' WHEN lower(raw) LIKE '%bank%' THEN 'financial services' WHEN lower(raw) LIKE '%pharma%' THEN 'healthcare' WHEN lower(raw) LIKE '%electric serv%' THEN 'utilities' WHEN lower(raw) LIKE '%retail%' THEN 'consumer' ELSE 'unknown' END AS sector FROM r")
+PLANE = "CASE WHEN p_type LIKE '%STEEL%' OR p_type LIKE '%COPPER%' THEN 'supply' WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%TIN%' THEN 'manufacturing' WHEN p_type LIKE 'PROMO%' THEN 'consumption' ELSE 'logistics' END"
+sql_query("proj15_economic_plane", f"SELECT p_type, {PLANE} AS plane, count(*) AS n FROM {{part}} GROUP BY p_type")
+sql_query("proj16_relationship_plane", "SELECT o_orderpriority, plane, count(*) AS n FROM {orders} JOIN (VALUES ('1-URGENT', 'supply'), ('2-HIGH', 'supply'), ('3-MEDIUM', 'consumption'), ('4-NOT SPECIFIED', 'finance'), ('5-LOW', 'logistics')) AS t(kind, plane) ON o_orderpriority = kind GROUP BY o_orderpriority, plane")
+sql_query("proj17_signal_speed", f"WITH {RET}, s AS (SELECT entity_id, 'return_1d' AS signal, avg(abs(ret)) AS size FROM r GROUP BY entity_id UNION ALL SELECT entity_id, 'net_margin', avg(abs(RAT(net_income, revenue))) FROM {{fin}} GROUP BY entity_id UNION ALL SELECT entity_id, 'momentum_63d', avg(close) FROM {{px}} GROUP BY entity_id) SELECT entity_id, signal, CASE WHEN signal IN ('net_margin', 'roe', 'revenue_growth') THEN 'slow' WHEN signal IN ('momentum_63d', 'momentum_252d') THEN 'medium' ELSE 'fast' END AS speed, {rounded({'size': 'size'}, 4)} FROM s")
+sql_query("proj09_forecast_bounds", f"WITH {RET}, b AS (SELECT entity_id, min(close) AS low, max(close) AS high, max_by(close, date) AS last, avg(ret) AS drift, stddev_samp(ret) AS sd FROM r GROUP BY entity_id) SELECT entity_id, {rounded({'raw': 'last * (1 + 21 * drift)', 'bounded': 'least(last * CASE WHEN sd > 0.3 THEN 1.5e0 ELSE 1.25e0 END, greatest(last * CASE WHEN sd > 0.3 THEN 0.5e0 ELSE 0.75e0 END, last * (1 + 21 * drift)))'}, 4)} FROM b")
+sql_query("proj21_uncertainty_premium", "WITH n AS (SELECT x.entity_id, x.date, min(DAYS(x.date, f.filing_date)) AS days FROM {px} x JOIN {filings} f ON f.entity_id = x.entity_id AND f.filing_date >= x.date AND f.filing_date <= x.date + INTERVAL 100 DAY GROUP BY x.entity_id, x.date) SELECT entity_id, date, days, CASE WHEN days <= 0 THEN 2.5e0 WHEN days <= 2 THEN 2.0e0 WHEN days <= 5 THEN 1.5e0 WHEN days <= 10 THEN 1.2e0 ELSE 1e0 END AS premium FROM n")
+sql_query("join17_event_features", "WITH n AS (SELECT x.entity_id, x.date, min(DAYS(x.date, f.filing_date)) AS days, sum(CASE WHEN DAYS(x.date, f.filing_date) <= 30 THEN 1 ELSE 0 END) AS density FROM {px} x JOIN {filings} f ON f.entity_id = x.entity_id AND f.filing_date >= x.date AND f.filing_date <= x.date + INTERVAL 100 DAY GROUP BY x.entity_id, x.date) SELECT entity_id, date, days, CAST(density AS BIGINT) AS events_30d, CASE WHEN days <= 2 THEN 2.0e0 WHEN days <= 5 THEN 1.5e0 WHEN days <= 10 THEN 1.2e0 ELSE 1e0 END AS premium, CAST(day(date) BETWEEN 15 AND 20 AS INT) AS rate_meeting FROM n")
+CHANGE = f"ch AS (SELECT entity_id, date, revenue, CASE WHEN revenue <> lag(revenue) OVER {W} THEN 1 ELSE 0 END AS changed, revenue - lag(revenue) OVER {W} AS step FROM {{day}} WHERE revenue IS NOT NULL), ck AS (SELECT *, sum(changed) OVER {W} AS run FROM ch)"
+sql_query("win40_filing_change_days", f"WITH {CHANGE} SELECT entity_id, date, changed FROM ck")
+sql_query("win41_filing_timing", f"WITH {CHANGE}, n AS (SELECT *, row_number() OVER (PARTITION BY entity_id, run ORDER BY date) - 1 AS since, count(*) OVER (PARTITION BY entity_id, run) AS length FROM ck) SELECT entity_id, date, CAST(since AS INT) AS rows_since_change, {rounded({'cycle_position': 'since / CAST(length AS DOUBLE)'}, 5)} FROM n")
+sql_query("win42_filing_change_size", f"WITH {CHANGE} SELECT entity_id, date, {rounded({'change': 'CASE WHEN changed = 1 THEN abs(step) END'}, 3)} FROM ck")
+sql_query("win43_step_variance", f"WITH {CHANGE} SELECT entity_id, {rounded({'cv': 'RAT(sqrt(var_samp(step)), avg(abs(step)))'}, 5)}, count(*) AS n FROM ck WHERE step <> 0 GROUP BY entity_id")
+sql_query("win61_composite_peer_rank", f"WITH q AS (SELECT f.*, p.region, row_number() OVER (PARTITION BY f.entity_id ORDER BY report_date DESC) AS back FROM {{fin}} f JOIN {{peers}} p ON p.entity_id = f.entity_id), r AS (SELECT entity_id, 100 * cume_dist() OVER (PARTITION BY region ORDER BY RAT(net_income, revenue)) AS margin, 100 * cume_dist() OVER (PARTITION BY region ORDER BY RAT(current_assets, current_liabilities)) AS liquidity, 100 * cume_dist() OVER (PARTITION BY region ORDER BY RAT({DEBT}, total_equity) DESC) AS debt FROM q WHERE back = 1), c AS (SELECT *, (margin + liquidity + debt) / 3 AS composite FROM r) SELECT entity_id, {rounded({'composite': 'composite'}, 4)}, CASE WHEN composite >= 80 THEN 'Leader' WHEN composite >= 60 THEN 'Strong' WHEN composite >= 40 THEN 'Average' WHEN composite >= 20 THEN 'Weak' ELSE 'Laggard' END AS label FROM c")
+EXPANDING = "ex AS (SELECT a.entity_id, a.date, a.x, a.k FROM (SELECT entity_id, date, close AS x, row_number() OVER (PARTITION BY entity_id ORDER BY date) AS k FROM {px}) a)"
+# A value's place among the last 63 of its own history.
+HISTORY = "hi AS (SELECT a.entity_id, a.date, count(*) AS n, sum(CASE WHEN b.x <= a.x THEN 1e0 ELSE 0e0 END) AS below, sum(pow(0.97e0, a.k - b.k)) AS w, sum(CASE WHEN b.x <= a.x THEN pow(0.97e0, a.k - b.k) ELSE 0e0 END) AS wb FROM ex a JOIN (SELECT * FROM ex) b ON b.entity_id = a.entity_id AND b.k <= a.k AND b.k > a.k - 63 GROUP BY a.entity_id, a.date)"
+sql_query("win63_percentile_score", f"WITH {EXPANDING}, {HISTORY} SELECT entity_id, date, {rounded({'score': 'CASE WHEN n >= 20 THEN 100 * below / n END'}, 4)} FROM hi")
+sql_query("win64_weighted_percentile", f"WITH {EXPANDING}, {HISTORY} SELECT entity_id, date, {rounded({'score': 'CASE WHEN n >= 20 THEN 100 * wb / w END'}, 4)} FROM hi")
+sql_query("win65_normalise_0_100", f"WITH {EXPANDING}, {HISTORY} SELECT entity_id, date, {rounded({'normalised': 'CASE WHEN n >= 20 THEN greatest(0e0, least(100e0, 100 * below / n)) END', 'inverted': 'CASE WHEN n >= 20 THEN 100 - 100 * below / n END'}, 4)} FROM hi")
+PATTERN = f"pt AS (SELECT entity_id, date, CASE WHEN a <= b AND b <= c THEN 1 WHEN a <= c AND c < b THEN 2 WHEN c < a AND a <= b THEN 3 WHEN b < a AND a <= c THEN 4 WHEN b <= c AND c < a THEN 5 WHEN a > b AND b > c THEN 6 END AS p FROM (SELECT entity_id, date, lag(close, 2) OVER {W} AS a, lag(close) OVER {W} AS b, close AS c FROM {{px}}) x)"
+TERM = lambda k: f"CASE WHEN count(CASE WHEN p = {k} THEN 1 END) OVER w > 0 THEN -(count(CASE WHEN p = {k} THEN 1 END) OVER w / CAST(count(p) OVER w AS DOUBLE)) * ln(count(CASE WHEN p = {k} THEN 1 END) OVER w / CAST(count(p) OVER w AS DOUBLE)) ELSE 0e0 END"
+sql_query("win66_permutation_entropy", f"WITH {PATTERN}, e AS (SELECT entity_id, date, count(p) OVER w AS n, {' + '.join(TERM(k) for k in range(1, 7))} AS h FROM pt WINDOW w AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)) SELECT entity_id, date, {rounded({'entropy': 'CASE WHEN n >= 20 THEN h / ln(6e0) END'}, 5)} FROM e")
+sql_query("win54_candlesticks", f"WITH c AS (SELECT *, abs(close - open) AS body, high - low AS span, least(open, close) - low AS lower, high - greatest(open, close) AS upper, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2 FROM {{px}} WINDOW w AS {W}) SELECT entity_id, date, concat_ws(',', CASE WHEN span > 0 AND body < 0.1 * span THEN 'doji' END, CASE WHEN span > 0 AND lower > 2 * body AND upper < 0.3 * body THEN 'hammer' END, CASE WHEN span > 0 AND upper > 2 * body AND lower < 0.3 * body THEN 'shooting_star' END, CASE WHEN close > open AND c1 < o1 AND open <= c1 AND close >= o1 THEN 'bullish_engulfing' END, CASE WHEN close < open AND c1 > o1 AND open >= c1 AND close <= o1 THEN 'bearish_engulfing' END, CASE WHEN c2 < o2 AND abs(c1 - o1) < 0.3 * abs(c2 - o2) AND close > open AND close > (o2 + c2) / 2 THEN 'morning_star' END, CASE WHEN c2 > o2 AND abs(c1 - o1) < 0.3 * abs(c2 - o2) AND close < open AND close < (o2 + c2) / 2 THEN 'evening_star' END) AS patterns FROM c")
+sql_query("win57_pattern_drift", f"WITH c AS (SELECT *, CASE WHEN close > open AND lag(close) OVER w < lag(open) OVER w AND close >= lag(open) OVER w THEN 1 WHEN close < open AND lag(close) OVER w > lag(open) OVER w AND close <= lag(open) OVER w THEN -1 ELSE 0 END AS sign FROM {{px}} WINDOW w AS {W}) SELECT entity_id, date, {rounded({'factor': 'greatest(0.8e0, least(1.2e0, 1 + 0.04 * sum(sign) OVER (PARTITION BY entity_id ORDER BY date ROWS 4 PRECEDING)))'}, 4)} FROM c")
+sql_query("win90_candle_thresholds", f"WITH c AS (SELECT entity_id, abs(close - open) / close AS body, (high - low) / close AS span, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) AS back FROM {{px}}) SELECT entity_id, {rounded({'body_p20': 'percentile_cont(0.2) WITHIN GROUP (ORDER BY body)', 'body_p80': 'percentile_cont(0.8) WITHIN GROUP (ORDER BY body)', 'span_p50': 'percentile_cont(0.5) WITHIN GROUP (ORDER BY span)'})} FROM c WHERE back <= 252 GROUP BY entity_id")
+sql_query("win79_cycle_phase", f"WITH n AS (SELECT entity_id, date, row_number() OVER {W} AS k FROM {{px}}) SELECT entity_id, date, {rounded({f'{f}_{p}': f'{f}(2 * pi() * k / {p}e0)' for p in (21, 63, 252) for f in ('sin', 'cos')})} FROM n")
+sql_query("win80_cross_frequency_momentum", f"WITH {RET}, m AS (SELECT entity_id, date, sign(RAT(close, lag(close, 5) OVER {W}) - 1) AS a, sign(RAT(close, lag(close, 21) OVER {W}) - 1) AS b, sign(RAT(close, lag(close, 63) OVER {W}) - 1) AS c FROM r) SELECT entity_id, date, {rounded({'agreement': '(a + b + c) / 3'})}, CASE WHEN abs(a + b + c) = 3 THEN 'aligned' WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN 'mixed' END AS state FROM m")
+PHASES = "CROSS JOIN (VALUES (5e0), (10e0), (21e0), (42e0), (63e0), (126e0), (252e0)) AS t(period)"
+CYCLES = f"cy AS (SELECT entity_id, period, count(*) AS n, pow(sum((x - mean) * cos(2 * pi() * k / period)), 2) + pow(sum((x - mean) * sin(2 * pi() * k / period)), 2) AS power FROM (SELECT entity_id, close AS x, avg(close) OVER (PARTITION BY entity_id) AS mean, row_number() OVER {W} AS k FROM {{px}}) a {PHASES} GROUP BY entity_id, period), ct AS (SELECT *, power / sum(power) OVER (PARTITION BY entity_id) AS share, row_number() OVER (PARTITION BY entity_id ORDER BY power DESC) AS place FROM cy)"
+sql_query("top05_top_cycles", f"WITH {CYCLES} SELECT entity_id, CAST(period AS INT) AS period, {rounded({'share': 'share'}, 5)} FROM ct WHERE place <= 3")
+sql_query("fc85_cycle_bundle", f"WITH {CYCLES} SELECT entity_id, CAST(period AS INT) AS period, CASE WHEN period <= 10 THEN 'weekly' WHEN period <= 42 THEN 'monthly' WHEN period <= 126 THEN 'quarterly' ELSE 'annual' END AS label, {rounded({'share': 'share'}, 5)} FROM ct WHERE place <= 2")
+sql_query("top10_industry_peers", "WITH q AS (SELECT a.entity_id, b.entity_id AS peer, b.balance, row_number() OVER (PARTITION BY a.entity_id ORDER BY b.balance DESC, b.entity_id) AS place FROM {peers} a JOIN {peers} b ON b.nation = a.nation AND b.entity_id % 4 = a.entity_id % 4 AND b.entity_id <> a.entity_id) SELECT entity_id, peer, CAST(place AS INT) AS place FROM q WHERE place <= 5")
+sql_query("set05_schema_diff", "WITH b AS (SELECT DISTINCT event_type AS field, 'text' AS type FROM {events} UNION SELECT 'value', 'double' FROM {events}), c AS (SELECT DISTINCT event_type AS field, CASE WHEN event_type LIKE 'p%' THEN 'integer' ELSE 'text' END AS type FROM {events} WHERE event_type <> 'click') SELECT coalesce(b.field, c.field) AS field, CASE WHEN b.field IS NULL THEN 'added' WHEN c.field IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL OUTER JOIN c ON b.field = c.field WHERE b.field IS NULL OR c.field IS NULL OR b.type <> c.type")
+sql_query("agg32_latest_state", "SELECT entity_id, max(date) AS date, round(max_by(close, date) + 1e-7, 4) AS close, round(max_by(receivables, date) FILTER (WHERE receivables IS NOT NULL) + 1e-6, 3) AS receivables, round(max_by(cash_and_equivalents, date) FILTER (WHERE cash_and_equivalents IS NOT NULL) + 1e-6, 3) AS cash FROM {day} GROUP BY entity_id")
+sql_query("agg63_distinct_values", "SELECT entity_id, count(DISTINCT close) AS close, count(DISTINCT volume) AS volume, CAST(count(DISTINCT volume) > 3 AS INT) AS volume_usable FROM {px} GROUP BY entity_id")
+DIGITS = "dg AS (SELECT entity_id, CAST(substring(regexp_replace(CAST(CAST(floor(abs(close) * 10000) AS BIGINT) AS VARCHAR(30)), '^0+', ''), 1, 1) AS INT) AS digit FROM {px} WHERE abs(close) >= 0.001), dc AS (SELECT entity_id, digit, count(*) AS n, sum(count(*)) OVER (PARTITION BY entity_id) AS total FROM dg GROUP BY entity_id, digit), bf AS (SELECT entity_id, max(total) AS total, sum(n * n / (total * log10(1 + 1e0 / digit))) - max(total) AS chi_square FROM dc GROUP BY entity_id)"
+sql_query("agg49_benford_chi_square", f"WITH {DIGITS} SELECT entity_id, CAST(total AS BIGINT) AS n, {rounded({'chi_square': 'chi_square'}, 3)} FROM bf")
+sql_query("agg50_benford_conformity", f"WITH {DIGITS} SELECT entity_id, {rounded({'chi_square': 'chi_square', 'conformity': 'greatest(0e0, 1 - chi_square / total)'}, 3)}, CAST(chi_square > 15.507 AS INT) AS suspicious FROM bf")
+sql_query("agg60_latency_degradation", "WITH l AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events}), a AS (SELECT user_id, count(*) AS n, avg(CASE WHEN back <= 3 THEN value END) AS recent, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS median FROM l GROUP BY user_id) SELECT user_id, n, round(recent + 1e-9, 6) AS recent, round(median + 1e-9, 6) AS median, CAST(n >= 5 AND recent > 2 * median AS INT) AS degraded FROM a")
+BINS = "CASE WHEN {x} < -0.01 THEN 0 WHEN {x} > 0.01 THEN 2 ELSE 1 END"
+TE = f"{RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS mean FROM h GROUP BY region, date), s AS (SELECT h.entity_id, h.ret AS y1, lag(h.ret) OVER (PARTITION BY h.entity_id ORDER BY h.date) AS y0, lag(g.mean) OVER (PARTITION BY h.entity_id ORDER BY h.date) AS x0 FROM h JOIN g ON g.region = h.region AND g.date = h.date), b AS (SELECT entity_id, {BINS.replace('{x}', 'y1')} AS a, {BINS.replace('{x}', 'y0')} AS b, {BINS.replace('{x}', 'x0')} AS c FROM s WHERE y1 IS NOT NULL AND y0 IS NOT NULL AND x0 IS NOT NULL), n AS (SELECT entity_id, a, b, c, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY entity_id, a, b, c), w AS (SELECT *, sum(n) OVER (PARTITION BY entity_id) AS total, sum(n) OVER (PARTITION BY entity_id, a, b) AS ab, sum(n) OVER (PARTITION BY entity_id, b, c) AS bc, sum(n) OVER (PARTITION BY entity_id, b) AS bb FROM n)"
+sql_query("agg45_transfer_entropy", f"WITH {TE} SELECT entity_id, {rounded({'transfer_entropy': 'sum(n / total * ln(n * bb / (ab * bc)))'}, 5)} FROM w GROUP BY entity_id")
+sql_query("agg44_joint_crisis", f"WITH {RET}, q AS (SELECT entity_id, percentile_cont(0.1) WITHIN GROUP (ORDER BY ret) AS low FROM r GROUP BY entity_id), {HOME}, t AS (SELECT h.region, h.date, count(*) AS n, sum(CASE WHEN h.ret <= q.low THEN 1 ELSE 0 END) AS tail FROM h JOIN q ON q.entity_id = h.entity_id WHERE h.ret IS NOT NULL GROUP BY h.region, h.date) SELECT region, count(*) AS days, {rounded({'joint_crisis_probability': 'avg(CASE WHEN n = tail THEN 1e0 ELSE 0e0 END)'})} FROM t GROUP BY region")
+sql_query("agg43_tail_dependence_pairs", f"WITH {RET}, v AS (SELECT entity_id, date, ret, volume, high - low AS span FROM r WHERE ret IS NOT NULL), q AS (SELECT entity_id, percentile_cont(0.05) WITHIN GROUP (ORDER BY ret) AS a, percentile_cont(0.05) WITHIN GROUP (ORDER BY volume) AS b, percentile_cont(0.05) WITHIN GROUP (ORDER BY span) AS c FROM v GROUP BY entity_id) SELECT v.entity_id, {rounded({'volume_given_return': 'RAT(sum(CASE WHEN ret <= a AND volume <= b THEN 1e0 ELSE 0e0 END), sum(CASE WHEN ret <= a THEN 1e0 ELSE 0e0 END))', 'span_given_return': 'RAT(sum(CASE WHEN ret <= a AND span <= c THEN 1e0 ELSE 0e0 END), sum(CASE WHEN ret <= a THEN 1e0 ELSE 0e0 END))', 'span_given_volume': 'RAT(sum(CASE WHEN volume <= b AND span <= c THEN 1e0 ELSE 0e0 END), sum(CASE WHEN volume <= b THEN 1e0 ELSE 0e0 END))'}, 5)} FROM v JOIN q ON q.entity_id = v.entity_id GROUP BY v.entity_id")
+sql_query("scal25_put_call_ratio", "SELECT user_id, round(RAT(sum(CASE WHEN event_type = 'refund' THEN value ELSE 0e0 END), sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0e0 END)) + 1e-9, 6) AS put_call FROM {events} GROUP BY user_id")

@@ -29,9 +29,9 @@ def rounded(c: Column, digits: int = 6) -> Column:
 
 
 def safe_ratio(num: Column, den: Column, name: str, epsilon: float = EPSILON) -> list[Column]:
-    """num/den with two flags: missing input, and a denominator too small to divide by."""
+    """num/den with two flags: no value, and a denominator that is null or too small to divide by."""
     missing = num.isNull() | den.isNull()
-    invalid = den.isNotNull() & (F.abs(den) < epsilon)
+    invalid = den.isNull() | (F.abs(den) < epsilon)
     return [F.when(~missing & ~invalid, num / den).alias(name), (missing | invalid).cast("int").alias(f"is_missing_{name}"), invalid.cast("int").alias(f"invalid_math_{name}")]
 
 

@@ -7,7 +7,7 @@ from panelweave.plans.views import filings, peers, prices, table
 from panelweave.registry import query
 
 
-@query("proj01_safe_ratio", "SELECT entity_id, report_date, round(CASE WHEN abs(tax) >= 1e-9 THEN net / tax END + 1e-9, 4) AS net_to_tax, CAST(tax IS NULL OR net IS NULL OR abs(tax) < 1e-9 AS INTEGER) AS is_missing_net_to_tax, CAST(tax IS NOT NULL AND abs(tax) < 1e-9 AS INTEGER) AS invalid_math_net_to_tax FROM filings")
+@query("proj01_safe_ratio", "SELECT entity_id, report_date, round(CASE WHEN abs(tax) >= 1e-9 THEN net / tax END + 1e-9, 4) AS net_to_tax, CAST(tax IS NULL OR net IS NULL OR abs(tax) < 1e-9 AS INTEGER) AS is_missing_net_to_tax, CAST(tax IS NULL OR abs(tax) < 1e-9 AS INTEGER) AS invalid_math_net_to_tax FROM filings")
 def proj01(spark, sf_dir):
     ratio, missing, invalid = safe_ratio(F.col("net"), F.col("tax"), "net_to_tax")
     df = filings(spark, sf_dir).select("entity_id", "report_date", ratio, missing, invalid)

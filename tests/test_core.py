@@ -31,7 +31,7 @@ def test_asof_join(spark):
 def test_safe_ratio(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (1.0, None), (None, 2.0), (1.0, 1e-12)], "a double, b double")
     got = [tuple(r) for r in df.select(*core.safe_ratio(F.col("a"), F.col("b"), "r")).collect()]
-    assert got == [(0.5, 0, 0), (None, 1, 1), (None, 1, 0), (None, 1, 0), (None, 1, 1)]
+    assert got == [(0.5, 0, 0), (None, 1, 1), (None, 1, 1), (None, 1, 0), (None, 1, 1)]  # a null denominator is invalid too
 
 
 def test_parse_number(spark):

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelweave.llm.shared import column, materialize, pieces, ship
+from panelweave.llm.shared import column, materialize, pieces, ship, tasks
 
 SEED, WORDS, RADIUS, BLOCKS = 42, 3, 3, 5
 #: Fingerprints of one key that a task compares; above it the key is cut in cells of half as many.
 CELL = 1 << 16
+#: Parts in which the rows of one key are joined, as a component may hold a large share of all rows.
+SALT = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -169,10 +171,17 @@ def similar(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: in
     own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
     dealt = with_hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     dealt = dealt.select("mask", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    met = dealt.repartition("mask", "key", "a", "b").sortWithinPartitions("mask", "key", "a", "b", "fp")
+    met = dealt.repartition(tasks(fps.sparkSession), "mask", "key", "a", "b").sortWithinPartitions("mask", "key", "a", "b", "fp")
     return met.mapInArrow(partial(_compare, radius=radius), "src long, dst long").distinct()
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """``many`` with the columns of ``one``, which has one row per key; a key's rows are dealt by ``by`` over ``SALT`` tasks."""
+    many = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.join(one.hint("merge"), [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root``: the least node of each component, by large-star and small-star rounds.
 
@@ -185,10 +194,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        small = salted_join(large, low, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
         edges = materialize(small.distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
@@ -213,5 +222,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     root = components(similar(fps.select("fp"), radius, blocks, cell))
     joined = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(least, "root").select("fp", "component_id")
+    of = salted_join(joined, least, "root", "fp").select("fp", "component_id")
     return own.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

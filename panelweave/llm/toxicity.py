@@ -3,8 +3,10 @@
 Folding maps case, homoglyphs and digits to plain letters, so that spellings
 which look alike meet. The lexicon holds whole words and word beginnings with
 their log-odds of the label, learned on a bounded sample of labelled rows;
-hits within exception phrases don't count; the sum is normalised by length and
-a logistic curve, fitted on the same rows, gives the score.
+hits within exception phrases don't count: a few that are given, and pairs of
+words with a lexicon word that clean rows of the sample use more than toxic
+ones. The sum is normalised by length and a logistic curve, fitted on the same
+rows, gives the score.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from panelweave.llm.shared import column, pieces, ship
 
 #: Labelled rows that the lexicon is learned on, at most about so many of each label.
 MAX_TOXIC, MAX_CLEAN = 6000, 12_000
-#: A term needs so many different toxic documents and so much log-odds; the lexicon keeps so many terms.
-MIN_DOCS, MIN_ODDS, MAX_TERMS = 6, 2.5, 4096
+#: A term needs so many different toxic documents and so much log-odds; an exception so many different clean ones.
+MIN_DOCS, MIN_ODDS, MIN_CLEAN = 6, 2.5, 6
 PREFIXES = (4, 5, 6)
 #: Phrases in which a lexicon word says nothing about tone.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "stupid mistake of mine", "pond scum", "soap scum")
@@ -95,13 +97,13 @@ def score(x: tuple[float, float, float], curve: tuple[float, ...]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[float, ...]:
+    """Weighted logistic regression by Newton steps."""
     x = np.column_stack((np.ones(len(x)), x[:, 0], x[:, 1], np.minimum(x[:, 2], 10.0)))
     w, penalty = np.zeros(x.shape[1]), np.diag([1e-3, ridge, ridge, ridge])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (p - y)) + penalty @ w)
     return tuple(float(v) for v in w)
 
 
@@ -115,13 +117,23 @@ def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.int64())], names=[*batch.schema.names, "sig"])
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_list(text: str | None) -> list[str]:
+    return [w.strip("'") for w in fold(text or "").replace("’", "'").translate(PUNCTUATION).split()]
+
+
+def _terms(batches: Iterator[pa.RecordBatch], lexicon: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Weights of the rows that hold each word and beginning; with a lexicon, each pair of words of which one is in it."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in pieces(batches):
-        for text, toxic in zip(column(batch, "text"), column(batch, "toxic")):
-            words = {w.strip("'") for w in fold(text or "").replace("’", "'").translate(PUNCTUATION).split()}
-            counts[toxic].update({("w", w) for w in words if len(w) < 64} | {("p", w[:k]) for w in words for k in PREFIXES if len(w) > k})
-    rows = [(k, w, counts[1][k, w], counts[0][k, w]) for k, w in counts[0].keys() | counts[1].keys()]
+        for text, toxic, weight in zip(column(batch, "text"), column(batch, "toxic"), column(batch, "weight")):
+            words = word_list(text)
+            if lexicon is None:
+                found = {("w", w) for w in words} | {("p", w[:k]) for w in words for k in PREFIXES if len(w) > k}
+            else:
+                found = {("e", f"{a} {b}") for a, b in zip(words, words[1:]) if a in lexicon or b in lexicon}
+            for term in found:
+                counts[toxic][term] += weight
+    rows = [(k, w, float(counts[1][k, w]), float(counts[0][k, w])) for k, w in counts[0].keys() | counts[1].keys()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["kind", "term", "toxic", "clean"])
 
@@ -133,14 +145,15 @@ def _features(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
     auto = model.automaton()
     for batch in pieces(batches):
         found = np.array([features(t, auto) for t in column(batch, "text")])
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), *map(pa.array, found.T)], names=["toxic", "a", "b", "c"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in ("toxic", "weight")], *map(pa.array, found.T)], names=["toxic", "weight", "a", "b", "c"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Learns lexicon and curve from labelled rows whose crc32(doc_id) mod 5 isn't 0.
 
     The sample is drawn by a hash of the doc_id and bounded for each label;
-    those ids are broadcast. Documents that share a signature count once.
+    those ids are broadcast. Documents that share a signature have one
+    document's weight together, so that copies don't outweigh the rest.
     Rows without a label or text are left out; without labelled rows of both
     kinds the model is empty and scores all documents low.
     """
@@ -154,17 +167,26 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     share = F.when(F.col("toxic") == 1, max_toxic / n[1]).otherwise(max_clean / n[0])
     sample = F.broadcast(usable.where(rank < share))
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(sample, "doc_id")
-    own = own.select("text", "toxic").mapInArrow(_signature, "text string, toxic int, sig long").dropDuplicates(["sig"]).select("text", "toxic").cache()
-    n = dict(own.groupBy("toxic").count().collect())
+    own = own.select("text", "toxic").mapInArrow(_signature, "text string, toxic int, sig long").cache()
+    drawn = own
+    copies = F.broadcast(own.groupBy("sig").agg((1 / F.count("*")).alias("weight")))  # no more rows than the bounded sample
+    own = own.join(copies, "sig").select("text", "toxic", "weight")
+    n = dict(own.groupBy("toxic").agg(F.round(F.sum("weight"), 6)).collect())
     odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
-    terms = own.mapInArrow(_terms, "kind string, term string, toxic long, clean long").groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = [F.round(F.sum(x), 6).alias(x) for x in ("toxic", "clean")]  # so that the order of adding doesn't matter
+    schema = "kind string, term string, toxic double, clean double"
+    terms = own.mapInArrow(_terms, schema).groupBy("kind", "term").agg(*sums)
     terms = terms.where(F.col("toxic") >= MIN_DOCS).select("kind", "term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
-    found = terms.orderBy(F.desc("odds"), "kind", "term").limit(MAX_TERMS).collect()
+    found = terms.orderBy(F.desc("odds"), "kind", "term").collect()  # no more than the bounded sample can support
     model = Model({r["term"]: r["odds"] for r in found if r["kind"] == "w"}, {r["term"]: r["odds"] for r in found if r["kind"] == "p"})
-    rows = np.array(own.mapInArrow(partial(_features, model=model), "toxic int, a double, b double, c double").collect(), float).reshape(-1, 4)
-    own.unpersist()
+    pairs = own.mapInArrow(partial(_terms, lexicon=frozenset(model.words)), schema).groupBy("kind", "term").agg(*sums)
+    usual = pairs.where((F.col("clean") >= MIN_CLEAN) & (odds <= 0)).orderBy("term").collect()
+    model.exceptions = (*EXCEPTIONS, *(r["term"] for r in usual))
+    rows = np.array(own.mapInArrow(partial(_features, model=model), "toxic int, weight double, a double, b double, c double").collect(), float).reshape(-1, 5)
+    drawn.unpersist()
     if len(rows):
-        model.curve = fit_curve(rows[:, 1:], rows[:, 0])
+        rows = rows[np.lexsort(rows.T)]
+        model.curve = fit_curve(rows[:, 2:], rows[:, 0], rows[:, 1])
     return model
 
 

@@ -255,7 +255,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = b"".join(f.tobytes() for f in frames)
             cuts = shots(frames)
             mean = sum(payload) / max(1, len(payload))
-            feature = f"frames={len(frames)};shots={len(cuts)};cuts={'.'.join(map(str, cuts[:64]))};mean={mean:.4f}"
+            clips = ",".join(f"{a * 1000 // FPS}-{b * 1000 // FPS}" for a, b in zip(cuts, [*cuts[1:], len(frames)]))
+            feature = f"frames={len(frames)};shots={len(cuts)};clips_ms={clips};mean={mean:.4f}"
             rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature))
         types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in RESULT.split(", ")])

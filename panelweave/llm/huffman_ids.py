@@ -173,6 +173,8 @@ def write_ids(docs: DataFrame, path: str | None = None, buckets: int | None = No
     spark = docs.sparkSession
     ship(spark)
     path = vocabulary("byte_bpe_50k.json", path)
+    if tokenizer(path, "byte").code != "H":
+        raise ValueError(f"{path}: ids of more than 16 bits aren't supported")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], 10_000)).first()[0] or []

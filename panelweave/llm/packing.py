@@ -6,8 +6,9 @@ pads ``window - (pos[j] - pos[i])``, so the best ``i`` has the least
 ``cost[i] + pos[i]`` among those within reach, which a monotone queue keeps.
 
 Each scan task packs its own documents in the order read; nothing is shuffled,
-a lost task is read and packed again with the same result, and only the end of
-a task can be padded much. There, windows of exactly a power of two tokens are
+a lost task that scans files is read and packed again with the same result
+(rows in an order that may change, as after a shuffle, should be written
+first), and only the end of a task can be padded much. There, windows of exactly a power of two tokens are
 used as well, since they need no padding.
 """
 

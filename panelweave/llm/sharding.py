@@ -2,7 +2,7 @@
 
 Groups of equal texts stay together. Small groups are hashed into a fixed
 number of buckets; a group of more than ``1 / SPLIT`` of a shard is cut in
-pieces by doc_id. What
+pieces by the number of the row as written. What
 comes to the driver is one vector per bucket and piece, at most
 ``BUCKETS`` and a few hundred whatever the corpus holds; each is placed, large ones first, where
 the dot product of its vector with the residual capacity is highest. Slots are
@@ -41,7 +41,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, split:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = materialize(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.xxhash64(text).alias("group")), "sizes")
+    slim = materialize(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.xxhash64(text).alias("group"), F.monotonically_increasing_id().alias("rid")), "sizes")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = slim.agg(*sums).first()
     if not total["rows"]:
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, split:
     share = F.greatest(*[F.col(x) / F.lit(float(total[x] or 1)) for x in DIMENSIONS])
     heavy = slim.groupBy("group").agg(*sums).select("group", F.ceil(share * shards * split).cast("int").alias("pieces")).where("pieces > 1")  # no more than 3 * shards * split rows
     keyed = slim.join(F.broadcast(heavy), "group", "left")
-    keyed = keyed.withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(-1).cast("int"))
+    keyed = keyed.withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("pieces"))).otherwise(-1).cast("int"))
     keyed = keyed.withColumn("item", F.when(F.col("pieces").isNotNull(), F.col("group")).otherwise(F.pmod("group", F.lit(buckets)))).drop("pieces", "group")
     items = keyed.groupBy("item", "piece").agg(*sums).collect()
     items.sort(key=lambda r: (r["piece"], r["item"]))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import huffman_ids, mjpeg, packing, pii, quality, sentencepiece_scan, sharding, simhash, toxicity, warc
-from panelweave.llm.shared import table
+from panelweave.llm import huffman_ids, mjpeg, packing, pii, quality, sentencepiece_scan, sharding, simhash, stages, toxicity, warc
+from panelweave.llm.shared import materialize, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mjpeg.describe(mjpeg.store(table(spark, sf_dir, "documents")))
+    return mjpeg.describe(materialize(mjpeg.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_pii, op5_sharding, op6_media, op7_token_ids, op8_warc, op9_packing, op10_quality, pipeline)}

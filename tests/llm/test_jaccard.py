@@ -52,7 +52,7 @@ def test_cells_lose_no_link(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     own = jaccard.with_sets(docs)
     for cell in ({"cell": 8}, {"cell_bytes": 4000}):
-        groups = own.join(jaccard.near_groups(own, **cell), "sid").groupBy("root").agg({"doc_id": "min"}).collect()
+        groups = own.join(jaccard.near_groups(own, jaccard.place(docs, "text"), **cell), "sid").groupBy("root").agg({jaccard.place(docs, "doc_id"): "min"}).collect()
         assert sorted(r[1] for r in groups) == sorted(set(plain_roots(texts)))
 
 

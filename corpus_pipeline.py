@@ -1,69 +1,5 @@
-"""The corpus pipeline: documents to packed training sequences, stage by stage.
+"""The corpus pipeline: its stages, in order, and what runs them. They live in ``panelweave.llm.stages``, so that the package alone can run them."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before
-kept; ``run`` writes each stage's result to the shared folder and reads it
-back. Null texts fail the quality rules; repeated rows are near copies of each
-other, so one stays; an empty table gives no rows.
-"""
+from panelweave.llm.stages import ORACLE_SQL, STAGES, near_dedup, pack_sequences, personal_data, quality_rules, run, toxicity_filter
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from panelweave.llm import jaccard, packing, pii, quality, toxicity
-from panelweave.llm.shared import materialize, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
-    return quality.keep_good(docs)
-
-
-def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half by a model learned on the labels of documents still here."""
-    return toxicity.keep_civil(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of 5-word similarity 0.8: the one with the least doc_id.
-
-    A row without a doc_id stays only where its group has no other; of rows with
-    the same doc_id in one group, or without any, one stays by a hash of the row.
-    """
-    own = jaccard.with_sets(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "rid")
-    best = own.groupBy("sid").agg(F.min(place).alias("best"))
-    rows = best.join(jaccard.near_groups(own), "sid").groupBy("root").agg(F.min("best").alias("best")).select("best.rid")
-    return own.join(rows, "rid", "left_semi").select(docs.columns)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by its kind."""
-    return pii.redact(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxicity_filter),
-    ("simhash_near_dedup", near_dedup),
-    ("pii", personal_data),
-    ("packing", pack_sequences),
-]
-
-#: The stages beyond the first can't be written in SQL; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "near_dedup", "pack_sequences", "personal_data", "quality_rules", "run", "toxicity_filter"]

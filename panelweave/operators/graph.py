@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from panelweave.core import rounded
 from panelweave.plans.views import table
 from panelweave.registry import query
+from panelweave.sources.files import scratch
 
 
 def edges(spark, sf_dir) -> DataFrame:
@@ -41,9 +42,7 @@ def pagerank(spark, sf_dir, damping: float = 0.85, rounds: int = 100, tol: float
     Every fourth round is checkpointed and its change, one number, comes to the driver.
     """
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(scratch(spark, "ranks"))
     e = edges(spark, sf_dir)
     e = e.union(e.select("dst", "src", "weight")).toDF("src", "dst", "weight")
     e = e.join(e.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")).checkpoint()

@@ -22,8 +22,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units that a worker remembers.
-MEMO = 900_000
+#: Units and pre-tokens that a worker remembers.
+MEMO, PARTS = 600_000, 400_000
 #: Longer units are not remembered.
 LONGEST = 64
 #: White space other than space and line feed, and the separators that only Python takes for white space.
@@ -70,7 +70,7 @@ class MemoTokenizer:
         """The ids of each text, as native-endian integers of ``self.code``."""
         if len(self.known) > self.memo:
             self.known.clear()
-        if len(self.parts) > self.memo:
+        if len(self.parts) > PARTS:
             self.parts.clear()
         get, new, cut = self.known.get, set(), []
         for text in texts:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import huffman_ids, mjpeg, packing, pii, quality, sentencepiece_scan, sharding, simhash, stages, toxicity, warc
+from panelweave.llm import huffman_ids, mjpeg, packing, pii, quality, sentencepiece_scan, sharding, simhash, stages, toxicity, warc, whitening
 from panelweave.llm.shared import materialize, table
 
 
@@ -51,10 +51,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_pii, op5_sharding, op6_media, op7_token_ids, op8_warc, op9_packing, op10_quality, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_pii, op5_sharding, op6_media, op7_token_ids, op8_warc, op9_packing, op10_quality, op11_whitening, pipeline)}
 ORACLES: dict[str, str] = {}
 

@@ -99,11 +99,15 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return found.withColumn("pos", F.col("at") + F.coalesce("before", F.lit(0))).drop("part", "at", "before", "tie")
 
 
+def joined(slots: list[str]) -> str:
+    """The digests of these slots one after another, as SQL; written as text, which the driver builds in one call."""
+    return f"concat({', '.join(f"coalesce({c}.leaf, '')" for c in slots)})" if slots else "''"
+
+
 def pivot(nodes: DataFrame, kept: list[str]) -> DataFrame:
     """A row for each parent: its children in the columns ``c0`` to ``c15``, and their common digest."""
-    slots = [F.first(F.when(F.pmod("pos", F.lit(FANOUT)) == k, F.struct(*kept)), ignorenulls=True).alias(c) for k, c in enumerate(SLOTS)]
-    wide = nodes.groupBy("g", F.expr(f"pos div {FANOUT}").alias("parent")).agg(*slots)
-    return wide.withColumn("digest", digest(F.concat(*[F.coalesce(F.col(f"{c}.leaf"), F.lit("")) for c in SLOTS])))
+    slots = [F.expr(f"first(CASE WHEN pmod(pos, {FANOUT}) = {k} THEN struct({', '.join(kept)}) END, true)").alias(c) for k, c in enumerate(SLOTS)]
+    return nodes.groupBy("g", F.expr(f"pos div {FANOUT}").alias("parent")).agg(*slots).withColumn("digest", F.expr(f"sha2({joined(SLOTS)}, 256)"))
 
 
 def climb(nodes: DataFrame, kept: list[str]) -> tuple[list[DataFrame], DataFrame]:
@@ -123,9 +127,8 @@ def climb(nodes: DataFrame, kept: list[str]) -> tuple[list[DataFrame], DataFrame
 
 def children(groups: DataFrame, *carried: str) -> DataFrame:
     """A row for each child: its siblings in ``left`` and ``right``, joined to what its parent has above."""
-    side = lambda of: F.concat(*[F.coalesce(F.col(f"{c}.leaf"), F.lit("")) for c in of]) if of else F.lit("")
-    each = F.array(*[F.struct(F.lit(k).alias("slot"), F.col(c).alias("own"), side(SLOTS[:k]).alias("left"), side(SLOTS[k + 1 :]).alias("right")) for k, c in enumerate(SLOTS)])
-    rows = groups.select("g", "parent", "path", F.expr(LONE).alias("lone"), *carried, F.explode(each).alias("x")).where("x.own IS NOT NULL")
+    each = ", ".join(f"struct({k} AS slot, {c} AS own, {joined(SLOTS[:k])} AS left, {joined(SLOTS[k + 1 :])} AS right)" for k, c in enumerate(SLOTS))
+    rows = groups.select("g", "parent", "path", F.expr(LONE).alias("lone"), *carried, F.expr(f"explode(array({each}))").alias("x")).where("x.own IS NOT NULL")
     step = F.when(F.col("lone"), F.array().cast(PATH)).otherwise(F.array(F.struct(F.col("x.left").alias("left"), F.col("x.right").alias("right"))))
     return rows.select("g", (F.col("parent") * FANOUT + F.col("x.slot")).alias("pos"), F.col("x.own").alias("own"), F.concat(step, "path").alias("path"), *carried)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import huffman_ids, merkle, mjpeg, packing, pii, quality, sentencepiece_scan, sharding, simhash, stages, toxicity, warc, whitening
+from panelweave.llm import huffman_ids, merkle, mjpeg, packing, pii, quality, sentencepiece_scan, sharding, simhash, stages, suffixes, toxicity, warc, whitening
 from panelweave.llm.shared import materialize, table
 
 
@@ -59,10 +59,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_pii, op5_sharding, op6_media, op7_token_ids, op8_warc, op9_packing, op10_quality, op11_whitening, op12_merkle, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_pii, op5_sharding, op6_media, op7_token_ids, op8_warc, op9_packing, op10_quality, op11_whitening, op12_merkle, op13_decontamination, pipeline)}
 ORACLES: dict[str, str] = {}
 

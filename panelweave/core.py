@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-9
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the session did not set a path."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def trailing(rows: int, *keys: str, order: str = "date") -> Window:
     """The last ``rows`` rows of each key, the current one included."""
     return Window.partitionBy(*(keys or ("entity_id",))).orderBy(order).rowsBetween(1 - rows, 0)

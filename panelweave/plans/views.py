@@ -49,4 +49,5 @@ def with_views(sql: str) -> str:
     for name in ("day", "fin"):
         wanted |= set(known[name][1:]) if name in wanted else set()
     used = [known[name][0] for name in ("px", "filings", "peers", "fin", "day", "macro") if name in wanted]
-    return "WITH " + ", ".join(used) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql) if used else sql
+    head = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    return head + ", ".join(used) + (", " + sql[len(head) :] if sql.startswith("WITH ") else " " + sql) if used else sql

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.core import ship
+
 TASK_ROWS, LEAST_ROWS = 1_000_000, 4096
 
 
@@ -214,6 +216,7 @@ def scan(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], f
     gives no rows.
     """
     spark, kept = df.sparkSession, df.columns
+    ship(spark)
     df = df.withColumn("scan_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     df.write.parquet(f"{scratch}/rows")
     rows = spark.read.schema(df.schema).parquet(f"{scratch}/rows")

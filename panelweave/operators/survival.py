@@ -39,7 +39,7 @@ def distance(value: str, level: float, below: bool) -> str:
 
 SIGNALS = [("cr", CURRENT_RATIO, True), ("de", DEBT_TO_EQUITY, False), ("fy", FCF_YIELD, True), ("drawdown", DRAWDOWN, True)]
 DISTANCES = ", ".join(f"CASE WHEN {v} IS NOT NULL THEN {distance(v, t, b)} END AS s{k}" for k, (v, t, b) in enumerate(SIGNALS))
-GEOMETRIC = "pow(" + " * ".join(f"coalesce(1 + greatest(-0.99e0, s{k}), 1e0)" for k in range(4)) + ", 1e0 / greatest(1, " + " + ".join(f"CAST(s{k} IS NOT NULL AS INT)" for k in range(4)) + ")) - 1"
+GEOMETRIC = "pow(" + " * ".join(f"CASE WHEN s{k} IS NULL THEN 1e0 ELSE 1 + greatest(-0.99e0, s{k}) END" for k in range(4)) + ", 1e0 / greatest(1, " + " + ".join(f"CAST(s{k} IS NOT NULL AS INT)" for k in range(4)) + ")) - 1"
 PROBABILITY = f"1 / (1 + exp(-greatest(s0, s1, s2, s3, {GEOMETRIC})))"
 # It rises with distress: the worst trigger, or several near ones together.
 sql_query("anal02_survival_probability", f"WITH {PANEL}, s AS (SELECT entity_id, date, {DISTANCES} FROM x) SELECT entity_id, date, {rounded({'survival_probability': PROBABILITY})} FROM s")

@@ -63,6 +63,12 @@ def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
     return spark.sql(expand(TEXTS[name], SPARK_FORMS), **frames)
 
 
+def select(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs a SELECT over named frames, made from the tables."""
+    used = dict.fromkeys(NAMED.findall(text))
+    return spark.sql(expand(" ".join(text.split()), SPARK_FORMS), **{x: FRAMES[x](spark, sf_dir) if x in FRAMES else views.table(spark, sf_dir, x) for x in used})
+
+
 def sql_query(name: str, text: str) -> None:
     """Registers ``text`` as a query over the frames that it names, and as its own SQL for DuckDB."""
     text = " ".join(text.split())

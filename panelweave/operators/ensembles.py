@@ -18,7 +18,7 @@ POINT = f"{WEIGHTS}, la AS (SELECT er.entity_id, er.date, er.model, er.predicted
 HORIZONS = "(VALUES (1e0), (5e0), (21e0), (252e0)) AS hz(h)"
 sql_query("agg28_forecast_aggregation", f"WITH {POINT} SELECT entity_id, CAST(h AS INT) AS horizon, {rounded({'forecast': 'close + (point - close) * h'}, 3)} FROM pt CROSS JOIN {HORIZONS}")
 sql_query("agg37_coverage_confidence", f"WITH {MODELS}, q AS (SELECT entity_id, model, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(err)) AS w, max(close) - min(close) AS span FROM er GROUP BY entity_id, model) SELECT er.entity_id, er.model, {rounded({'coverage': 'avg(CASE WHEN abs(err) <= w THEN 1e0 ELSE 0e0 END)', 'confidence': 'avg(CASE WHEN abs(err) <= w THEN 1e0 ELSE 0e0 END) * greatest(0e0, 1 - max(w) / max(span))'}, 5)} FROM er JOIN q ON q.entity_id = er.entity_id AND q.model = er.model WHERE err IS NOT NULL GROUP BY er.entity_id, er.model")
-sql_query("agg77_tier_model_priors", f"WITH {SCORES}, t AS (SELECT CASE WHEN entity_id % 3 = 0 THEN 1 WHEN entity_id % 3 = 1 THEN 2 ELSE 3 END AS tier, model, avg(rmse) AS rmse FROM sc GROUP BY CASE WHEN entity_id % 3 = 0 THEN 1 WHEN entity_id % 3 = 1 THEN 2 ELSE 3 END, model) SELECT tier, model, {rounded({'prior': '(1 / rmse) / sum(1 / rmse) OVER (PARTITION BY tier)'})} FROM t")
+sql_query("agg77_tier_model_priors", f"WITH {SCORES}, t AS (SELECT tier, model, avg(rmse) AS rmse FROM sc JOIN {{tiers}} s ON s.entity_id = sc.entity_id GROUP BY tier, model) SELECT tier, model, {rounded({'prior': '(1 / rmse) / sum(1 / rmse) OVER (PARTITION BY tier)'})} FROM t")
 sql_query("fc15_temporal_split", f"WITH p AS (SELECT entity_id, date, percent_rank() OVER {W} AS place FROM {{px}}) SELECT entity_id, date, CASE WHEN place > 0.8 THEN 'test' ELSE 'train' END AS part FROM p")
 sql_query("fc81_adaptive_split", f"WITH p AS (SELECT entity_id, date, percent_rank() OVER {W} AS place, count(*) OVER (PARTITION BY entity_id) AS n FROM {{px}}) SELECT entity_id, date, CASE WHEN place > 1 - greatest(0.1e0, least(0.3e0, 4 / sqrt(n))) THEN 'test' ELSE 'train' END AS part FROM p")
 CONFORMAL = f"{POINT}, ql AS (SELECT entity_id, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(err)) AS q FROM er WHERE model = 'last' AND err IS NOT NULL GROUP BY entity_id)"
@@ -45,7 +45,7 @@ sql_query("fc56_ohlc_bands", f"WITH {CONFORMAL} SELECT pt.entity_id, CAST(h AS I
 sql_query("fc62_latest_values", f"SELECT entity_id, {rounded({x: f'max_by({x}, date) FILTER (WHERE {x} IS NOT NULL)' for x in ('close', 'revenue', 'receivables', 'total_equity')}, 3)} FROM {{day}} GROUP BY entity_id")
 sql_query("fc74_secular_regime", f"WITH p AS (SELECT entity_id, date, RAT(close, max(close) OVER (PARTITION BY entity_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS fall FROM {{px}}) SELECT entity_id, date, CASE WHEN fall > -0.1 THEN 'secular_bull' WHEN fall > -0.3 THEN 'correction' ELSE 'secular_bear' END AS regime FROM p")
 sql_query("fc75_forecast_bounds", f"SELECT entity_id, {rounded({'close_low': 'min(close)', 'close_high': 'max(close)', 'revenue_low': 'min(revenue)', 'revenue_high': 'max(revenue)'}, 3)} FROM {{day}} GROUP BY entity_id")
-sql_query("fc80_plane_weights", f"WITH {WEIGHTS}, a AS (SELECT entity_id, model, weight * CASE WHEN (entity_id % 2 = 0) = (model IN ('trend', 'mean')) THEN 1.2e0 ELSE 0.9e0 END AS raw FROM wt) SELECT entity_id, model, {rounded({'weight': 'raw / sum(raw) OVER (PARTITION BY entity_id)'})} FROM a")
+sql_query("fc80_plane_weights", f"WITH {WEIGHTS}, a AS (SELECT wt.entity_id, model, weight * CASE WHEN (trends = 1) = (model IN ('trend', 'mean')) THEN 1.2e0 ELSE 0.9e0 END AS raw FROM wt JOIN {{trending}} q ON q.entity_id = wt.entity_id) SELECT entity_id, model, {rounded({'weight': 'raw / sum(raw) OVER (PARTITION BY entity_id)'})} FROM a")
 # One panel at several frequencies, and what they say together.
 FREQS = "fq AS (SELECT entity_id, freq, period, max_by(close, date) AS close, max(date) AS date FROM (SELECT x.*, freq, CAST(CASE freq WHEN 'W' THEN date_trunc('week', date) WHEN 'M' THEN date_trunc('month', date) ELSE date_trunc('quarter', date) END AS DATE) AS period FROM {px} x CROSS JOIN (VALUES ('W'), ('M'), ('Q')) AS t(freq)) a GROUP BY entity_id, freq, period), fr AS (SELECT *, RAT(close, lag(close) OVER w) - 1 AS ret, RAT(close, max(close) OVER (PARTITION BY entity_id, freq ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS fall, row_number() OVER (PARTITION BY entity_id, freq ORDER BY period DESC) AS back FROM fq WINDOW w AS (PARTITION BY entity_id, freq ORDER BY period)), fx AS (SELECT *, CASE WHEN fall < -0.3 THEN 'bear' WHEN ret > 0 THEN 'bull' ELSE 'flat' END AS regime, CASE freq WHEN 'W' THEN 0.2e0 WHEN 'M' THEN 0.3e0 ELSE 0.5e0 END AS weight FROM fr)"
 CONSENSUS = f"{FREQS}, vt AS (SELECT entity_id, regime, sum(weight) AS votes FROM fx WHERE back = 1 GROUP BY entity_id, regime), cs AS (SELECT entity_id, regime, votes, row_number() OVER (PARTITION BY entity_id ORDER BY votes DESC, regime) AS place FROM vt)"
@@ -71,7 +71,7 @@ sql_query("agg40_plain_transitions", f"WITH {RET}, s AS (SELECT entity_id, date,
 sql_query("agg67_regime_risk_multiplier", f"WITH {RET}, s AS (SELECT entity_id, CASE WHEN RAT(close, lag(close, 21) OVER {W}) - 1 < -0.1 THEN 'bear' WHEN RAT(close, lag(close, 21) OVER {W}) - 1 > 0.1 THEN 'bull' ELSE 'flat' END AS regime, ret FROM r), v AS (SELECT entity_id, regime, stddev_samp(ret) AS sd FROM s GROUP BY entity_id, regime) SELECT entity_id, {rounded({'multiplier': 'RAT(max(sd), min(sd))'}, 5)} FROM v GROUP BY entity_id")
 sql_query("agg78_proxy_confidence", f"SELECT entity_id, report_date, {rounded({'confidence': 'exp(ln(CASE WHEN receivables IS NULL THEN 0.6e0 ELSE 1e0 END) + ln(CASE WHEN cash_and_equivalents IS NULL THEN 0.5e0 ELSE 1e0 END) + ln(CASE WHEN research_and_development IS NULL THEN 0.8e0 ELSE 1e0 END))'})} FROM {{fin}}")
 sql_query("set02_causal_edges", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS x FROM h GROUP BY region, date), p AS (SELECT a.region AS src, b.region AS dst, corr(a.x, b.y) AS c, corr(sign(a.x), sign(b.y)) AS s FROM g a JOIN (SELECT region, lag(date) OVER (PARTITION BY region ORDER BY date) AS date, x AS y FROM g) b ON b.date = a.date AND b.region <> a.region GROUP BY a.region, b.region), u AS (SELECT src, dst, 'granger' AS method FROM p WHERE abs(c) > 0.02 UNION ALL SELECT src, dst, 'transfer_entropy' FROM p WHERE abs(s) > 0.02) SELECT src, dst, CASE WHEN count(*) > 1 THEN 'both' ELSE min(method) END AS method FROM u GROUP BY src, dst")
-sql_query("set06_weight_merge", f"WITH {WEIGHTS}, o AS (SELECT entity_id, 'last' AS model, 0.5e0 AS weight FROM {{peers}} WHERE entity_id % 2 = 0 UNION ALL SELECT entity_id, 'expert', 0.1e0 FROM {{peers}} WHERE entity_id % 3 = 0) SELECT coalesce(wt.entity_id, o.entity_id) AS entity_id, coalesce(wt.model, o.model) AS model, {rounded({'weight': 'coalesce(o.weight, wt.weight)'})} FROM wt FULL OUTER JOIN o ON o.entity_id = wt.entity_id AND o.model = wt.model")
+sql_query("set06_weight_merge", f"WITH {WEIGHTS}, o AS (SELECT * FROM {{expert_weights}}) SELECT coalesce(wt.entity_id, o.entity_id) AS entity_id, coalesce(wt.model, o.model) AS model, {rounded({'weight': 'coalesce(o.weight, wt.weight)'})} FROM wt FULL OUTER JOIN o ON o.entity_id = wt.entity_id AND o.model = wt.model")
 # Suppliers are connected where their customers' countries are; a share of each link passes an infection on.
 EDGES = "ed AS (SELECT DISTINCT s_suppkey AS src, n_name AS dst FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey), hop AS (SELECT src, dst, 0.3e0 AS p FROM ed)"
 sql_query("graph04_k_hop_exposure", f"WITH {EDGES}, h1 AS (SELECT dst AS node, max(p) AS p FROM hop WHERE src % 7 = 0 GROUP BY dst), h2 AS (SELECT hop.src AS node, max(h1.p * 0.3e0) AS p FROM hop JOIN h1 ON h1.node = hop.dst GROUP BY hop.src) SELECT node, {rounded({'exposure': 'p'})} FROM h2")

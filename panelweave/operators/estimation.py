@@ -5,14 +5,8 @@ from panelweave.sqlops import rounded, sql_query
 
 W = "(PARTITION BY entity_id ORDER BY date)"
 WQ = "(PARTITION BY entity_id ORDER BY report_date)"
-# Fields with holes made by rule, as filings have them.
-HOLES = {
-    "revenue": "CASE WHEN (entity_id + month(report_date)) % 11 <> 0 THEN revenue END", "cost_of_revenue": "CASE WHEN entity_id % 3 <> 0 THEN cost_of_revenue END", "gross_profit": "CASE WHEN (entity_id + year(report_date)) % 4 <> 0 THEN gross_profit END",
-    "total_assets": "CASE WHEN entity_id % 5 <> 1 THEN total_assets END", "total_liabilities": "CASE WHEN entity_id % 5 <> 2 THEN total_liabilities END", "total_equity": "CASE WHEN entity_id % 5 <> 3 THEN total_equity END",
-    "operating_cash_flow": "operating_cash_flow", "capex": "CASE WHEN quarter(report_date) <> 3 THEN capex END",
-}
-GAPPY = f"g AS (SELECT entity_id, report_date, filing_date, {', '.join(f'{e} AS {k}' for k, e in HOLES.items())} FROM {{fin}})"
-FLAGS = f"{GAPPY}, f AS (SELECT g.*, CASE WHEN entity_id % 4 = 0 THEN 0 ELSE CAST(revenue IS NULL AS INT) END AS is_missing_revenue, CAST(capex IS NULL AS INT) AS is_missing_capex, CASE WHEN entity_id % 6 = 0 AND revenue IS NOT NULL THEN 1 ELSE 0 END AS invalid_math_revenue, 0 AS invalid_math_capex FROM g)"
+GAPPY = "g AS (SELECT * FROM {fin_gaps})"
+FLAGS = "f AS (SELECT * FROM {fin_flagged})"
 MISSING = "SELECT entity_id, column_name, sum(CASE WHEN flag <> absent THEN 1 ELSE 0 END) AS wrong FROM (SELECT entity_id, 'revenue' AS column_name, is_missing_revenue AS flag, CAST(revenue IS NULL AS INT) AS absent FROM f UNION ALL SELECT entity_id, 'capex', is_missing_capex, CAST(capex IS NULL AS INT) FROM f) u GROUP BY entity_id, column_name"
 INVALID = "SELECT entity_id, column_name, sum(CASE WHEN flag = 1 AND there = 1 THEN 1 ELSE 0 END) AS wrong FROM (SELECT entity_id, 'revenue' AS column_name, invalid_math_revenue AS flag, CAST(revenue IS NOT NULL AS INT) AS there FROM f UNION ALL SELECT entity_id, 'capex', invalid_math_capex, CAST(capex IS NOT NULL AS INT) FROM f) u GROUP BY entity_id, column_name"
 AHEAD = "SELECT entity_id, 'report_date' AS column_name, sum(CASE WHEN report_date > filing_date THEN 1 ELSE 0 END) AS wrong FROM f GROUP BY entity_id"
@@ -21,10 +15,10 @@ sql_query("dq03_invalid_math_audit", f"WITH {FLAGS}, a AS ({INVALID}) SELECT ent
 RUN = f"{FLAGS}, m AS ({MISSING}), i AS ({INVALID}), l AS ({AHEAD}), a AS (SELECT 'missing_flag' AS test, * FROM m UNION ALL SELECT 'invalid_math', * FROM i UNION ALL SELECT 'look_ahead', * FROM l)"
 sql_query("dq04_quality_run", f"WITH {RUN} SELECT test, column_name, CAST(sum(wrong) AS BIGINT) AS wrong, CASE WHEN sum(wrong) = 0 THEN 'pass' WHEN test = 'look_ahead' THEN 'error' ELSE 'warning' END AS status FROM a GROUP BY test, column_name")
 sql_query("dq05_quality_by_entity", f"WITH {RUN} SELECT entity_id, count(*) AS n_checks, CAST(sum(CASE WHEN wrong > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(sum(wrong) AS BIGINT) AS n_wrong FROM a GROUP BY entity_id")
-# Every fifth filing date lies before its report date; it is set to the day after it.
-BROKEN = "b AS (SELECT entity_id, report_date, CASE WHEN (entity_id + month(report_date)) % 5 = 0 THEN CAST(report_date - INTERVAL 3 DAY AS DATE) ELSE filing_date END AS filing_date, revenue FROM {fin}), rp AS (SELECT entity_id, report_date, CASE WHEN filing_date < report_date THEN CAST(report_date + INTERVAL 1 DAY AS DATE) ELSE filing_date END AS filing_date, CAST(filing_date < report_date AS INT) AS repaired, revenue FROM b)"
-sql_query("dq07_filing_date_repair", f"WITH {BROKEN} SELECT entity_id, report_date, filing_date, repaired FROM rp")
-AMENDED = f"{BROKEN}, am AS (SELECT * FROM rp UNION ALL SELECT entity_id, report_date, CAST(filing_date + INTERVAL 60 DAY AS DATE), repaired, revenue * 1.15 FROM rp WHERE entity_id % 3 = 0)"
+# A filing date before its report date is set to the day after it.
+REPAIRED = "SELECT entity_id, report_date, CASE WHEN filing_date < report_date THEN CAST(report_date + INTERVAL 1 DAY AS DATE) ELSE filing_date END AS filing_date, CAST(filing_date < report_date AS INT) AS repaired, revenue FROM"
+sql_query("dq07_filing_date_repair", f"WITH rp AS ({REPAIRED} {{fin_misdated}}) SELECT entity_id, report_date, filing_date, repaired FROM rp")
+AMENDED = f"am AS ({REPAIRED} {{fin_amended}})"
 sql_query("top02_duplicate_filings", f"WITH {AMENDED}, k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, report_date ORDER BY filing_date DESC) AS place FROM am) SELECT entity_id, report_date, filing_date, {rounded({'revenue': 'revenue'}, 3)} FROM k WHERE place = 1")
 sql_query("top01_restatements", f"WITH {AMENDED}, k AS (SELECT *, row_number() OVER w AS place, lead(revenue) OVER w AS before FROM am WINDOW w AS (PARTITION BY entity_id, report_date ORDER BY filing_date DESC)) SELECT entity_id, report_date, filing_date, CAST(coalesce(abs(RAT(revenue - before, before)) > 0.1, false) AS INT) AS restated FROM k WHERE place = 1")
 sql_query("dq09_statement_reconciliation", f"WITH {AMENDED}, k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, report_date ORDER BY filing_date DESC) AS place FROM am), s AS (SELECT entity_id, count(*) AS n_filings, CAST(sum(repaired) AS BIGINT) AS n_repaired, max(filing_date) AS newest FROM k WHERE place = 1 GROUP BY entity_id) SELECT *, CAST(DAYS(newest, CAST('2002-06-30' AS DATE)) > 180 AS INT) AS stale FROM s")
@@ -83,7 +77,7 @@ PROXY = "px2 AS (SELECT entity_id, report_date, RAT(dividends_paid, revenue) AS
 sql_query("dq50_proxy_bundle", f"WITH {PROXY} SELECT entity_id, report_date, {rounded({'dividend_proxy': 'dividend', 'buyback_proxy': 'buyback', 'liquidity_proxy': 'liquidity', 'confidence': '0.4 * CASE WHEN dividend > 0 THEN 1 ELSE 0.5 END + 0.3 * CASE WHEN buyback > 0 THEN 1 ELSE 0.5 END + 0.3 * CASE WHEN liquidity IS NOT NULL THEN 1 ELSE 0 END'}, 5)} FROM px2")
 sql_query("dq51_proxy_tier_scores", f"WITH {PROXY}, b AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY liquidity) AS a, percentile_cont(0.5) WITHIN GROUP (ORDER BY liquidity) AS m, percentile_cont(0.75) WITHIN GROUP (ORDER BY liquidity) AS z FROM px2) SELECT entity_id, report_date, CASE WHEN liquidity IS NULL THEN NULL WHEN liquidity >= z THEN 85e0 WHEN liquidity >= m THEN 65e0 WHEN liquidity >= a THEN 40e0 ELSE 15e0 END AS score FROM px2 CROSS JOIN b")
 # The reference frequency of a series from the gaps of its dates.
-GAPS = "gp AS (SELECT entity_id, 'income' AS statement, DAYS(lag(report_date) OVER w, report_date) AS gap FROM {fin} WINDOW w AS (PARTITION BY entity_id ORDER BY report_date) UNION ALL SELECT entity_id, 'balance', DAYS(lag(report_date) OVER w, report_date) FROM {fin} WHERE quarter(report_date) % 2 = 0 WINDOW w AS (PARTITION BY entity_id ORDER BY report_date) UNION ALL SELECT entity_id, 'cashflow', DAYS(lag(report_date) OVER w, report_date) FROM {fin} WHERE quarter(report_date) = 4 WINDOW w AS (PARTITION BY entity_id ORDER BY report_date)), gm AS (SELECT entity_id, statement, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(gap AS DOUBLE)) AS gap, count(gap) AS n FROM gp GROUP BY entity_id, statement), gf AS (SELECT *, CASE WHEN gap < 120 THEN 'quarterly' WHEN gap < 250 THEN 'semiannual' WHEN gap < 500 THEN 'annual' ELSE 'unknown' END AS frequency FROM gm)"
+GAPS = "gp AS (SELECT entity_id, statement, DAYS(lag(report_date) OVER (PARTITION BY entity_id, statement ORDER BY report_date), report_date) AS gap FROM {statement_dates}), gm AS (SELECT entity_id, statement, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(gap AS DOUBLE)) AS gap, count(gap) AS n FROM gp GROUP BY entity_id, statement), gf AS (SELECT *, CASE WHEN gap < 120 THEN 'quarterly' WHEN gap < 250 THEN 'semiannual' WHEN gap < 500 THEN 'annual' ELSE 'unknown' END AS frequency FROM gm)"
 sql_query("scal12_native_frequency", f"WITH {GAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, statement) AS place FROM gf) SELECT entity_id, frequency FROM k WHERE place = 1")
 sql_query("set07_observed_frequencies", f"WITH {GAPS} SELECT DISTINCT entity_id, frequency FROM gf")
 LOGLIK = lambda mean, sd, prior: f"ln({prior}) - ln({sd}e0) - (gap - {mean}) * (gap - {mean}) / (2e0 * {sd} * {sd})"

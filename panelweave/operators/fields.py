@@ -2,39 +2,34 @@
 
 from panelweave.operators.estimation import DEBT
 from panelweave.operators.macro import HOME, RET
-from panelweave.operators.survival import SECTOR
 from panelweave.sqlops import rounded, sql_query
 
 W = "(PARTITION BY entity_id ORDER BY date)"
 WQ = "(PARTITION BY entity_id ORDER BY report_date)"
 V = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows) + ")"
-sql_query("proj03_profile_columns", f"SELECT x.entity_id, x.date, p.nation AS country, p.region, {SECTOR.replace('entity_id', 'x.entity_id')} AS sector FROM {{px}} x JOIN {{peers}} p ON p.entity_id = x.entity_id")
+sql_query("proj03_profile_columns", f"SELECT x.entity_id, x.date, p.nation AS country, p.region, p.sector FROM {{px}} x JOIN {{profiles}} p ON p.entity_id = x.entity_id")
 #: Other names of fields.
 ALIASES = [("totalRevenue", "revenue"), ("Revenue", "revenue"), ("sales", "revenue"), ("netIncomeLoss", "net_income"), ("profit", "net_income"), ("Assets", "total_assets"), ("totalAssets", "total_assets"), ("StockholdersEquity", "total_equity"), ("capitalExpenditure", "capex")]
-RAW = [("totalRevenue",), ("SALES",), ("Net Income",), ("Assets",), ("capitalExpenditure",), ("mystery",), ("total_assets",), ("StockholdersEquity",), ("NetIncomeLoss",)]
-# Lines name their fields as vendors do: each order line has one of the raw names.
-NAMED = f"nm AS (SELECT l_suppkey AS entity_id, raw, l_extendedprice AS value FROM {{lineitem}} JOIN {V([(k, r[0]) for k, r in enumerate(RAW)])} AS t(k, raw) ON l_orderkey % {len(RAW)} = k), al AS (SELECT * FROM {V(ALIASES)} AS t(alias, canonical)), la AS (SELECT lower(alias) AS alias, min(canonical) AS canonical FROM al GROUP BY lower(alias))"
+NAMED = f"nm AS (SELECT * FROM {{raw_lines}}), al AS (SELECT * FROM {V(ALIASES)} AS t(alias, canonical)), la AS (SELECT lower(alias) AS alias, min(canonical) AS canonical FROM al GROUP BY lower(alias))"
 SNAKE = "replace(lower(raw), ' ', '_')"
 RESOLVED = f"{NAMED}, rs AS (SELECT nm.*, coalesce(al.canonical, la.canonical, {SNAKE}) AS canonical, CASE WHEN al.canonical IS NOT NULL THEN 'exact' WHEN la.canonical IS NOT NULL THEN 'normalised' ELSE 'kept' END AS how FROM nm LEFT JOIN al ON al.alias = nm.raw LEFT JOIN la ON la.alias = lower(nm.raw))"
 sql_query("proj04_rename_canonical", f"WITH {RESOLVED} SELECT raw, canonical, count(*) AS n FROM rs GROUP BY raw, canonical")
 sql_query("proj05_alias_duplicates", f"WITH {RESOLVED}, c AS (SELECT entity_id, canonical, raw, avg(value) AS value FROM rs GROUP BY entity_id, canonical, raw) SELECT entity_id, canonical, count(*) AS n_names, min(raw) AS chosen, {rounded({'value': 'min_by(value, raw)'}, 3)} FROM c GROUP BY entity_id, canonical")
 sql_query("proj06_alias_table", f"WITH {RESOLVED} SELECT al.alias, al.canonical, count(nm.raw) AS n FROM al LEFT JOIN nm ON nm.raw = al.alias GROUP BY al.alias, al.canonical")
 sql_query("proj07_resolve_name", f"WITH {RESOLVED} SELECT how, canonical, count(*) AS n, count(DISTINCT entity_id) AS entities FROM rs GROUP BY how, canonical")
-sql_query("scal04_concept_map", f"WITH {NAMED}, pf AS (SELECT raw, entity_id, value, CASE WHEN entity_id % 2 = 0 THEN concat('us-gaap:', raw) ELSE raw END AS concept FROM nm) SELECT coalesce(a.canonical, b.canonical, c.canonical, 'unmapped') AS canonical, count(*) AS n FROM pf LEFT JOIN al a ON a.alias = pf.concept LEFT JOIN al b ON b.alias = regexp_replace(pf.concept, '^[a-z-]+:', '') LEFT JOIN la c ON c.alias = lower(regexp_replace(pf.concept, '^[a-z-]+:', '')) GROUP BY coalesce(a.canonical, b.canonical, c.canonical, 'unmapped')")
+sql_query("scal04_concept_map", f"WITH {NAMED}, pf AS (SELECT * FROM {{raw_concepts}}) SELECT coalesce(a.canonical, b.canonical, c.canonical, 'unmapped') AS canonical, count(*) AS n FROM pf LEFT JOIN al a ON a.alias = pf.concept LEFT JOIN al b ON b.alias = regexp_replace(pf.concept, '^[a-z-]+:', '') LEFT JOIN la c ON c.alias = lower(regexp_replace(pf.concept, '^[a-z-]+:', '')) GROUP BY coalesce(a.canonical, b.canonical, c.canonical, 'unmapped')")
 sql_query("scal05_statement_translation", f"WITH {RESOLVED}, t AS (SELECT entity_id, canonical, value, CASE WHEN canonical IN ('total_assets', 'total_equity') THEN 'balance' WHEN canonical = 'capex' THEN 'cashflow' ELSE 'income' END AS statement FROM rs WHERE how <> 'kept') SELECT entity_id, statement, canonical, count(*) AS n, {rounded({'value': 'avg(value)'}, 3)} FROM t GROUP BY entity_id, statement, canonical")
 sql_query("scal06_profile_translation", "SELECT s_suppkey AS entity_id, s_name AS name, n_name AS country, CAST(NULL AS VARCHAR(10)) AS website, CASE WHEN s_acctbal > 0 THEN 'active' END AS status FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey")
 LONG = "lg AS (SELECT entity_id, report_date, field, CASE field WHEN 'revenue' THEN revenue WHEN 'net_income' THEN net_income WHEN 'selling' THEN 0.6 * sga_expenses WHEN 'admin' THEN 0.4 * sga_expenses END AS value FROM {fin} CROSS JOIN (VALUES ('revenue'), ('net_income'), ('selling'), ('admin')) AS t(field))"
 sql_query("scal07_long_to_wide", f"WITH {LONG} SELECT entity_id, report_date, {rounded({"revenue": "max(CASE WHEN field = 'revenue' THEN value END)", "net_income": "max(CASE WHEN field = 'net_income' THEN value END)", "sga_expenses": "sum(CASE WHEN field IN ('selling', 'admin') THEN value END)"}, 3)} FROM lg GROUP BY entity_id, report_date")
 sql_query("scal08_wide_guard", f"WITH {LONG}, n AS (SELECT entity_id, report_date, count(*) AS rows_per_date, count(DISTINCT field) AS fields FROM lg GROUP BY entity_id, report_date) SELECT entity_id, max(rows_per_date) AS rows_per_date, CASE WHEN max(rows_per_date) > 1 THEN 'long' ELSE 'wide' END AS format FROM n GROUP BY entity_id")
-sql_query("scal09_period_aliases", "WITH r AS (SELECT entity_id, report_date, CASE entity_id % 6 WHEN 0 THEN ' 10-Q' WHEN 1 THEN 'q' WHEN 2 THEN 'Quarter ' WHEN 3 THEN '10-K' WHEN 4 THEN 'H1' ELSE 'odd' END AS raw, DAYS(lag(report_date) OVER (PARTITION BY entity_id ORDER BY report_date), report_date) AS gap FROM {fin}) SELECT entity_id, report_date, CASE WHEN lower(trim(raw)) IN ('10-q', 'q', 'quarter', 'quarterly') THEN 'quarterly' WHEN lower(trim(raw)) IN ('10-k', 'a', 'annual', 'fy') THEN 'annual' WHEN lower(trim(raw)) IN ('h1', 'h2', 's', 'semiannual') THEN 'semiannual' WHEN gap < 120 THEN 'quarterly' WHEN gap IS NULL THEN 'unknown' ELSE 'annual' END AS period_type FROM r")
-DATES = "dt AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS dd FROM {orders})"
-P2 = lambda x: f"lpad(CAST({x} AS VARCHAR(9)), 2, '0')"
-sql_query("scal02_roc_date", f"WITH {DATES}, t AS (SELECT o_orderkey, d, concat(CAST(y - 1911 AS VARCHAR(9)), '/', {P2('m')}, '/', {P2('dd')}) AS roc FROM dt) SELECT o_orderkey, CAST(concat(CAST(CAST(regexp_extract(roc, '^([0-9]+)/', 1) AS INT) + 1911 AS VARCHAR(9)), '-', regexp_extract(roc, '/([0-9]+)/', 1), '-', regexp_extract(roc, '/([0-9]+)$', 1)) AS DATE) AS parsed FROM t")
-sql_query("scal03_japanese_era", f"WITH {DATES}, t AS (SELECT o_orderkey, concat('H', CAST(y - 1988 AS VARCHAR(9)), '.', {P2('m')}, '.', {P2('dd')}) AS era FROM dt) SELECT o_orderkey, CAST(concat(CAST(CAST(regexp_extract(era, '^[A-Z]([0-9]+)[.]', 1) AS INT) + CASE substring(era, 1, 1) WHEN 'R' THEN 2018 WHEN 'H' THEN 1988 WHEN 'S' THEN 1925 END AS VARCHAR(9)), '-', regexp_extract(era, '[.]([0-9]+)[.]', 1), '-', regexp_extract(era, '[.]([0-9]+)$', 1)) AS DATE) AS parsed FROM t")
-sql_query("src13_sdmx_periods", f"WITH {DATES}, t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(y AS VARCHAR(9)) WHEN 1 THEN concat(CAST(y AS VARCHAR(9)), '-', {P2('m')}) ELSE concat(CAST(y AS VARCHAR(9)), '-Q', CAST(quarter(d) AS VARCHAR(9))) END AS period FROM dt) SELECT o_orderkey, period, CAST(concat(substring(period, 1, 4), '-', CASE WHEN period LIKE '%-Q%' THEN lpad(CAST(3 * CAST(substring(period, 7, 1) AS INT) - 2 AS VARCHAR(9)), 2, '0') WHEN length(period) = 7 THEN substring(period, 6, 2) ELSE '01' END, '-01') AS DATE) AS date FROM t")
-sql_query("scal15_relationship_dates", f"WITH {DATES}, t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(y AS VARCHAR(9)) WHEN 1 THEN concat(CAST(y AS VARCHAR(9)), '-', {P2('m')}) WHEN 2 THEN 'current' ELSE CAST(d AS VARCHAR(12)) END AS raw FROM dt) SELECT o_orderkey, CASE WHEN raw = 'current' THEN NULL WHEN length(raw) = 4 THEN CAST(concat(raw, '-01-01') AS DATE) WHEN length(raw) = 7 THEN CAST(concat(raw, '-01') AS DATE) ELSE CAST(raw AS DATE) END AS since FROM t")
-sql_query("scal16_horizon_parse", "WITH t AS (SELECT o_orderkey, concat(CAST(o_custkey % 9 + 1 AS VARCHAR(9)), CASE o_orderkey % 4 WHEN 0 THEN 'd' WHEN 1 THEN 'w' WHEN 2 THEN 'm' ELSE 'y' END) AS horizon FROM {orders}) SELECT o_orderkey, horizon, CAST(regexp_extract(horizon, '^([0-9]+)', 1) AS INT) * CASE regexp_extract(horizon, '([a-z])$', 1) WHEN 'd' THEN 1 WHEN 'w' THEN 5 WHEN 'm' THEN 21 ELSE 252 END AS business_days FROM t")
-sql_query("scal24_grouped_number", "WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS v, CAST(floor(l_extendedprice) AS BIGINT) AS k FROM {lineitem}), g AS (SELECT *, concat(CASE WHEN l_orderkey % 2 = 0 THEN '(' ELSE '' END, CASE WHEN k >= 1000 THEN concat(CAST(CAST(floor(k / 1000) AS BIGINT) AS VARCHAR(20)), ',', lpad(CAST(k % 1000 AS VARCHAR(9)), 3, '0')) ELSE CAST(k AS VARCHAR(20)) END, CASE WHEN l_orderkey % 2 = 0 THEN ')' ELSE '' END) AS raw FROM t) SELECT raw, CASE WHEN raw LIKE '(%' THEN -1 ELSE 1 END * CAST(replace(replace(replace(raw, '(', ''), ')', ''), ',', '') AS BIGINT) AS value, count(*) AS n FROM g GROUP BY raw")
+sql_query("scal09_period_aliases", "WITH r AS (SELECT entity_id, report_date, raw, DAYS(lag(report_date) OVER (PARTITION BY entity_id ORDER BY report_date), report_date) AS gap FROM {raw_period_types}) SELECT entity_id, report_date, CASE WHEN lower(trim(raw)) IN ('10-q', 'q', 'quarter', 'quarterly') THEN 'quarterly' WHEN lower(trim(raw)) IN ('10-k', 'a', 'annual', 'fy') THEN 'annual' WHEN lower(trim(raw)) IN ('h1', 'h2', 's', 'semiannual') THEN 'semiannual' WHEN gap < 120 THEN 'quarterly' WHEN gap IS NULL THEN 'unknown' ELSE 'annual' END AS period_type FROM r")
+sql_query("scal02_roc_date", "SELECT o_orderkey, CAST(concat(CAST(CAST(regexp_extract(roc, '^([0-9]+)/', 1) AS INT) + 1911 AS VARCHAR(9)), '-', regexp_extract(roc, '/([0-9]+)/', 1), '-', regexp_extract(roc, '/([0-9]+)$', 1)) AS DATE) AS parsed FROM {raw_dates}")
+sql_query("scal03_japanese_era", "SELECT o_orderkey, CAST(concat(CAST(CAST(regexp_extract(era, '^[A-Z]([0-9]+)[.]', 1) AS INT) + CASE substring(era, 1, 1) WHEN 'R' THEN 2018 WHEN 'H' THEN 1988 WHEN 'S' THEN 1925 END AS VARCHAR(9)), '-', regexp_extract(era, '[.]([0-9]+)[.]', 1), '-', regexp_extract(era, '[.]([0-9]+)$', 1)) AS DATE) AS parsed FROM {raw_dates}")
+sql_query("src13_sdmx_periods", "SELECT o_orderkey, period, CAST(concat(substring(period, 1, 4), '-', CASE WHEN period LIKE '%-Q%' THEN lpad(CAST(3 * CAST(substring(period, 7, 1) AS INT) - 2 AS VARCHAR(9)), 2, '0') WHEN length(period) = 7 THEN substring(period, 6, 2) ELSE '01' END, '-01') AS DATE) AS date FROM {raw_periods}")
+sql_query("scal15_relationship_dates", "SELECT o_orderkey, CASE WHEN raw = 'current' THEN NULL WHEN length(raw) = 4 THEN CAST(concat(raw, '-01-01') AS DATE) WHEN length(raw) = 7 THEN CAST(concat(raw, '-01') AS DATE) ELSE CAST(raw AS DATE) END AS since FROM {raw_since}")
+sql_query("scal16_horizon_parse", "SELECT o_orderkey, horizon, CAST(regexp_extract(horizon, '^([0-9]+)', 1) AS INT) * CASE regexp_extract(horizon, '([a-z])$', 1) WHEN 'd' THEN 1 WHEN 'w' THEN 5 WHEN 'm' THEN 21 ELSE 252 END AS business_days FROM {raw_horizons}")
+sql_query("scal24_grouped_number", "SELECT raw, CASE WHEN raw LIKE '(%' THEN -1 ELSE 1 END * CAST(replace(replace(replace(raw, '(', ''), ')', ''), ',', '') AS BIGINT) AS value, count(*) AS n FROM {raw_amounts} GROUP BY raw")
 sql_query("scal31_annualisation", f"WITH {RET} SELECT r.entity_id, freq, {rounded({'annualised_vol': 'stddev_samp(ret) * sqrt(periods)'}, 5)} FROM r CROSS JOIN (VALUES ('D', 252e0), ('W', 52e0), ('M', 12e0), ('Q', 4e0), ('S', 2e0), ('A', 1e0)) AS t(freq, periods) GROUP BY r.entity_id, freq, periods")
 sql_query("scal32_hurst_annualisation", f"WITH {RET}, h AS (SELECT entity_id, greatest(0.3e0, least(0.7e0, 0.5 + corr(ret, p) / 2)) AS hurst, stddev_samp(ret) AS sd FROM (SELECT *, lag(ret) OVER {W} AS p FROM r) a GROUP BY entity_id) SELECT entity_id, {rounded({'factor': 'pow(252e0, hurst)', 'annualised_vol': 'sd * pow(252e0, hurst)'}, 4)} FROM h")
 sql_query("scal19_policy_risk", f"WITH h AS (SELECT doc_id, {', '.join(f'CAST(length(lower(text)) - length(replace(lower(text), {w!r}, {chr(39)}{chr(39)})) AS DOUBLE) / {len(w)} AS {c}' for c, w in (('regulation', 'law'), ('trade', 'trade'), ('tax', 'tax'), ('conflict', 'war')))} FROM {{documents}} WHERE text IS NOT NULL) SELECT doc_id, {rounded({'risk': 'least(1e0, greatest(regulation, trade, tax, conflict) / 5)'}, 4)}, CASE WHEN greatest(regulation, trade, tax, conflict) = 0 THEN 'none' WHEN regulation >= greatest(trade, tax, conflict) THEN 'regulation' WHEN trade >= greatest(tax, conflict) THEN 'trade' WHEN tax >= conflict THEN 'tax' ELSE 'conflict' END AS category FROM h")
@@ -51,7 +46,7 @@ sql_query("proj11_temporal_class", f"WITH c AS (SELECT entity_id, {', '.join(f'a
 sql_query("proj12_model_feature_sets", "WITH c AS (SELECT entity_id, count(DISTINCT close) / CAST(count(*) AS DOUBLE) AS close, count(DISTINCT revenue) / CAST(count(*) AS DOUBLE) AS revenue, count(DISTINCT inventory) / CAST(count(*) AS DOUBLE) AS inventory FROM {day} GROUP BY entity_id) SELECT c.entity_id, model, concat_ws(',', CASE WHEN (c.close > 0.5) = fast THEN 'close' END, CASE WHEN (c.inventory > 0.5) = fast THEN 'inventory' END, CASE WHEN (c.revenue > 0.5) = fast THEN 'revenue' END) AS features FROM c CROSS JOIN (VALUES ('filter', true), ('trees', false)) AS t(model, fast)")
 sql_query("proj13_column_frequency", f"WITH c AS (SELECT entity_id, {', '.join(f'count(DISTINCT {x}) / CAST(nullif(count({x}), 0) AS DOUBLE) AS {x}' for x in ('close', 'revenue', 'shares_outstanding'))} FROM {{day}} GROUP BY entity_id) SELECT entity_id, {', '.join(f'CASE WHEN {x} > 0.10 THEN {chr(39)}daily{chr(39)} WHEN {x} > 0.01 THEN {chr(39)}quarterly{chr(39)} WHEN {x} > 0.002 THEN {chr(39)}annual{chr(39)} ELSE {chr(39)}constant{chr(39)} END AS {x}_frequency' for x in ('close', 'revenue', 'shares_outstanding'))} FROM c")
 sql_query("proj10_feature_selector", "WITH c AS (SELECT variable, count(CASE variable WHEN 'receivables' THEN receivables WHEN 'cash' THEN cash_and_equivalents WHEN 'research' THEN research_and_development WHEN 'long_term_debt' THEN long_term_debt ELSE revenue END) / CAST(count(*) AS DOUBLE) AS coverage FROM {fin} CROSS JOIN (VALUES ('receivables'), ('cash'), ('research'), ('long_term_debt'), ('revenue')) AS t(variable) GROUP BY variable), k AS (SELECT *, row_number() OVER (ORDER BY coverage DESC, variable) AS place FROM c WHERE coverage >= 0.7) SELECT variable, round(coverage + 1e-9, 6) AS coverage FROM k WHERE place <= 4")
-sql_query("proj14_sector_normaliser", "WITH r AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Electronic Computers' WHEN 1 THEN 'Crude Petroleum' WHEN 2 THEN 'State Commercial Banks' WHEN 3 THEN 'Retail-Variety Stores' WHEN 4 THEN 'Pharmaceutical Preparations' ELSE 'Electric Services' END AS raw FROM {supplier}) SELECT s_suppkey, raw, CASE WHEN lower(raw) LIKE '%computer%' OR lower(raw) LIKE '%software%' THEN 'technology' WHEN lower(raw) LIKE '%petrol%' OR lower(raw) LIKE '%oil%' THEN 'energy' WHEN lower(raw) LIKE '%bank%' THEN 'financial services' WHEN lower(raw) LIKE '%pharma%' THEN 'healthcare' WHEN lower(raw) LIKE '%electric serv%' THEN 'utilities' WHEN lower(raw) LIKE '%retail%' THEN 'consumer' ELSE 'unknown' END AS sector FROM r")
+sql_query("proj14_sector_normaliser", "SELECT s_suppkey, raw, CASE WHEN lower(raw) LIKE '%computer%' OR lower(raw) LIKE '%software%' THEN 'technology' WHEN lower(raw) LIKE '%petrol%' OR lower(raw) LIKE '%oil%' THEN 'energy' WHEN lower(raw) LIKE '%bank%' THEN 'financial services' WHEN lower(raw) LIKE '%pharma%' THEN 'healthcare' WHEN lower(raw) LIKE '%electric serv%' THEN 'utilities' WHEN lower(raw) LIKE '%retail%' THEN 'consumer' ELSE 'unknown' END AS sector FROM {raw_sectors}")
 PLANE = "CASE WHEN p_type LIKE '%STEEL%' OR p_type LIKE '%COPPER%' THEN 'supply' WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%TIN%' THEN 'manufacturing' WHEN p_type LIKE 'PROMO%' THEN 'consumption' ELSE 'logistics' END"
 sql_query("proj15_economic_plane", f"SELECT p_type, {PLANE} AS plane, count(*) AS n FROM {{part}} GROUP BY p_type")
 sql_query("proj16_relationship_plane", "SELECT o_orderpriority, plane, count(*) AS n FROM {orders} JOIN (VALUES ('1-URGENT', 'supply'), ('2-HIGH', 'supply'), ('3-MEDIUM', 'consumption'), ('4-NOT SPECIFIED', 'finance'), ('5-LOW', 'logistics')) AS t(kind, plane) ON o_orderpriority = kind GROUP BY o_orderpriority, plane")

@@ -40,12 +40,11 @@ sql_query(
     FROM r LEFT JOIN m ON r.entity_id = m.entity_id AND r.report_date = m.report_date""",
 )
 CAPS = {"gross_margin": ("gross_profit", "revenue", 1.5), "operating_margin": ("ebit", "revenue", 1), "net_margin": ("net_income", "revenue", 1)}
-# Revenue of every ninth supplier is taken as filed at another frequency, so that some margins are impossible.
 sql_query(
     "proj08_margin_plausibility",
-    "WITH g AS (SELECT entity_id, report_date, gross_profit, ebit, net_income, CASE WHEN entity_id % 9 = 0 THEN revenue / 8 ELSE revenue END AS revenue FROM {fin}) SELECT entity_id, report_date, "
+    "SELECT entity_id, report_date, "
     + ", ".join(f"round(CASE WHEN abs(RAT({a}, {b})) <= {cap} THEN RAT({a}, {b}) END + 1e-9, 6) AS {x}, CAST(coalesce(abs(RAT({a}, {b})) > {cap}, true) AS INT) AS is_missing_{x}, CAST(coalesce(abs({b}) < 1e-9, true) OR coalesce(abs(RAT({a}, {b})) > {cap}, false) AS INT) AS invalid_math_{x}" for x, (a, b, cap) in CAPS.items())
-    + " FROM g",
+    + " FROM {fin_misfiled}",
 )
 sql_query("win_return_on_equity", f"SELECT entity_id, report_date, {ratios({'roe': (f'{YEAR} * net_income', 'total_equity')})} FROM {{fin}}")
 sql_query(

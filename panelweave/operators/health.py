@@ -14,7 +14,7 @@ sql_query(
 )
 sql_query(
     "anal41_altman_z_double_prime",
-    f"""WITH t AS (SELECT entity_id, report_date, 6.56 * (current_assets - current_liabilities) / total_assets AS a, 3.26 * retained_earnings / total_assets AS b, 6.72 * ebit / total_assets AS c, CASE WHEN total_liabilities > 0 AND entity_id % 8 > 1 THEN 1.05 * total_equity / total_liabilities END AS d FROM {{fin}} WHERE total_assets > 0),
+    f"""WITH t AS (SELECT entity_id, report_date, 6.56 * (current_assets - current_liabilities) / total_assets AS a, 3.26 * retained_earnings / total_assets AS b, 6.72 * ebit / total_assets AS c, CASE WHEN total_liabilities > 0 THEN 1.05 * total_equity / total_liabilities END AS d FROM {{fin}} WHERE total_assets > 0),
     n AS (SELECT *, coalesce(a, 0e0) + coalesce(b, 0e0) + coalesce(c, 0e0) + coalesce(d, 0e0) AS s, CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) + CAST(c IS NOT NULL AS INT) + CAST(d IS NOT NULL AS INT) AS terms FROM t), z AS (SELECT *, CASE WHEN terms > 0 THEN s * 4 / terms END AS z FROM n)
     SELECT entity_id, report_date, terms, {rounded({"z": "z"}, 4)}, CASE WHEN z > 2.60 THEN 'safe' WHEN z < 1.10 THEN 'distress' ELSE 'grey' END AS zone FROM z""",
 )
@@ -153,8 +153,8 @@ sql_query(
 sql_query(
     "anal26_threshold_layering",
     """WITH d AS (SELECT * FROM (VALUES ('current_ratio', 1e0), ('debt_to_equity', 3e0), ('drawdown', -0.4e0)) AS t(metric, level)), c AS (SELECT * FROM (VALUES ('drawdown', -0.35e0)) AS t(metric, level)), s AS (SELECT * FROM (VALUES ('ASIA', 'current_ratio', 0.9e0), ('EUROPE', 'debt_to_equity', 2.5e0)) AS t(region, metric, level))
-    SELECT p.entity_id, d.metric, coalesce(CASE WHEN p.entity_id % 10 = 0 AND d.metric = 'debt_to_equity' THEN 4e0 END, s.level, c.level, d.level) AS level, CASE WHEN p.entity_id % 10 = 0 AND d.metric = 'debt_to_equity' THEN 'company' WHEN s.level IS NOT NULL THEN 'sector' WHEN c.level IS NOT NULL THEN 'config' ELSE 'default' END AS layer
-    FROM {peers} p CROSS JOIN d LEFT JOIN c ON c.metric = d.metric LEFT JOIN s ON s.metric = d.metric AND s.region = p.region""",
+    SELECT p.entity_id, d.metric, coalesce(o.level, s.level, c.level, d.level) AS level, CASE WHEN o.level IS NOT NULL THEN 'company' WHEN s.level IS NOT NULL THEN 'sector' WHEN c.level IS NOT NULL THEN 'config' ELSE 'default' END AS layer
+    FROM {peers} p CROSS JOIN d LEFT JOIN {level_overrides} o ON o.entity_id = p.entity_id AND o.metric = d.metric LEFT JOIN c ON c.metric = d.metric LEFT JOIN s ON s.metric = d.metric AND s.region = p.region""",
 )
 sql_query("anal27_peer_adjusted_triggers", f"WITH {PANEL}, {LATEST}, k AS (SELECT region, percentile_cont(0.25) WITHIN GROUP (ORDER BY cr) AS a, percentile_cont(0.75) WITHIN GROUP (ORDER BY de) AS b FROM l GROUP BY region) SELECT l.entity_id, CAST(coalesce(l.cr < least(1e0, a), false) AS INT) AS low_liquidity, CAST(coalesce(l.de > greatest(3e0, b), false) AS INT) AS high_leverage FROM l JOIN k ON l.region = k.region")
 sql_query("anal99_fast_warnings", f"WITH {HEALTH} SELECT entity_id, date, concat_ws(', ', CASE WHEN cr < 1 THEN 'liquidity' END, CASE WHEN de > 3 THEN 'leverage' END, CASE WHEN drawdown < -0.4 THEN 'drawdown' END, CASE WHEN vol > 0.5 THEN 'volatility' END, CASE WHEN nm < 0 THEN 'losses' END) AS warnings FROM h")

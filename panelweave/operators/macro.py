@@ -1,6 +1,6 @@
 """Countries, peers and events around a panel: macro joins, conflict, competition, flows, sector and cross-asset signals."""
 
-from panelweave.operators.survival import DEBT, SECTOR
+from panelweave.operators.survival import DEBT
 from panelweave.sqlops import ratios, rounded, sql_query
 
 W = "(PARTITION BY entity_id ORDER BY date)"
@@ -9,7 +9,7 @@ HOME = "h AS (SELECT r.*, p.nation AS country, p.region FROM r JOIN {peers} p ON
 
 sql_query("join02_asof_fill", f"SELECT entity_id, date, CAST(receivables IS NULL AND LASTSEEN(receivables) OVER w IS NOT NULL AS INT) AS filled, {rounded({'receivables': 'coalesce(receivables, LASTSEEN(receivables) OVER w)'}, 3)} FROM {{day}} WINDOW w AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 PANEL_COLUMNS = {x: x for x in ("close", "volume", "revenue", "total_assets", "operating_cash_flow")}
-sql_query("join05_entity_panel", f"SELECT d.entity_id, d.date, d.report_date, p.nation, p.region, {SECTOR.replace('entity_id', 'd.entity_id')} AS sector, {rounded(PANEL_COLUMNS, 3)}, {', '.join(f'CAST({x} IS NULL AS INT) AS is_missing_{x}' for x in PANEL_COLUMNS)} FROM {{day}} d JOIN {{peers}} p ON p.entity_id = d.entity_id")
+sql_query("join05_entity_panel", f"SELECT d.entity_id, d.date, d.report_date, p.nation, p.region, p.sector, {rounded(PANEL_COLUMNS, 3)}, {', '.join(f'CAST({x} IS NULL AS INT) AS is_missing_{x}' for x in PANEL_COLUMNS)} FROM {{day}} d JOIN {{profiles}} p ON p.entity_id = d.entity_id")
 sql_query("join06_all_entities", "SELECT p.region, d.entity_id, count(*) AS n_days, count(d.report_date) AS n_known, min(d.date) AS first_day, max(d.date) AS last_day FROM {day} d JOIN {peers} p ON p.entity_id = d.entity_id GROUP BY p.region, d.entity_id")
 sql_query("join08_macro_merge", f"WITH {RET}, {HOME} SELECT h.entity_id, h.date, {rounded({'inflation': 'm.inflation', 'unemployment_rate': 'm.unemployment_rate', 'return_1d': 'ret', 'real_return_1d': 'ret - m.inflation / 100 / 252'})} FROM h LEFT JOIN {{macro}} m ON m.country = h.country AND m.date = MONTH_OF(h.date)")
 sql_query(
@@ -23,9 +23,7 @@ YEARLY = """y AS (SELECT country, CAST(year(date) AS INT) AS year, max_by(gdp, d
  c AS (SELECT country, year, side, LASTSEEN(gdp) OVER w AS gdp, LASTSEEN(inflation) OVER w AS inflation, LASTSEEN(known) OVER w AS known FROM u WINDOW w AS (PARTITION BY country ORDER BY year, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), a AS (SELECT * FROM c WHERE side = 1)"""
 sql_query("join10_yearly_to_daily", f"WITH {YEARLY} SELECT x.entity_id, x.date, a.known AS gdp_year, {rounded({'gdp': 'a.gdp'}, 4)} FROM {{px}} x JOIN {{peers}} p ON p.entity_id = x.entity_id LEFT JOIN a ON a.country = p.nation AND a.year = year(x.date)")
 sql_query("join11_multi_indicator", f"WITH {YEARLY} SELECT x.entity_id, x.date, {rounded({'gdp': 'a.gdp', 'inflation': 'a.inflation'}, 4)}, CAST(a.gdp IS NULL AS INT) AS is_missing_gdp, CAST(a.inflation IS NULL AS INT) AS is_missing_inflation FROM {{px}} x JOIN {{peers}} p ON p.entity_id = x.entity_id LEFT JOIN a ON a.country = p.nation AND a.year = year(x.date)")
-# A member counts from some days after its first one, and every second member until a day before its last one; ends may be open.
-MEMBERS = "v AS (SELECT entity_id, min(date) + INTERVAL 200 DAY AS begins, CASE WHEN entity_id % 2 = 1 THEN max(date) - INTERVAL 300 DAY END AS ends FROM {px} GROUP BY entity_id)"
-sql_query("join12_relationship_validity", f"WITH {MEMBERS} SELECT p.region, x.date, count(*) AS members, {rounded({'mean_close': 'avg(x.close)'}, 4)} FROM {{px}} x JOIN v ON v.entity_id = x.entity_id AND x.date >= v.begins AND (v.ends IS NULL OR x.date <= v.ends) JOIN {{peers}} p ON p.entity_id = x.entity_id GROUP BY p.region, x.date")
+sql_query("join12_relationship_validity", f"SELECT p.region, x.date, count(*) AS members, {rounded({'mean_close': 'avg(x.close)'}, 4)} FROM {{px}} x JOIN {{memberships}} v ON v.entity_id = x.entity_id AND x.date >= v.begins AND (v.ends IS NULL OR x.date <= v.ends) JOIN {{peers}} p ON p.entity_id = x.entity_id GROUP BY p.region, x.date")
 sql_query(
     "join18_frequency_backfill",
     f"""WITH g AS (SELECT entity_id, report_date, year(report_date) AS year, CASE WHEN quarter(report_date) <> 2 THEN revenue END AS revenue, CASE WHEN quarter(report_date) <> 2 THEN inventory END AS inventory FROM {{fin}}), a AS (SELECT entity_id, year(report_date) AS year, sum(revenue) AS revenue, max_by(inventory, report_date) AS inventory FROM {{fin}} GROUP BY entity_id, year(report_date)), p AS (SELECT *, lag(inventory) OVER (PARTITION BY entity_id ORDER BY year) AS known FROM a)
@@ -79,7 +77,7 @@ sql_query("agg56_cournot", f"WITH {COURNOT} SELECT region, entity_id, {rounded({
 sql_query("agg79_competitive_bundle", f"WITH {MARKET} SELECT region, entity_id, CAST(n AS INT) AS n_firms, {rounded({'market_share': 'share', 'pressure': PRESSURE})}, CASE WHEN rank() OVER (PARTITION BY region ORDER BY cap DESC) = 1 THEN 'leader' ELSE 'follower' END AS role FROM fm WHERE n > 1")
 # Customers stand for holders of the suppliers that they buy from.
 HOLD = "hl AS (SELECT l_suppkey AS entity_id, o_custkey AS holder, sum(l_quantity) AS shares FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey), hs AS (SELECT *, shares / sum(shares) OVER (PARTITION BY entity_id) AS part, row_number() OVER (PARTITION BY entity_id ORDER BY shares DESC, holder) AS place FROM hl)"
-sql_query("agg58_common_ownership", f"WITH {HOLD}, m AS (SELECT *, max(CASE WHEN entity_id % 10 = 0 THEN part END) OVER (PARTITION BY holder) AS target FROM hs) SELECT entity_id, count(target) AS matched, {rounded({'mhhi_delta': 'least(1e0, coalesce(sum(part * target) / nullif(sum(target * target), 0e0), 0e0))'})} FROM m GROUP BY entity_id")
+sql_query("agg58_common_ownership", f"WITH {HOLD}, m AS (SELECT hs.*, max(CASE WHEN t.entity_id IS NOT NULL THEN part END) OVER (PARTITION BY holder) AS target FROM hs LEFT JOIN {{targets}} t ON t.entity_id = hs.entity_id) SELECT entity_id, count(target) AS matched, {rounded({'mhhi_delta': 'least(1e0, coalesce(sum(part * target) / nullif(sum(target * target), 0e0), 0e0))'})} FROM m GROUP BY entity_id")
 sql_query("agg59_liquidation_pressure", f"WITH {HOLD}, v AS (SELECT entity_id, avg(volume) AS adv FROM {{px}} GROUP BY entity_id) SELECT hs.entity_id, {rounded({'days_to_liquidate': 'sum(CASE WHEN place <= 5 THEN shares ELSE 0e0 END) / (max(adv) * 0.2)'}, 4)}, CAST(sum(CASE WHEN place <= 5 THEN 1 ELSE 0 END) AS INT) AS n_holders FROM hs JOIN v ON v.entity_id = hs.entity_id GROUP BY hs.entity_id")
 sql_query("graph09_ownership_bundle", f"WITH {HOLD}, d AS (SELECT holder, count(*) AS degree FROM hs GROUP BY holder) SELECT hs.entity_id, count(*) AS n_holders, {rounded({'holder_hhi': 'sum(part * part)', 'top5_share': 'sum(CASE WHEN place <= 5 THEN part ELSE 0e0 END)', 'mean_holder_degree': 'avg(CAST(degree AS DOUBLE))', 'crowding': 'sum(part * CASE WHEN degree > 1 THEN 1e0 ELSE 0e0 END)'})} FROM hs JOIN d ON d.holder = hs.holder GROUP BY hs.entity_id")
 sql_query("join21_ownership_projection", f"WITH {HOLD}, d AS (SELECT holder, count(*) AS degree FROM hs GROUP BY holder) SELECT hs.entity_id, CAST(sum(degree - 1) AS BIGINT) AS links, {rounded({'weighted': 'sum(part * (degree - 1))'}, 5)} FROM hs JOIN d ON d.holder = hs.holder GROUP BY hs.entity_id")
@@ -121,6 +119,6 @@ sql_query("win30_crowding_risk", f"WITH {FLOW} SELECT entity_id, date, {rounded(
 SMART = "greatest(-1e0, least(1e0, dtop - dpct / 100))"
 sql_query("win31_smart_money_divergence", f"WITH {FLOW} SELECT entity_id, date, {rounded({'divergence': f'CASE WHEN dtop IS NOT NULL THEN {SMART} END'})} FROM fs")
 sql_query("win32_institutional_flow", f"WITH {FLOW}, c AS (SELECT entity_id, date, smooth, {CROWD} AS crowding, CASE WHEN dtop IS NOT NULL THEN {SMART} END AS smart FROM fs) SELECT entity_id, date, {rounded({'flow_momentum': 'smooth', 'crowding': 'crowding', 'smart_money': 'smart'})}, {LABEL('crowding', [(0.3, 'low'), (0.6, 'moderate'), (0.8, 'high'), (0, 'extreme')])} AS crowding_label, {LABEL('smart', [(-0.15, 'conviction_sell'), (-0.05, 'mild_sell'), (0.05, 'neutral'), (0.15, 'mild_buy'), (0, 'conviction_buy')])} AS smart_label FROM c")
-sql_query("anal29_sector_strategicness", f"WITH s AS (SELECT {SECTOR} AS sector, sum(revenue) AS v FROM {{fin}} GROUP BY {SECTOR}) SELECT sector, {rounded({'share': 'v / sum(v) OVER ()', 'strategicness': "CASE WHEN sector IN ('energy', 'banking', 'utilities') THEN 0.7 * 0.8 ELSE 0.7 * 0.3 END + 0.3 * v / sum(v) OVER ()"})} FROM s")
+sql_query("anal29_sector_strategicness", f"WITH s AS (SELECT p.sector, sum(f.revenue) AS v FROM {{fin}} f JOIN {{profiles}} p ON p.entity_id = f.entity_id GROUP BY p.sector) SELECT sector, {rounded({'share': 'v / sum(v) OVER ()', 'strategicness': "CASE WHEN sector IN ('energy', 'banking', 'utilities') THEN 0.7 * 0.8 ELSE 0.7 * 0.3 END + 0.3 * v / sum(v) OVER ()"})} FROM s")
 sql_query("anal30_group_contagion", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS mean FROM h GROUP BY region, date), c AS (SELECT h.entity_id, g.region, h.ret, g.mean FROM h JOIN g ON g.date = h.date), q AS (SELECT entity_id, percentile_cont(0.25) WITHIN GROUP (ORDER BY ret) AS low FROM r GROUP BY entity_id) SELECT c.entity_id, c.region, {rounded({'tail_corr': 'corr(ret, mean)'}, 5)} FROM c JOIN q ON q.entity_id = c.entity_id AND c.ret <= q.low GROUP BY c.entity_id, c.region")
 sql_query("agg35_linked_summary", f"WITH {RET}, {HOME}, l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) AS back FROM h) SELECT region, count(*) AS members, {rounded({'mean_return': 'avg(ret)', 'mean_close': 'avg(close)'}, 5)} FROM l WHERE back = 1 GROUP BY region")

@@ -37,7 +37,7 @@ LOGIT = lambda p: f"(ln({p} / (1 - {p})) * 0.5513)"
 sql_query("scal34_rank_normal_corr", f"WITH {RANKS} SELECT entity_id, {rounded({'rank_corr': 'corr(u, w)', 'normal_score_corr': f'corr({LOGIT(chr(117))}, {LOGIT(chr(119))})'}, 5)} FROM rk GROUP BY entity_id")
 sql_query("fc84_copula_bundle", f"WITH {RANKS} SELECT entity_id, count(*) AS n, {rounded({'rank_corr': 'corr(u, w)', 'lower_tail': 'RAT(avg(CASE WHEN u < 0.1 AND w < 0.1 THEN 1e0 ELSE 0e0 END), 0.1e0)', 'upper_tail': 'RAT(avg(CASE WHEN u > 0.9 AND w > 0.9 THEN 1e0 ELSE 0e0 END), 0.1e0)'}, 5)} FROM rk GROUP BY entity_id")
 sql_query("anal12_entropy_weight_blend", f"WITH {MODELS}, b AS (SELECT model, CAST(floor(least(19e0, abs(err) / 100)) AS INT) AS bin, count(*) AS n FROM er WHERE err IS NOT NULL GROUP BY model, CAST(floor(least(19e0, abs(err) / 100)) AS INT)), en AS (SELECT model, -sum(n / total * ln(n / total)) AS entropy FROM (SELECT *, sum(CAST(n AS DOUBLE)) OVER (PARTITION BY model) AS total FROM b) a GROUP BY model) SELECT model, {rounded({'entropy': 'entropy', 'weight': '0.7 * 0.25 + 0.3 * entropy / sum(entropy) OVER ()'}, 5)} FROM en")
-sql_query("anal13_fuzzy_protection", f"WITH {PANEL}, m AS (SELECT entity_id, date, CASE WHEN entity_id % 6 IN (1, 2, 5) THEN 1e0 ELSE 0.2e0 END AS sector, greatest(0e0, least(1e0, market_cap / 2e7)) AS size, greatest(0e0, least(1e0, (-drawdown - 0.1) / 0.4)) AS policy FROM x WHERE market_cap IS NOT NULL) SELECT entity_id, date, {rounded({'degree': 'greatest(sector * 0.8, 0.4 * sector + 0.35 * size + 0.25 * policy)'}, 5)}, CASE WHEN greatest(sector * 0.8, 0.4 * sector + 0.35 * size + 0.25 * policy) > 0.7 THEN 'protected' WHEN greatest(sector * 0.8, 0.4 * sector + 0.35 * size + 0.25 * policy) > 0.3 THEN 'partial' ELSE 'exposed' END AS label FROM m")
+sql_query("anal13_fuzzy_protection", f"WITH {PANEL}, m AS (SELECT x.entity_id, date, CASE WHEN p.sector IN ('energy', 'banking', 'utilities') THEN 1e0 ELSE 0.2e0 END AS sector, greatest(0e0, least(1e0, market_cap / 2e7)) AS size, greatest(0e0, least(1e0, (-drawdown - 0.1) / 0.4)) AS policy FROM x JOIN {{profiles}} p ON p.entity_id = x.entity_id WHERE market_cap IS NOT NULL) SELECT entity_id, date, {rounded({'degree': 'greatest(sector * 0.8, 0.4 * sector + 0.35 * size + 0.25 * policy)'}, 5)}, CASE WHEN greatest(sector * 0.8, 0.4 * sector + 0.35 * size + 0.25 * policy) > 0.7 THEN 'protected' WHEN greatest(sector * 0.8, 0.4 * sector + 0.35 * size + 0.25 * policy) > 0.3 THEN 'partial' ELSE 'exposed' END AS label FROM m")
 sql_query("graph01_edge_table", "SELECT src, dst, kind, n FROM (SELECT l_suppkey AS src, l_partkey AS dst, 'supplies' AS kind, count(*) AS n FROM {lineitem} GROUP BY l_suppkey, l_partkey UNION ALL SELECT o_custkey, o_orderkey, 'orders', count(*) FROM {orders} GROUP BY o_custkey, o_orderkey) e")
 # An exponential mean with span 21 over the last 63 rows.
 EMA = "sum(CASE WHEN b.k <= a.k THEN b.close * pow(0.909090909090909e0, a.k - b.k) END) / sum(pow(0.909090909090909e0, a.k - b.k))"
@@ -53,9 +53,9 @@ GRANGER = f"{LAGS}, mo AS (SELECT entity_id, count(*) AS n, corr(y, y0) AS r1, c
 FSTAT = "partial * partial * (n - 3) / (1 - partial * partial)"
 sql_query("fc24_granger", f"WITH {GRANGER} SELECT entity_id, n, {rounded({'partial_corr': 'partial', 'f_statistic': FSTAT}, 4)}, CAST({FSTAT} > 3.84 AS INT) AS causes FROM gr")
 sql_query("fc25_time_varying_causality", f"WITH {LAGS}, ws AS (SELECT entity_id, CAST(year(date) AS INT) AS year, count(*) AS n, corr(y, y0) AS r1, corr(y, x0) AS r2, corr(y0, x0) AS r3 FROM ok GROUP BY entity_id, year(date) HAVING stddev_samp(x0) > 1e-9 AND stddev_samp(y0) > 1e-9 AND stddev_samp(y) > 1e-9), p AS (SELECT *, (r2 - r1 * r3) / sqrt((1 - r1 * r1) * (1 - r3 * r3)) AS partial FROM ws WHERE r1 * r1 < 0.999999 AND r3 * r3 < 0.999999 AND n > 20) SELECT entity_id, year, {rounded({'partial_corr': 'partial'}, 4)} FROM p")
-sql_query("fc26_prune_by_causality", f"WITH {GRANGER} SELECT p.entity_id, CASE WHEN p.entity_id % 10 = 0 THEN 'kept' ELSE 'causal' END AS why FROM {{peers}} p LEFT JOIN gr ON gr.entity_id = p.entity_id WHERE p.entity_id % 10 = 0 OR {FSTAT} > 1")
+sql_query("fc26_prune_by_causality", f"WITH {GRANGER} SELECT p.entity_id, CASE WHEN k.entity_id IS NOT NULL THEN 'kept' ELSE 'causal' END AS why FROM {{peers}} p LEFT JOIN {{kept_entities}} k ON k.entity_id = p.entity_id LEFT JOIN gr ON gr.entity_id = p.entity_id WHERE k.entity_id IS NOT NULL OR {FSTAT} > 1")
 sql_query("fc27_prune_weak", f"WITH {GRANGER}, k AS (SELECT entity_id, partial, row_number() OVER (ORDER BY round(abs(partial), 9) DESC, entity_id) AS place FROM gr WHERE abs(partial) > 0.02) SELECT entity_id, {rounded({'strength': 'abs(partial)'}, 4)} FROM k WHERE place <= 20")
-sql_query("fc79_prune_unified", f"WITH {GRANGER} SELECT entity_id, CASE WHEN {FSTAT} > 3.84 THEN 'strong' ELSE 'weak' END AS link FROM gr WHERE {FSTAT} > 1 OR entity_id % 7 = 0")
+sql_query("fc79_prune_unified", f"WITH {GRANGER} SELECT entity_id, CASE WHEN {FSTAT} > 3.84 THEN 'strong' ELSE 'weak' END AS link FROM gr WHERE {FSTAT} > 1 OR entity_id IN (SELECT entity_id FROM {{kept_entities}})")
 sql_query("fc83_causality_bundle", f"WITH {GRANGER} SELECT CASE WHEN {FSTAT} > 3.84 THEN 'causal' ELSE 'none' END AS class, count(*) AS n, {rounded({'mean_strength': 'avg(abs(partial))'}, 4)} FROM gr GROUP BY CASE WHEN {FSTAT} > 3.84 THEN 'causal' ELSE 'none' END")
 sql_query("fc51_causal_propagation", f"WITH {GRANGER}, d AS (SELECT entity_id, avg(ret) AS deviation FROM (SELECT entity_id, ret, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) AS back FROM r WHERE ret IS NOT NULL) a WHERE back <= 5 GROUP BY entity_id), g AS (SELECT p.region, avg(deviation) AS mean FROM d JOIN {{peers}} p ON p.entity_id = d.entity_id GROUP BY p.region) SELECT gr.entity_id, {rounded({'adjustment': '0.5 * partial * mean'}, 4)} FROM gr JOIN {{peers}} p ON p.entity_id = gr.entity_id JOIN g ON g.region = p.region")
 sql_query("fc76_prediction_log", f"WITH {WEIGHTS}, runs AS (SELECT er.entity_id, er.model, er.date AS run_date, er.predicted, er.k FROM er WHERE k % 63 = 0), twice AS (SELECT *, 1 AS version FROM runs UNION ALL SELECT entity_id, model, run_date, predicted * 1.01, k, 2 FROM runs WHERE k % 126 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, model, run_date ORDER BY version DESC) AS place FROM twice) SELECT entity_id, model, run_date, version, {rounded({'predicted': 'predicted'}, 2)} FROM k WHERE place = 1")

@@ -6,9 +6,8 @@ DEBT = "(coalesce(short_term_debt, 0e0) + coalesce(long_term_debt, 0e0))"
 #: Trigger levels of company distress.
 CURRENT_RATIO, DEBT_TO_EQUITY, FCF_YIELD, DRAWDOWN, MERTON = 1.0, 3.0, 0.0, -0.40, 1.0
 CASH_SHARE, CASH_ENOUGH = 0.05, 1e10
-#: Sectors that a state protects; the six sectors that suppliers are dealt to.
+#: Sectors that a state protects.
 STRATEGIC = "('defense', 'energy', 'banking', 'utilities', 'telecom')"
-SECTOR = "(CASE entity_id % 6 WHEN 0 THEN 'technology' WHEN 1 THEN 'energy' WHEN 2 THEN 'banking' WHEN 3 THEN 'retail' WHEN 4 THEN 'healthcare' ELSE 'utilities' END)"
 W = "(PARTITION BY entity_id ORDER BY date)"
 
 #: The daily panel with the ratios that trigger distress.
@@ -57,7 +56,7 @@ COUNTRY = """c AS (SELECT country, date, credit_spread > 5.0 OR coalesce(unemplo
  coalesce((lag(lending_rate, 3) OVER w) - lending_rate > 2.0, false) AS emergency_cut, gdp FROM {macro} WINDOW w AS (PARTITION BY country ORDER BY date))"""
 sql_query("anal06_country_survival_flag", f"WITH {COUNTRY} SELECT country, date, CAST(stressed AS INT) AS country_survival_mode_flag FROM c")
 # Market values are in thousandths of the country's product in these tables.
-HOME = f"h AS (SELECT f.entity_id, f.date, f.company_flag, CAST(coalesce(c.stressed, false) AS INT) AS country_flag, CAST(p.sector IN {STRATEGIC} OR coalesce(f.market_cap > 0.001 * c.gdp * 1e8, false) OR coalesce(c.emergency_cut, false) AS INT) AS protected_flag FROM f JOIN (SELECT entity_id, nation, {SECTOR} AS sector FROM {{peers}}) p ON f.entity_id = p.entity_id LEFT JOIN c ON c.country = p.nation AND c.date = MONTH_OF(f.date))"
+HOME = f"h AS (SELECT f.entity_id, f.date, f.company_flag, CAST(coalesce(c.stressed, false) AS INT) AS country_flag, CAST(p.sector IN {STRATEGIC} OR coalesce(f.market_cap > 0.001 * c.gdp * 1e8, false) OR coalesce(c.emergency_cut, false) AS INT) AS protected_flag FROM f JOIN {{profiles}} p ON f.entity_id = p.entity_id LEFT JOIN c ON c.country = p.nation AND c.date = MONTH_OF(f.date))"
 sql_query("anal07_country_protected_flag", f"WITH {FLAGGED}, {COUNTRY}, {HOME} SELECT entity_id, date, protected_flag AS country_protected_flag FROM h")
 sql_query("anal08_survival_flags", f"WITH {FLAGGED}, {COUNTRY}, {HOME} SELECT entity_id, date, company_flag AS company_survival_mode_flag, country_flag AS country_survival_mode_flag, protected_flag AS country_protected_flag FROM h")
 MODE = "CASE WHEN company_flag = 0 AND country_flag = 0 THEN 'normal' WHEN country_flag = 0 THEN 'company_only' WHEN company_flag = 0 AND protected_flag = 1 THEN 'country_protected' WHEN company_flag = 0 THEN 'country_exposed' WHEN protected_flag = 1 THEN 'both_protected' ELSE 'both_unprotected' END"
@@ -117,7 +116,7 @@ sql_query(
 )
 sql_query(
     "fc58_sector_thresholds",
-    f"""WITH {PANEL}, s AS (SELECT x.*, coalesce(t.level, 1e0) AS level, {SECTOR} AS sector FROM x LEFT JOIN (VALUES ('technology', 0.8e0), ('utilities', 0.7e0), ('banking', 0.9e0)) AS t(name, level) ON {SECTOR} = t.name)
+    f"""WITH {PANEL}, s AS (SELECT x.*, coalesce(t.level, 1e0) AS level, p.sector FROM x JOIN {{profiles}} p ON p.entity_id = x.entity_id LEFT JOIN (VALUES ('technology', 0.8e0), ('utilities', 0.7e0), ('banking', 0.9e0)) AS t(name, level) ON p.sector = t.name)
     SELECT entity_id, date, sector, level, CAST(coalesce(cr < level, false) AS INT) AS breached FROM s""",
 )
 SIZE_FLOOR = "CASE WHEN market_cap >= 200e9 THEN 0.92e0 WHEN market_cap >= 10e9 THEN 0.82e0 WHEN market_cap >= 2e9 THEN 0.70e0 WHEN market_cap >= 300e6 THEN 0.55e0 ELSE 0.40e0 END"

@@ -16,6 +16,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.plans import statements, views
+from panelweave.plans.fixtures import FIXTURES
 from panelweave.registry import query
 
 TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events", "documents", "pages", "labels")
@@ -65,19 +66,41 @@ def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
 
 def select(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs a SELECT over named frames, made from the tables."""
-    used = dict.fromkeys(NAMED.findall(text))
-    return spark.sql(expand(" ".join(text.split()), SPARK_FORMS), **{x: FRAMES[x](spark, sf_dir) if x in FRAMES else views.table(spark, sf_dir, x) for x in used})
+    return spark.sql(expand(" ".join(text.split()), SPARK_FORMS), **{x: frame(x, spark, sf_dir) for x in dict.fromkeys(NAMED.findall(text))})
+
+
+def frame(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view, a fixture or a table by its name."""
+    if name in FIXTURES:
+        return select(FIXTURES[name], spark, sf_dir)
+    return FRAMES[name](spark, sf_dir) if name in FRAMES else views.table(spark, sf_dir, name)
+
+
+def with_fixtures(text: str) -> str:
+    """The text without braces, the fixtures that it names before it."""
+    found: dict[str, str] = {}
+
+    def need(of: str) -> None:
+        for x in NAMED.findall(of):
+            if x in FIXTURES and x not in found:
+                need(FIXTURES[x])
+                found[x] = f"{x} AS ({FIXTURES[x]})"
+
+    need(text)
+    if found:
+        head = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
+        text = head + ", ".join(found.values()) + (", " + text[len(head) :] if text.startswith("WITH ") else " " + text)
+    return NAMED.sub(lambda m: m.group(1), text)
 
 
 def sql_query(name: str, text: str) -> None:
     """Registers ``text`` as a query over the frames that it names, and as its own SQL for DuckDB."""
     text = " ".join(text.split())
     TEXTS[name] = text
-    used = dict.fromkeys(NAMED.findall(text))
-    oracle = expand(NAMED.sub(lambda m: m.group(1), text), DUCK_FORMS)
+    oracle = expand(with_fixtures(text), DUCK_FORMS)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return apply(name, spark, **{x: FRAMES[x](spark, sf_dir) if x in FRAMES else views.table(spark, sf_dir, x) for x in used})
+        return select(text, spark, sf_dir)
 
     run.__name__ = name
     query(name, oracle)(run)

@@ -1,7 +1,7 @@
 """Forecast errors, ensemble weights, intervals, confidence, frequencies and signals that are put together."""
 
 from panelweave.operators.macro import HOME, RET
-from panelweave.sqlops import rounded, sql_query
+from panelweave.sqlops import TEXTS, rounded, sql_query
 
 W = "(PARTITION BY entity_id ORDER BY date)"
 # Four models predict the next close from what is known each day: the last value, a short mean, a trend and a pull to the mean.
@@ -24,7 +24,13 @@ sql_query("fc81_adaptive_split", f"WITH p AS (SELECT entity_id, date, percent_ra
 CONFORMAL = f"{POINT}, ql AS (SELECT entity_id, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(err)) AS q FROM er WHERE model = 'last' AND err IS NOT NULL GROUP BY entity_id)"
 sql_query("fc34_conformal_intervals", f"WITH {CONFORMAL} SELECT pt.entity_id, CAST(h AS INT) AS horizon, {rounded({'low': 'point - q * sqrt(h)', 'point': 'point', 'high': 'point + q * sqrt(h)'}, 3)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
 sql_query("fc35_conformal_table", f"WITH {CONFORMAL}, m AS (SELECT entity_id, max_by(mode, date) AS mode FROM er GROUP BY entity_id) SELECT pt.entity_id, CAST(h AS INT) AS horizon, m.mode, {rounded({'width': 'q * sqrt(h) * CASE WHEN mode = ' + repr('wild') + ' THEN 1.5e0 ELSE 1e0 END * CASE WHEN h <= 5 THEN 1.2e0 ELSE 1e0 END'}, 3)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id JOIN m ON m.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
-sql_query("fc41_confidence_score", f"WITH {POINT} SELECT entity_id, {rounded({'confidence': 'greatest(0e0, least(1e0, 1 - rmse / close)) * 0.9'}, 5)} FROM pt")
+# The geometric mean of the models' quality, measured by the median error of all models, and of the entity's chance to survive; a half and 1 where unknown.
+sql_query(
+    "fc41_confidence_score",
+    f"""WITH {POINT}, rf AS (SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY rmse) AS reference FROM sc), ds AS (SELECT entity_id, max_by(survival_probability, date) AS distress FROM ({TEXTS["anal02_survival_probability"]}) a GROUP BY entity_id),
+    q AS (SELECT pt.entity_id, CASE WHEN rmse IS NULL OR coalesce(reference, 0e0) <= 1e-10 THEN 0.5e0 ELSE exp(-rmse / reference) END AS quality, greatest(0e0, least(1e0, coalesce(1 - distress, 1e0))) AS survival FROM pt CROSS JOIN rf LEFT JOIN ds ON ds.entity_id = pt.entity_id)
+    SELECT entity_id, {rounded({"confidence": "sqrt(quality * survival)"}, 5)} FROM q""",
+)
 sql_query("fc42_band_confidence", f"WITH {CONFORMAL} SELECT pt.entity_id, CAST(h AS INT) AS horizon, {rounded({'confidence': 'coalesce(1 / (1 + RAT(2 * q * sqrt(h), close) / (0.04 * sqrt(h))), 0.5e0)'}, 5)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
 IC = f"{MODELS}, ic AS (SELECT entity_id, model, corr(predicted - close, later - close) AS ic, avg(CASE WHEN sign(predicted - close) = sign(later - close) THEN 1e0 ELSE 0e0 END) AS hit, count(later) AS n, stddev_samp(err) AS sd FROM er WHERE later IS NOT NULL AND model <> 'last' GROUP BY entity_id, model)"
 sql_query("fc43_ic_calibration", f"WITH {IC}, w AS (SELECT entity_id, model, greatest(0.05e0, 1 + coalesce(ic, 0e0)) / sd AS raw FROM ic WHERE sd > 0) SELECT entity_id, model, {rounded({'weight': 'raw / sum(raw) OVER (PARTITION BY entity_id)'})} FROM w")

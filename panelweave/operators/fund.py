@@ -98,8 +98,9 @@ sql_query("anal64_leverage_stress", f"WITH {STRESS} SELECT entity_id, scenario,
 sql_query(
     "anal65_momentum_composite",
     f"""WITH {LAST8}, c AS (SELECT *, RAT(revenue - lag(revenue) OVER w, lag(revenue) OVER w) AS r FROM e WINDOW w AS (PARTITION BY entity_id ORDER BY report_date)), d AS (SELECT *, r - lag(r) OVER (PARTITION BY entity_id ORDER BY report_date) AS accel FROM c),
-    a AS (SELECT entity_id, max(CASE WHEN back = 1 THEN accel END) AS accel, regr_slope(RAT(net_income, revenue), k) AS margin, regr_slope(RAT(operating_cash_flow, revenue), k) AS conversion, RAT(max(CASE WHEN back = 1 THEN close END), max(CASE WHEN back = 2 THEN close END)) - 1 AS price FROM d GROUP BY entity_id),
-    s AS (SELECT *, {clamp(f"0.30 * {clamp('50 + 500 * coalesce(accel, 0e0)')} + 0.25 * {clamp('50 + 5000 * coalesce(margin, 0e0)')} + 0.15 * {clamp('50 + 5000 * coalesce(conversion, 0e0)')} + 0.15 * 50 + 0.15 * {clamp('50 + 200 * coalesce(price, 0e0)')}")} AS score FROM a)
+    a AS (SELECT entity_id, max(CASE WHEN back = 1 THEN accel END) AS accel, regr_slope(RAT(net_income, revenue), k) AS margin, regr_slope(RAT(operating_cash_flow, revenue), k) AS conversion FROM d GROUP BY entity_id),
+    p AS (SELECT entity_id, max_by(momentum, date) AS price FROM (SELECT entity_id, date, RAT(close, lag(close, 62) OVER (PARTITION BY entity_id ORDER BY date)) - 1 AS momentum FROM {{px}}) m GROUP BY entity_id),
+    s AS (SELECT a.*, price, {clamp(f"0.30 * {clamp('50 + 500 * coalesce(accel, 0e0)')} + 0.25 * {clamp('50 + 5000 * coalesce(margin, 0e0)')} + 0.15 * {clamp('50 + 5000 * coalesce(conversion, 0e0)')} + 0.05 * 50 + 0.25 * {clamp('50 + 200 * coalesce(price, 0e0)')}")} AS score FROM a LEFT JOIN p ON p.entity_id = a.entity_id)
     SELECT entity_id, {rounded({"revenue_acceleration": "accel", "margin_trend_slope": "margin", "fcf_conversion_trend": "conversion", "price_momentum": "price", "score": "score"}, 5)}, {GRADE} AS label, CAST(coalesce(accel < -0.01 AND margin < 0, false) AS INT) AS inflection_detected FROM s""",
 )
 sql_query(

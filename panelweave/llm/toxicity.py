@@ -167,6 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     share = F.when(F.col("toxic") == 1, max_toxic / n[1]).otherwise(max_clean / n[0])
     sample = F.broadcast(usable.where(rank < share))
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(sample, "doc_id")
+    # one text for each id, so that the ids' bound is the rows' bound as well
+    own = own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
     own = own.select("text", "toxic").mapInArrow(_signature, "text string, toxic int, sig long").cache()
     drawn = own
     copies = F.broadcast(own.groupBy("sig").agg((1 / F.count("*")).alias("weight")))  # no more rows than the bounded sample

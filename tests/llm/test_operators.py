@@ -512,6 +512,17 @@ def test_toxicity_learns_exceptions(spark):
     assert np.allclose(model.curve, again.curve)
 
 
+def test_toxicity_takes_one_text_of_an_id(spark):
+    """Thousands of rows of one labelled id are one row of the sample."""
+    rng = random.Random(17)
+    made = [(k, sentence(rng, 20) + (" blockhead" if k % 3 == 0 else "")) for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    usable = next(k for k in range(600) if zlib.crc32(str(k).encode()) % 5)
+    many = made + [made[usable]] * 5000 + [(usable, made[usable][1])] * 10
+    a, b = (toxicity.learn(spark.createDataFrame(m, "doc_id long, text string"), labels) for m in (made, many))
+    assert (a.words, a.starts, a.exceptions) == (b.words, b.starts, b.exceptions) and np.allclose(a.curve, b.curve)
+
+
 def test_quality_verdict(docs, rows):
     """``kept`` by all rules in plain Python."""
     want = Counter()

@@ -63,7 +63,7 @@ sql_query("fc67_spectral_gating", f"WITH {FREQS}, g AS (SELECT entity_id, freq,
 sql_query("fc68_disagreement_signal", f"WITH {FREQS}, p AS (SELECT entity_id, max(CASE WHEN freq = 'W' THEN sign(ret) END) AS w, max(CASE WHEN freq = 'M' THEN sign(ret) END) AS m, max(CASE WHEN freq = 'Q' THEN sign(ret) END) AS q FROM fx WHERE back = 1 GROUP BY entity_id) SELECT entity_id, CASE WHEN w = m AND m = q THEN 'aligned' WHEN w <> m AND m = q THEN 'pullback' WHEN w = m AND m <> q THEN 'reversal' ELSE 'noisy' END AS shape FROM p")
 sql_query("fc69_horizon_ownership", f"WITH {FREQS}, a AS (SELECT entity_id, freq, avg(ret) AS mean FROM fx WHERE back <= 8 GROUP BY entity_id, freq) SELECT entity_id, horizon, {rounded({'forecast': 'sum(mean * CASE WHEN freq = owner THEN 0.7e0 ELSE 0.15e0 END)'}, 5)} FROM a CROSS JOIN (VALUES (5, 'W'), (21, 'M'), (63, 'Q')) AS t(horizon, owner) GROUP BY entity_id, horizon")
 # A year should be the sum of its quarters: the gap is spread by the variance of each side.
-sql_query("fc70_temporal_reconciliation", f"WITH q AS (SELECT entity_id, year(report_date) AS year, sum(revenue) AS total, sum(revenue * revenue) * 0.0004 AS vq FROM {{fin}} GROUP BY entity_id, year(report_date)), a AS (SELECT *, total * (1 + 0.01 * (entity_id % 5 - 2)) AS annual, total * total * 0.0001 AS va FROM q) SELECT entity_id, CAST(year AS INT) AS year, {rounded({'annual': 'annual - (annual - total) * va / (va + vq)', 'quarters': 'total + (annual - total) * vq / (va + vq)'}, 2)} FROM a")
+sql_query("fc70_temporal_reconciliation", f"WITH q AS (SELECT entity_id, year(report_date) AS year, sum(revenue) AS total, sum(revenue * revenue) * 0.0004 AS vq FROM {{fin}} GROUP BY entity_id, year(report_date)), a AS (SELECT q.*, r.annual, total * total * 0.0001 AS va FROM q JOIN {{annual_reports}} r ON r.entity_id = q.entity_id AND r.year = q.year) SELECT entity_id, CAST(year AS INT) AS year, {rounded({'annual': 'annual - (annual - total) * va / (va + vq)', 'quarters': 'total + (annual - total) * vq / (va + vq)'}, 2)} FROM a")
 sql_query("fc71_fusion_bundle", f"WITH {CONSENSUS}, a AS (SELECT entity_id, avg(ret) AS mean, stddev_samp(ret) AS sd FROM fx WHERE back <= 8 GROUP BY entity_id) SELECT cs.entity_id, cs.regime, {rounded({'agreement': 'votes', 'fused_mean': 'mean', 'fused_sd': 'sd'}, 5)} FROM cs JOIN a ON a.entity_id = cs.entity_id WHERE place = 1")
 sql_query("fc72_multi_frequency_run", f"WITH {FREQS} SELECT entity_id, freq, count(*) AS n_periods, {rounded({'mean_return': 'avg(ret)', 'volatility': 'stddev_samp(ret)', 'worst_fall': 'min(fall)'}, 5)}, max_by(regime, period) AS regime FROM fx GROUP BY entity_id, freq")
 sql_query("fc86_per_frequency_pipeline", f"WITH {FREQS}, m AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY entity_id ORDER BY period ROWS 11 PRECEDING) AS vol FROM fx WHERE freq = 'M') SELECT entity_id, period, regime, {rounded({'ret': 'ret', 'vol_12': 'vol', 'fall': 'fall'}, 5)} FROM m")

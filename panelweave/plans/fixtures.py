@@ -36,6 +36,7 @@ FIXTURES = {
     "raw_sectors": f"SELECT s_suppkey, {_CASES('s_suppkey % 6', ['Electronic Computers', 'Crude Petroleum', 'State Commercial Banks', 'Retail-Variety Stores', 'Pharmaceutical Preparations', 'Electric Services'])} AS raw FROM {{supplier}}",
     # a member counts from some days after its first one, and every second member until some days before its last one; ends may be open
     "memberships": "SELECT entity_id, min(date) + INTERVAL 200 DAY AS begins, CASE WHEN entity_id % 2 = 1 THEN max(date) - INTERVAL 300 DAY END AS ends FROM {px} GROUP BY entity_id",
+    "annual_reports": "SELECT entity_id, year(report_date) AS year, sum(revenue) * (1 + 0.01 * (entity_id % 5 - 2)) AS annual FROM {fin} GROUP BY entity_id, year(report_date)",
     "tiers": "SELECT entity_id, CASE entity_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS tier FROM {peers}",
     "trending": "SELECT entity_id, CAST(entity_id % 2 = 0 AS INT) AS trends FROM {peers}",
     "kept_entities": "SELECT entity_id FROM {peers} WHERE entity_id % 10 = 0",

@@ -195,3 +195,25 @@ def report(docs: DataFrame) -> DataFrame:
     siblings = F.array_join(F.transform("path", lambda p: F.concat(p["left"], p["right"])), "")
     rows = manifest.proofs().withColumn("root", F.lit(manifest.root)).withColumn("folded_root", fold(F.coalesce("forged", "leaf"), F.col("path")))
     return rows.select("doc_id", "leaf", "subroot", "root", digest(siblings).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END".format
+#: The nodes of all levels over ``{leaves}`` (g, pos, hash): a level's nodes of a tree are ``n``, and the last one has one.
+_LEVELS = """(SELECT g, 0 AS level, pos, hash, CAST(count(*) OVER (PARTITION BY g) AS BIGINT) AS n FROM {leaves}
+ UNION ALL SELECT g, level + 1, pos // 16, sha256(string_agg(hash, '' ORDER BY pos)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY g, level, pos // 16, n)"""
+#: Each leaf's siblings by level, from a node's number at that level.
+_STEPS = """SELECT b.{key}, s.level, coalesce(string_agg(s.hash, '' ORDER BY s.pos) FILTER (s.pos < b.pos // pow(16, s.level)::BIGINT), '') AS l, coalesce(string_agg(s.hash, '' ORDER BY s.pos) FILTER (s.pos > b.pos // pow(16, s.level)::BIGINT), '') AS r
+ FROM {leaves} b JOIN {nodes} s ON s.g = b.g AND s.n > 1 AND s.pos // 16 = b.pos // pow(16, s.level + 1)::BIGINT GROUP BY b.{key}, s.level"""
+#: ``report`` of documents with a doc_id each, once, in SQL.
+ORACLE = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({' || '.join(_FIELD(f) for f in FIELDS)}) AS leaf, sha256({' || '.join(_FIELD(f if f != 'text' else f"translate(text, '{UPPER}', '{LOWER}')") for f in FIELDS)}) AS lower FROM documents),
+ k AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295::BIGINT AS c FROM d
+  UNION ALL SELECT doc_id, s, k + 1, xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END) FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(s, k // 8 + 1, 1))) ELSE c END AS x FROM k WHERE k < 8 * length(s))),
+ b AS MATERIALIZED (SELECT d.doc_id, g, leaf AS hash, leaf, CASE WHEN xor(c, 4294967295) % 5 = 0 THEN lower ELSE leaf END AS now, row_number() OVER (PARTITION BY g ORDER BY d.doc_id) - 1 AS pos FROM d JOIN k ON k.doc_id = d.doc_id AND k.k = 8 * length(s)),
+ n AS {_LEVELS.format(leaves='b', name='n')},
+ u AS MATERIALIZED (SELECT '' AS g, g AS source, hash, row_number() OVER (ORDER BY g) - 1 AS pos FROM n WHERE n.n = 1),
+ m AS {_LEVELS.format(leaves='u', name='m')},
+ p AS MATERIALIZED (SELECT doc_id, level, l, r FROM ({_STEPS.format(key='doc_id', leaves='b', nodes='n')}) UNION ALL SELECT b.doc_id, 1000 + q.level, q.l, q.r FROM b JOIN ({_STEPS.format(key='source', leaves='u', nodes='m')}) q ON q.source = b.g),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS step FROM p),
+ f AS (SELECT doc_id, 0 AS step, now AS h FROM b UNION ALL SELECT f.doc_id, f.step + 1, sha256(o.l || f.h || o.r) FROM f JOIN (SELECT * FROM o) o ON o.doc_id = f.doc_id AND o.step = f.step + 1),
+ e AS (SELECT b.doc_id, b.leaf, u.hash AS subroot, (SELECT hash FROM m WHERE n = 1) AS root, sha256(coalesce((SELECT string_agg(l || r, '' ORDER BY step) FROM o WHERE o.doc_id = b.doc_id), '')) AS proof_sha256, (SELECT arg_max(h, step) FROM f WHERE f.doc_id = b.doc_id) AS folded_root FROM b JOIN u ON u.source = b.g)
+SELECT *, folded_root = root AS verified FROM e"""

@@ -68,5 +68,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_pii, op5_sharding, op6_media, op7_token_ids, op8_warc, op9_packing, op10_quality, op11_whitening, op12_merkle, op13_decontamination, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle": merkle.ORACLE}
 

@@ -60,8 +60,14 @@ DUCK_FORMS = {"RAT": RATIO, "LASTSEEN": "last_value($1 IGNORE NULLS)", "NEXTSEEN
 
 
 def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
-    """Runs a registered operator on the given frames."""
-    return spark.sql(expand(TEXTS[name], SPARK_FORMS), **frames)
+    """Runs a registered operator on the given frames. Where a fixture isn't given, the frame that it would be made from takes its place, as it is."""
+    for x in dict.fromkeys(NAMED.findall(TEXTS[name])):
+        made = x
+        while made in FIXTURES and made not in frames:
+            made = NAMED.search(FIXTURES[made])[1]
+        if x not in frames and made in frames:
+            frames[x] = frames[made]
+    return spark.sql(expand(TEXTS[name], SPARK_FORMS), **{x: frames[x] for x in dict.fromkeys(NAMED.findall(TEXTS[name]))})
 
 
 def select(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:

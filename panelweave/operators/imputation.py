@@ -88,7 +88,10 @@ def scale(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray
 def carried(df: DataFrame, features: Sequence[str], entity: str, order: str) -> tuple[DataFrame, list[str]]:
     """``df`` with each feature's last value of the entity, in new columns."""
     w = Window.partitionBy(entity).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    names = [f"_feature_{k}" for k in range(len(features))]
+    prefix = "_feature_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    names = [f"{prefix}{k}" for k in range(len(features))]
     return df.select("*", *[F.last(F.when(~F.isnan(F.col(f).cast("double")), F.col(f)), ignorenulls=True).over(w).cast("double").alias(n) for f, n in zip(features, names)]), names
 
 

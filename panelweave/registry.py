@@ -12,7 +12,7 @@ from panelweave.plans.views import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("operators.joins", "operators.windows", "operators.aggregates", "operators.rankings", "operators.scores", "operators.graph", "operators.forecasts", "operators.errors", "operators.risk", "operators.structure", "operators.quality", "functions.scalars", "sources.files", "streaming.events", "operators.fundamentals", "operators.survival", "operators.health", "operators.fund", "operators.macro", "operators.estimation", "operators.fields", "operators.ensembles", "operators.models", "operators.recurrences", "operators.survival_models", "operators.mixtures", "operators.complexity", "operators.dependence", "operators.trees", "operators.imputation", "operators.subsequences", "functions.surface", "streaming.keyed")
+MODULES = ("operators.joins", "operators.windows", "operators.aggregates", "operators.rankings", "operators.scores", "operators.graph", "operators.forecasts", "operators.errors", "operators.risk", "operators.structure", "operators.quality", "functions.scalars", "sources.files", "streaming.events", "operators.fundamentals", "operators.survival", "operators.health", "operators.fund", "operators.macro", "operators.estimation", "operators.fields", "operators.ensembles", "operators.models", "operators.recurrences", "operators.survival_models", "operators.mixtures", "operators.complexity", "operators.dependence", "operators.trees", "operators.imputation", "operators.subsequences", "operators.selection", "functions.surface", "streaming.keyed")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -19,7 +19,7 @@ def planted(n=240, seed=3):
 
 def rows_of(spark, x, hole, extra=""):
     rows = [(k % 7, k, "kept", *[None if h else float(v) for v, h in zip(a, b)]) for k, (a, b) in enumerate(zip(x, hole))]
-    return spark.createDataFrame(rows, "entity_id int, t int, _feature_9 string, a double, b double, c double, d double").repartition(5)
+    return spark.createDataFrame(rows, "entity_id int, t int, _feature_0 string, a double, b double, c double, d double").repartition(5)
 
 
 def read(out, names, n):
@@ -57,7 +57,7 @@ def test_chained(spark):
     assert np.allclose(made[hole[:, :3]], plain_chained(x, hole, 4)[:, :3][hole[:, :3]], rtol=1e-8)
     better(made, x, hole)
     for t, r in got.items():  # what was observed stays, other columns too
-        assert r["_feature_9"] == "kept" and all(r[v] is None if h else r[v] == float(w) for v, w, h in zip(NAMES, x[t], hole[t]))
+        assert r["_feature_0"] == "kept" and all(r[v] is None if h else r[v] == float(w) for v, w, h in zip(NAMES, x[t], hole[t]))
     share = 1 - hole[:, 0].mean()
     assert {round(r["a_confidence"], 9) for r in got.values() if r["a_confidence"]} == {round(min(0.85, 0.4 + 0.5 * share), 9)}
 

@@ -90,19 +90,20 @@ def profile(df: DataFrame, key: str, order: str, value: str, window: int = WINDO
     def tile(g: pd.DataFrame) -> pd.DataFrame:
         ends = int(g["a"].iloc[0]), int(g["b"].iloc[0])
         starts, side = int(g["n"].iloc[0]) - window + 1, []
-        for of in ends:
-            v = np.full(block + window - 1, np.nan)
+        sizes = [min(block, starts - of * block) for of in ends]
+        for of, width in zip(ends, sizes):
+            v = np.full(width + window - 1, np.nan)
             mine = g[g["own"] == of]
             v[mine["t"].to_numpy() - of * block] = mine["v"].to_numpy(float)
             side.append(v)
         d = distances(*side, window)
-        i, j = (of * block + np.arange(block) for of in ends)
+        i, j = (of * block + np.arange(width) for of, width in zip(ends, sizes))
         d[np.abs(i[:, None] - j) <= away] = np.inf
         out = []
         for d, i, j in ((d, i, j), (d.T, j, i))[: 1 + (ends[0] != ends[1])]:
             best = d.argmin(1)
             least = d[np.arange(len(d)), best]
-            keep = (i < starts) & np.isfinite(least)
+            keep = np.isfinite(least)
             out.append(pd.DataFrame({"k": pd.Series([g["k"].iloc[0]] * int(keep.sum()), dtype=g["k"].dtype), "t": i[keep], "near": j[best][keep], "distance": least[keep]}))
         return pd.concat(out)
 

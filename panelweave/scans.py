@@ -88,11 +88,11 @@ class Smoothed(Family):
         self.outputs = tuple(f"{w}_{k}" for w in ("before", "after") for k in range(len(a)))
 
     def _parts(self, maps):
-        maps = maps.reshape(len(maps), -1, 6)
+        maps = maps.reshape(len(maps), len(self.grid), 6)
         return maps[..., :4].reshape(*maps.shape[:2], 2, 2), maps[..., 4:]
 
     def _whole(self, turn, add):
-        return np.concatenate((turn.reshape(*turn.shape[:2], 4), add), -1).reshape(len(turn), -1)
+        return np.concatenate((turn.reshape(*turn.shape[:2], 4), add), -1).reshape(len(turn), self.width)
 
     def elements(self, x):
         seen = ~np.isnan(x[:, 0])
@@ -194,7 +194,7 @@ def _finish(batches: Iterator[pa.RecordBatch], family: Family, inputs: Sequence[
             continue
         col = lambda n: batch.column(batch.schema.get_field_index(n))
         x, place = numbers(batch, inputs), col("scan_place").to_numpy().copy()
-        before = col("scan_before").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).copy()
+        before = col("scan_before").flatten().to_numpy(zero_copy_only=False).reshape(len(x), family.width).copy()
         start = col("scan_start").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).copy()
         parts = col("scan_part").to_numpy()
         for p in np.unique(parts).tolist():

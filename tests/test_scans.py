@@ -1,5 +1,7 @@
 """Scans against plain loops, with keys over many tasks and a long one."""
 
+from itertools import accumulate
+
 import numpy as np
 import pytest
 
@@ -103,3 +105,16 @@ def test_long_key_and_empty(spark):
         a = max(0.01, min(0.5, a + v))
         assert abs(got["a", t]["state"] - a) < 1e-9 and got["a", t]["place"] == t + 1
     assert run(spark, [], scans.Clamped(0.1, 0.01, 0.5)) == {}
+
+
+def test_smoothed_where_a_batch_lacks_the_carried_key(spark, monkeypatch):
+    """Small batches: later ones of a task hold other keys than the one that began in the task before."""
+    monkeypatch.setattr(scans, "LEAST_ROWS", 300)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        rows = panel(900)
+        got = run(spark, rows, scans.Smoothed([0.5, 0.9], [0.0, 0.2]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert all(abs(got[k]["after_0"] - v) < 1e-9 * max(1, abs(v)) for k, v in loops(rows, lambda values: accumulate(values, lambda a, v: (a + v) / 2)).items())

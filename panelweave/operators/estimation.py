@@ -83,7 +83,7 @@ sql_query("set07_observed_frequencies", f"WITH {GAPS} SELECT DISTINCT entity_id,
 LOGLIK = lambda mean, sd, prior: f"ln({prior}) - ln({sd}e0) - (gap - {mean}) * (gap - {mean}) / (2e0 * {sd} * {sd})"
 sql_query("scal10_gap_bayes", f"WITH {GAPS}, l AS (SELECT entity_id, statement, {LOGLIK(91, 12, 0.6)} AS q, {LOGLIK(182, 20, 0.15)} AS s, {LOGLIK(365, 30, 0.25)} AS a FROM gm WHERE gap IS NOT NULL) SELECT entity_id, statement, CASE WHEN q >= s AND q >= a THEN 'quarterly' WHEN s >= a THEN 'semiannual' ELSE 'annual' END AS frequency FROM l")
 CALENDAR = "ec AS (SELECT entity_id, max(filing_date) AS last, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(gap AS DOUBLE)) AS gap, count(*) AS n, min(filing_date) AS first FROM (SELECT entity_id, filing_date, DAYS(lag(filing_date) OVER (PARTITION BY entity_id ORDER BY filing_date), filing_date) AS gap FROM {fin}) x GROUP BY entity_id)"
-sql_query("scal13_expected_next_filing", f"WITH {CALENDAR} SELECT entity_id, last, CAST(gap AS INT) AS gap_days, DAYS(last, CAST('2002-08-01' AS DATE)) - CAST(gap AS INT) AS days_overdue, CAST(DAYS(last, CAST('2002-08-01' AS DATE)) > gap AS INT) AS overdue FROM ec")
+sql_query("scal13_expected_next_filing", f"WITH {CALENDAR} SELECT entity_id, last, NEAREST(gap) AS gap_days, DAYS(last, CAST('2002-08-01' AS DATE)) - NEAREST(gap) AS days_overdue, CAST(DAYS(last, CAST('2002-08-01' AS DATE)) > gap AS INT) AS overdue FROM ec")
 sql_query("scal14_filing_calendar", f"WITH {CALENDAR} SELECT entity_id, n AS received, CAST(floor(DAYS(first, last) / gap + 0.5) AS BIGINT) + 1 AS expected, DAYS(last, CAST('2002-08-01' AS DATE)) AS age_days FROM ec")
 LADDER = "(VALUES ('quarterly', 1), ('semiannual', 2), ('annual', 3)) AS t(period_type, priority)"
 sql_query("top04_statement_priority", f"WITH s AS (SELECT entity_id, report_date, period_type, priority, filing_date, CASE priority WHEN 1 THEN revenue WHEN 2 THEN revenue * 2 ELSE revenue * 4 END AS value FROM {{fin}} CROSS JOIN {LADDER} WHERE (priority = 1 AND month(report_date) <> 6) OR (priority = 2 AND month(report_date) IN (6, 12)) OR (priority = 3 AND month(report_date) = 12)), k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, report_date ORDER BY priority, filing_date DESC) AS place FROM s) SELECT entity_id, report_date, period_type, {rounded({'value': 'value'}, 2)} FROM k WHERE place = 1")

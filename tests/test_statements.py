@@ -72,3 +72,10 @@ def test_runway_and_empty(spark):
 def test_beneish_needs_four_indices(spark):
     got = run(spark, "anal33_beneish_m", fin=fin(spark, {"revenue": 100.0}, {"revenue": 120.0}))
     assert got[0]["m_score"] is None and got[0]["verdict"] is None and got[0]["n_available"] == 1
+
+
+def test_filing_gap_rounds_to_the_even_day(spark):
+    """Gaps of 91 and 92 days have the median 91.5, which is 92; 90 and 91 give 90."""
+    days = lambda entity, *gaps: [{"entity_id": entity, "filing_date": D(2000, 1, 1) + dt.timedelta(days=sum(gaps[:k]))} for k in range(len(gaps) + 1)]
+    got = {r["entity_id"]: r["gap_days"] for r in run(spark, "scal13_expected_next_filing", fin=fin(spark, *days(1, 91, 92), *days(2, 90, 91)))}
+    assert got == {1: 92, 2: 90}

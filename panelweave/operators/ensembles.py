@@ -32,16 +32,16 @@ sql_query(
     SELECT entity_id, {rounded({"confidence": "sqrt(quality * survival)"}, 5)} FROM q""",
 )
 sql_query("fc42_band_confidence", f"WITH {CONFORMAL} SELECT pt.entity_id, CAST(h AS INT) AS horizon, {rounded({'confidence': 'coalesce(1 / (1 + RAT(2 * q * sqrt(h), close) / (0.04 * sqrt(h))), 0.5e0)'}, 5)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
-IC = f"{MODELS}, ic AS (SELECT entity_id, model, corr(predicted - close, later - close) AS ic, avg(CASE WHEN sign(predicted - close) = sign(later - close) THEN 1e0 ELSE 0e0 END) AS hit, count(later) AS n, stddev_samp(err) AS sd FROM er WHERE later IS NOT NULL AND model <> 'last' GROUP BY entity_id, model)"
+IC = f"{MODELS}, ic AS (SELECT entity_id, model, PEARSON(predicted - close, later - close) AS ic, avg(CASE WHEN sign(predicted - close) = sign(later - close) THEN 1e0 ELSE 0e0 END) AS hit, count(later) AS n, stddev_samp(err) AS sd FROM er WHERE later IS NOT NULL AND model <> 'last' GROUP BY entity_id, model)"
 sql_query("fc43_ic_calibration", f"WITH {IC}, w AS (SELECT entity_id, model, greatest(0.05e0, 1 + coalesce(ic, 0e0)) / sd AS raw FROM ic WHERE sd > 0) SELECT entity_id, model, {rounded({'weight': 'raw / sum(raw) OVER (PARTITION BY entity_id)'})} FROM w")
 sql_query("fc44_log_feedback", f"WITH {IC}, w AS (SELECT entity_id, model, hit, greatest(0.1e0, hit) / sd AS raw FROM ic WHERE sd > 0) SELECT entity_id, model, {rounded({'hit_rate': 'hit', 'weight': 'raw / sum(raw) OVER (PARTITION BY entity_id)'})} FROM w")
 sql_query("top08_strong_signals", f"WITH {IC}, k AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(ic) DESC, model) AS place FROM ic WHERE abs(ic) >= 0.02) SELECT entity_id, model, CAST(place AS INT) AS place, {rounded({'ic': 'ic'}, 5)} FROM k")
 sql_query("anal79_brier_calibration", f"WITH {IC}, c AS (SELECT entity_id, model, n, hit, 0.65e0 AS conviction, least(0.8e0, n / 100e0) AS alpha FROM ic WHERE n >= 10) SELECT entity_id, model, {rounded({'brier': '(conviction - hit) * (conviction - hit)', 'calibrated': 'alpha * hit + (1 - alpha) * conviction'}, 5)}, CAST(conviction > hit + 0.15 AS INT) AS overconfident FROM c")
-sql_query("anal100_ic_attribution", f"WITH {RET}, s AS (SELECT entity_id, freq, CASE freq WHEN 'W' THEN RAT(close, lag(close, 5) OVER w) - 1 WHEN 'M' THEN RAT(close, lag(close, 21) OVER w) - 1 ELSE RAT(close, lag(close, 63) OVER w) - 1 END AS signal, RAT(lead(close, 5) OVER w, close) - 1 AS later FROM r CROSS JOIN (VALUES ('W'), ('M'), ('Q')) AS t(freq) WINDOW w AS (PARTITION BY entity_id, freq ORDER BY date)) SELECT entity_id, freq, count(signal) AS n, {rounded({'ic': 'corr(signal, later)'}, 5)} FROM s GROUP BY entity_id, freq")
-sql_query("win58_rolling_ic", f"WITH {RET}, s AS (SELECT entity_id, date, RAT(close, lag(close, 21) OVER {W}) - 1 AS x, RAT(lead(close, 5) OVER {W}, close) - 1 AS y FROM r), v AS (SELECT *, rank() OVER (PARTITION BY entity_id ORDER BY x) + (count(*) OVER (PARTITION BY entity_id, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY entity_id ORDER BY y) + (count(*) OVER (PARTITION BY entity_id, y) - 1) / 2e0 AS ry FROM s WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT entity_id, date, CASE WHEN count(*) OVER w >= 30 THEN corr(rx, ry) OVER w END AS ic FROM v WINDOW w AS (PARTITION BY entity_id ORDER BY date ROWS 125 PRECEDING)) SELECT entity_id, {rounded({'mean_ic': 'avg(ic)', 'icir': 'RAT(avg(ic), stddev_samp(ic))'}, 4)}, CAST(coalesce(abs(RAT(avg(ic), stddev_samp(ic))) >= 0.3 AND abs(avg(ic)) >= 0.02, false) AS INT) AS strong FROM i GROUP BY entity_id")
+sql_query("anal100_ic_attribution", f"WITH {RET}, s AS (SELECT entity_id, freq, CASE freq WHEN 'W' THEN RAT(close, lag(close, 5) OVER w) - 1 WHEN 'M' THEN RAT(close, lag(close, 21) OVER w) - 1 ELSE RAT(close, lag(close, 63) OVER w) - 1 END AS signal, RAT(lead(close, 5) OVER w, close) - 1 AS later FROM r CROSS JOIN (VALUES ('W'), ('M'), ('Q')) AS t(freq) WINDOW w AS (PARTITION BY entity_id, freq ORDER BY date)) SELECT entity_id, freq, count(signal) AS n, {rounded({'ic': 'PEARSON(signal, later)'}, 5)} FROM s GROUP BY entity_id, freq")
+sql_query("win58_rolling_ic", f"WITH {RET}, s AS (SELECT entity_id, date, RAT(close, lag(close, 21) OVER {W}) - 1 AS x, RAT(lead(close, 5) OVER {W}, close) - 1 AS y FROM r), v AS (SELECT *, rank() OVER (PARTITION BY entity_id ORDER BY x) + (count(*) OVER (PARTITION BY entity_id, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY entity_id ORDER BY y) + (count(*) OVER (PARTITION BY entity_id, y) - 1) / 2e0 AS ry FROM s WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT entity_id, date, CASE WHEN count(*) OVER w >= 30 THEN PEARSON_OVER(rx, ry, w) END AS ic FROM v WINDOW w AS (PARTITION BY entity_id ORDER BY date ROWS 125 PRECEDING)) SELECT entity_id, {rounded({'mean_ic': 'avg(ic)', 'icir': 'RAT(avg(ic), stddev_samp(ic))'}, 4)}, CAST(coalesce(abs(RAT(avg(ic), stddev_samp(ic))) >= 0.3 AND abs(avg(ic)) >= 0.02, false) AS INT) AS strong FROM i GROUP BY entity_id")
 sql_query("fc46_regime_blended_weights", f"WITH {MODELS}, a AS (SELECT entity_id, model, mode, 1 / sqrt(avg(err * err)) AS affinity FROM er WHERE err IS NOT NULL GROUP BY entity_id, model, mode HAVING avg(err * err) > 0), p AS (SELECT entity_id, avg(CASE WHEN mode = 'wild' THEN 1e0 ELSE 0e0 END) AS wild FROM er WHERE back <= 21 GROUP BY entity_id), s AS (SELECT a.entity_id, model, sum(affinity * CASE WHEN mode = 'wild' THEN wild ELSE 1 - wild END) AS raw FROM a JOIN p ON p.entity_id = a.entity_id GROUP BY a.entity_id, model) SELECT entity_id, model, {rounded({'weight': 'RAT(raw, sum(raw) OVER (PARTITION BY entity_id))'})} FROM s")
 sql_query("anal31_regime_affinity", f"WITH {MODELS}, a AS (SELECT mode, model, 1 / avg(abs(err)) AS inverse FROM er WHERE err IS NOT NULL GROUP BY mode, model) SELECT mode, model, {rounded({'affinity': 'inverse / sum(inverse) OVER (PARTITION BY mode)'})} FROM a")
-sql_query("fc48_model_routing", f"WITH {RET}, m AS (SELECT entity_id, stddev_samp(ret) AS vol, avg(ret) AS drift, corr(ret, p) AS auto FROM (SELECT *, lag(ret) OVER {W} AS p FROM r) a GROUP BY entity_id) SELECT entity_id, CASE WHEN auto < -0.2 THEN 'pull' WHEN abs(drift) > vol / 10 THEN 'trend' WHEN vol > 0.5 THEN 'last' ELSE 'mean' END AS favoured FROM m")
+sql_query("fc48_model_routing", f"WITH {RET}, m AS (SELECT entity_id, stddev_samp(ret) AS vol, avg(ret) AS drift, PEARSON(ret, p) AS auto FROM (SELECT *, lag(ret) OVER {W} AS p FROM r) a GROUP BY entity_id) SELECT entity_id, CASE WHEN auto < -0.2 THEN 'pull' WHEN abs(drift) > vol / 10 THEN 'trend' WHEN vol > 0.5 THEN 'last' ELSE 'mean' END AS favoured FROM m")
 sql_query("fc49_tail_widening", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS mean FROM h GROUP BY region, date), q AS (SELECT region, percentile_cont(0.1) WITHIN GROUP (ORDER BY mean) AS low FROM g GROUP BY region), j AS (SELECT h.entity_id, avg(CASE WHEN g.mean <= q.low AND h.ret < -0.05 THEN 1e0 ELSE 0e0 END) AS joint, avg(CASE WHEN h.ret < -0.05 THEN 1e0 ELSE 0e0 END) AS tail FROM h JOIN g ON g.region = h.region AND g.date = h.date JOIN q ON q.region = h.region GROUP BY h.entity_id) SELECT entity_id, {rounded({'factor': 'CASE WHEN joint <= 0.02 THEN 1e0 ELSE least(2e0, 1 + (joint - 0.02) / 0.98 * greatest(tail, 0.3e0) * 1) END'}, 5)} FROM j")
 sql_query("fc52_reject_option", f"WITH {CONFORMAL} SELECT pt.entity_id, CAST(h AS INT) AS horizon, CAST(2 * q * sqrt(h) > 2 * abs(point) AS INT) AS rejected, {rounded({'point': 'CASE WHEN 2 * q * sqrt(h) > 2 * abs(point) THEN close ELSE point END', 'confidence': 'CASE WHEN 2 * q * sqrt(h) > 2 * abs(point) THEN 0.3e0 ELSE 1e0 END'}, 3)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
 sql_query("fc53_next_day_prices", f"WITH {RET}, v AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY entity_id ORDER BY date ROWS 20 PRECEDING) AS vol, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) AS back FROM r) SELECT entity_id, {rounded({'open': 'close', 'high': 'close * (1 + 0.6 * vol)', 'low': 'close * (1 - 0.6 * vol)', 'close': 'close'}, 3)} FROM v WHERE back = 1")
@@ -76,7 +76,7 @@ sql_query("anal28_adaptive_windows", "WITH g AS (SELECT entity_id, DAYS(lag(repo
 sql_query("agg40_plain_transitions", f"WITH {RET}, s AS (SELECT entity_id, date, CASE WHEN ret < -0.02 THEN 'down' WHEN ret > 0.02 THEN 'up' ELSE 'flat' END AS state FROM r WHERE ret IS NOT NULL), t AS (SELECT entity_id, state, lead(state) OVER (PARTITION BY entity_id ORDER BY date) AS next FROM s) SELECT entity_id, state, next, count(*) AS n, {rounded({'probability': 'count(*) / CAST(sum(count(*)) OVER (PARTITION BY entity_id, state) AS DOUBLE)'})} FROM t WHERE next IS NOT NULL GROUP BY entity_id, state, next")
 sql_query("agg67_regime_risk_multiplier", f"WITH {RET}, s AS (SELECT entity_id, CASE WHEN RAT(close, lag(close, 21) OVER {W}) - 1 < -0.1 THEN 'bear' WHEN RAT(close, lag(close, 21) OVER {W}) - 1 > 0.1 THEN 'bull' ELSE 'flat' END AS regime, ret FROM r), v AS (SELECT entity_id, regime, stddev_samp(ret) AS sd FROM s GROUP BY entity_id, regime) SELECT entity_id, {rounded({'multiplier': 'RAT(max(sd), min(sd))'}, 5)} FROM v GROUP BY entity_id")
 sql_query("agg78_proxy_confidence", f"SELECT entity_id, report_date, {rounded({'confidence': 'exp(ln(CASE WHEN receivables IS NULL THEN 0.6e0 ELSE 1e0 END) + ln(CASE WHEN cash_and_equivalents IS NULL THEN 0.5e0 ELSE 1e0 END) + ln(CASE WHEN research_and_development IS NULL THEN 0.8e0 ELSE 1e0 END))'})} FROM {{fin}}")
-sql_query("set02_causal_edges", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS x FROM h GROUP BY region, date), p AS (SELECT a.region AS src, b.region AS dst, corr(a.x, b.y) AS c, corr(sign(a.x), sign(b.y)) AS s FROM g a JOIN (SELECT region, lag(date) OVER (PARTITION BY region ORDER BY date) AS date, x AS y FROM g) b ON b.date = a.date AND b.region <> a.region GROUP BY a.region, b.region), u AS (SELECT src, dst, 'granger' AS method FROM p WHERE abs(c) > 0.02 UNION ALL SELECT src, dst, 'transfer_entropy' FROM p WHERE abs(s) > 0.02) SELECT src, dst, CASE WHEN count(*) > 1 THEN 'both' ELSE min(method) END AS method FROM u GROUP BY src, dst")
+sql_query("set02_causal_edges", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS x FROM h GROUP BY region, date), p AS (SELECT a.region AS src, b.region AS dst, PEARSON(a.x, b.y) AS c, PEARSON(sign(a.x), sign(b.y)) AS s FROM g a JOIN (SELECT region, lag(date) OVER (PARTITION BY region ORDER BY date) AS date, x AS y FROM g) b ON b.date = a.date AND b.region <> a.region GROUP BY a.region, b.region), u AS (SELECT src, dst, 'granger' AS method FROM p WHERE abs(c) > 0.02 UNION ALL SELECT src, dst, 'transfer_entropy' FROM p WHERE abs(s) > 0.02) SELECT src, dst, CASE WHEN count(*) > 1 THEN 'both' ELSE min(method) END AS method FROM u GROUP BY src, dst")
 sql_query("set06_weight_merge", f"WITH {WEIGHTS}, o AS (SELECT * FROM {{expert_weights}}) SELECT coalesce(wt.entity_id, o.entity_id) AS entity_id, coalesce(wt.model, o.model) AS model, {rounded({'weight': 'coalesce(o.weight, wt.weight)'})} FROM wt FULL OUTER JOIN o ON o.entity_id = wt.entity_id AND o.model = wt.model")
 # Suppliers are connected where their customers' countries are; a share of each link passes an infection on.
 EDGES = "ed AS (SELECT DISTINCT s_suppkey AS src, n_name AS dst FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey), hop AS (SELECT src, dst, 0.3e0 AS p FROM ed)"

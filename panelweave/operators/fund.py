@@ -59,7 +59,7 @@ sql_query(
 )
 sql_query(
     "anal58_earnings_smoothing",
-    f"""WITH p AS (SELECT *, net_income - lag(net_income) OVER {WQ} AS d, revenue - lag(revenue) OVER {WQ} AS dr FROM {{fin}}), a AS (SELECT entity_id, stddev_samp(net_income) / nullif(stddev_samp(operating_cash_flow), 0) AS ratio, avg(CASE WHEN d > 0 THEN 1e0 WHEN d IS NOT NULL THEN 0e0 END) AS up, corr(net_income - operating_cash_flow, operating_cash_flow) AS link FROM p GROUP BY entity_id),
+    f"""WITH p AS (SELECT *, net_income - lag(net_income) OVER {WQ} AS d, revenue - lag(revenue) OVER {WQ} AS dr FROM {{fin}}), a AS (SELECT entity_id, stddev_samp(net_income) / nullif(stddev_samp(operating_cash_flow), 0) AS ratio, avg(CASE WHEN d > 0 THEN 1e0 WHEN d IS NOT NULL THEN 0e0 END) AS up, PEARSON(net_income - operating_cash_flow, operating_cash_flow) AS link FROM p GROUP BY entity_id),
     s AS (SELECT *, 0.5 * {clamp("100 * (1 - ratio)")} + 0.3 * {clamp("200 * (up - 0.5)")} + 0.2 * {clamp("-100 * link")} AS score FROM a)
     SELECT entity_id, {rounded({"smoothing_ratio": "ratio", "share_up": "up", "accruals_cash_corr": "link", "score": "score"}, 4)}, {RISK} AS label FROM s""",
 )

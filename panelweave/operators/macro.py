@@ -120,5 +120,5 @@ SMART = "greatest(-1e0, least(1e0, dtop - dpct / 100))"
 sql_query("win31_smart_money_divergence", f"WITH {FLOW} SELECT entity_id, date, {rounded({'divergence': f'CASE WHEN dtop IS NOT NULL THEN {SMART} END'})} FROM fs")
 sql_query("win32_institutional_flow", f"WITH {FLOW}, c AS (SELECT entity_id, date, smooth, {CROWD} AS crowding, CASE WHEN dtop IS NOT NULL THEN {SMART} END AS smart FROM fs) SELECT entity_id, date, {rounded({'flow_momentum': 'smooth', 'crowding': 'crowding', 'smart_money': 'smart'})}, {LABEL('crowding', [(0.3, 'low'), (0.6, 'moderate'), (0.8, 'high'), (0, 'extreme')])} AS crowding_label, {LABEL('smart', [(-0.15, 'conviction_sell'), (-0.05, 'mild_sell'), (0.05, 'neutral'), (0.15, 'mild_buy'), (0, 'conviction_buy')])} AS smart_label FROM c")
 sql_query("anal29_sector_strategicness", f"WITH s AS (SELECT p.sector, sum(f.revenue) AS v FROM {{fin}} f JOIN {{profiles}} p ON p.entity_id = f.entity_id GROUP BY p.sector) SELECT sector, {rounded({'share': 'v / sum(v) OVER ()', 'strategicness': "CASE WHEN sector IN ('energy', 'banking', 'utilities') THEN 0.7 * 0.8 ELSE 0.7 * 0.3 END + 0.3 * v / sum(v) OVER ()"})} FROM s")
-sql_query("anal30_group_contagion", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS mean FROM h GROUP BY region, date), c AS (SELECT h.entity_id, g.region, h.ret, g.mean FROM h JOIN g ON g.date = h.date), q AS (SELECT entity_id, percentile_cont(0.25) WITHIN GROUP (ORDER BY ret) AS low FROM r GROUP BY entity_id) SELECT c.entity_id, c.region, {rounded({'tail_corr': 'corr(ret, mean)'}, 5)} FROM c JOIN q ON q.entity_id = c.entity_id AND c.ret <= q.low GROUP BY c.entity_id, c.region")
+sql_query("anal30_group_contagion", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS mean FROM h GROUP BY region, date), c AS (SELECT h.entity_id, g.region, h.ret, g.mean FROM h JOIN g ON g.date = h.date), q AS (SELECT entity_id, percentile_cont(0.25) WITHIN GROUP (ORDER BY ret) AS low FROM r GROUP BY entity_id) SELECT c.entity_id, c.region, {rounded({'tail_corr': 'PEARSON(ret, mean)'}, 5)} FROM c JOIN q ON q.entity_id = c.entity_id AND c.ret <= q.low GROUP BY c.entity_id, c.region")
 sql_query("agg35_linked_summary", f"WITH {RET}, {HOME}, l AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) AS back FROM h) SELECT region, count(*) AS members, {rounded({'mean_return': 'avg(ret)', 'mean_close': 'avg(close)'}, 5)} FROM l WHERE back = 1 GROUP BY region")

@@ -79,3 +79,11 @@ def test_filing_gap_rounds_to_the_even_day(spark):
     days = lambda entity, *gaps: [{"entity_id": entity, "filing_date": D(2000, 1, 1) + dt.timedelta(days=sum(gaps[:k]))} for k in range(len(gaps) + 1)]
     got = {r["entity_id"]: r["gap_days"] for r in run(spark, "scal13_expected_next_filing", fin=fin(spark, *days(1, 91, 92), *days(2, 90, 91)))}
     assert got == {1: 92, 2: 90}
+
+
+def test_causal_edges_of_constant_signs(spark):
+    """A region whose mean return never changes sign has no correlation of signs; the number is NaN, as in DuckDB, and no error."""
+    rows = [(e, D(2020, 1, k + 1), p) for e, q in ((1, (1.0, 2.0, 3.0, 5.0)), (2, (1.0, 3.0, 4.0, 9.0))) for k, p in enumerate(q)]
+    px = spark.createDataFrame(rows, "entity_id long, date date, close double")
+    peers = spark.createDataFrame([(1, "n", "A"), (2, "n", "B")], "entity_id long, nation string, region string")
+    assert {(r["src"], r["dst"]): r["method"] for r in run(spark, "set02_causal_edges", px=px, peers=peers)} == {("A", "B"): "both", ("B", "A"): "both"}

@@ -17,6 +17,7 @@ from panelweave.core import forward_fill, ordered, rounded, ship, trailing
 from panelweave.operators.survival import CURRENT_RATIO, DEBT, DEBT_TO_EQUITY, DRAWDOWN, FCF_YIELD, FLAGGED
 from panelweave.registry import query
 from panelweave.scans import numbers
+from panelweave.sources.files import written
 from panelweave.sqlops import TEXTS, select
 
 RATIOS = ("cr", "de", "fy", "drawdown")
@@ -145,8 +146,11 @@ def survival_regression(df: DataFrame, covariates: Sequence[str] = RATIOS, flag:
     Weibull model is one of proportional hazards as well: the log hazard ratio
     is minus the coefficient over the scale. Missing covariates are carried
     forward, never back; with fewer than 5 events or 50 rows there is no score.
+    The frame and its complete rows are written once, since the fit reads them
+    many times.
     """
-    clean = durations(df.select("entity_id", "date", *covariates, flag).dropna(), flag)
+    df = written(df.select("entity_id", "date", *covariates, flag), "survival")
+    clean = written(durations(df.dropna(), flag).select(*covariates, flag, "duration"), "durations")
     n, events = clean.agg(F.count("*"), F.sum(flag)).first()
     rows = df.select("entity_id", "date", *[forward_fill(c).alias(c) for c in covariates])
     if n < LEAST_ROWS or (events or 0) < LEAST_EVENTS:
@@ -165,7 +169,9 @@ def discrete_survival(df: DataFrame, covariates: Sequence[str] = RATIOS[:3], fla
 
     Rows missing a ratio aren't fitted on; for the score missing ratios are
     carried forward, else 0. Fewer than two events or four rows give no score.
+    The frame is written once, since the fit reads it many times.
     """
+    df = written(df.select("entity_id", "date", *covariates, flag), "survival")
     clean = df.select(*covariates, F.col(flag).cast("double").alias("event")).dropna()
     n, events = clean.agg(F.count("*"), F.sum("event")).first()
     rows = df.select("entity_id", "date", *[F.coalesce(forward_fill(c), F.lit(0.0)).alias(c) for c in covariates])

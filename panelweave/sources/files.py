@@ -52,6 +52,13 @@ def scratch(spark, label: str) -> str:
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` from a new path that it is written to, so that many passes make it once."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 EVENTS = "event_id long, user_id long, event_type string, value double"
 
 

@@ -122,3 +122,19 @@ def test_draws():
     assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01
     assert abs(p.mean() - 1) < 0.01 and abs(p.var() - 1) < 0.02
     assert abs(np.corrcoef(sm.uniform(seed, np.array(3)), sm.uniform(seed, np.array(4)))[0, 1]) < 0.01
+
+
+def test_fits_make_their_frame_once(spark):
+    """A fit passes over its rows many times; the frame before it is computed once."""
+    rows = panel(3, entities=4, days=60)
+    for fit in (sm.survival_regression, sm.discrete_survival):
+        seen = spark.sparkContext.accumulator(0)
+
+        def look(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        score, found = fit(spark.createDataFrame(rows, SCHEMA).mapInArrow(look, SCHEMA))
+        assert found and score.count() == len(rows)
+        assert seen.value == len(rows)

@@ -71,3 +71,20 @@ def test_features_never_look_ahead(spark):
     of = lambda part: {(r["entity_id"], r["date"]): tuple(r[c] for c in trees.CROSS) for r in trees.features(spark.createDataFrame(part, schema)).collect()}
     whole, before = of(rows), of(early)
     assert before and all(np.allclose(whole[k], v) for k, v in before.items())
+
+
+def test_dealing_anew_takes_one_shuffle(spark, planted):
+    """Shadows come without a join, rounds from series that are written once, and one pass scores all features."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(trees.permuted(planted, COLUMNS, 5)).count("Exchange hashpartitioning") == 1
+    model = trees.forest(planted, COLUMNS)
+    assert plan(trees.permutation_importance(model, planted, COLUMNS)).count("Exchange hashpartitioning") == 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    trees.shadow_test(planted.mapInArrow(look, planted.schema), COLUMNS, rounds=2)
+    assert seen.value == planted.count()

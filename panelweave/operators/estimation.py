@@ -1,7 +1,15 @@
 """Missing and doubtful data: audits, repairs, identities, imputation by regression, frequencies and proxies."""
 
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from panelweave.operators.survival import DEBT
-from panelweave.sqlops import rounded, sql_query
+from panelweave.registry import query
+from panelweave.sources.files import written
+from panelweave.sqlops import rounded, select, sql_query
 
 W = "(PARTITION BY entity_id ORDER BY date)"
 WQ = "(PARTITION BY entity_id ORDER BY report_date)"
@@ -76,6 +84,35 @@ sql_query("dq47_mnar_bundle", f"WITH {CLASSES}, b AS (SELECT entity_id, percenti
 PROXY = "px2 AS (SELECT entity_id, report_date, RAT(dividends_paid, revenue) AS dividend, RAT(share_buybacks, revenue) AS buyback, RAT(cash_and_equivalents, current_liabilities) AS liquidity FROM {fin})"
 sql_query("dq50_proxy_bundle", f"WITH {PROXY} SELECT entity_id, report_date, {rounded({'dividend_proxy': 'dividend', 'buyback_proxy': 'buyback', 'liquidity_proxy': 'liquidity', 'confidence': '0.4 * CASE WHEN dividend > 0 THEN 1 ELSE 0.5 END + 0.3 * CASE WHEN buyback > 0 THEN 1 ELSE 0.5 END + 0.3 * CASE WHEN liquidity IS NOT NULL THEN 1 ELSE 0 END'}, 5)} FROM px2")
 sql_query("dq51_proxy_tier_scores", f"WITH {PROXY}, b AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY liquidity) AS a, percentile_cont(0.5) WITHIN GROUP (ORDER BY liquidity) AS m, percentile_cont(0.75) WITHIN GROUP (ORDER BY liquidity) AS z FROM px2) SELECT entity_id, report_date, CASE WHEN liquidity IS NULL THEN NULL WHEN liquidity >= z THEN 85e0 WHEN liquidity >= m THEN 65e0 WHEN liquidity >= a THEN 40e0 ELSE 15e0 END AS score FROM px2 CROSS JOIN b")
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], edge: float = 2e-4) -> list[float | None]:
+    """Exact interpolated quantiles of a whole column, in bounded memory: a sketch gives bounds round each, and only the values between them are ranked."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
+    n, out = rows.count(), []
+    for share in shares if n else ():
+        place, width, found = share * (n - 1), edge, None
+        low, high = math.floor(place), math.ceil(place)
+        while found is None:
+            a, b = rows.agg(F.percentile_approx("x", [max(0.0, share - width), min(1.0, share + width)], 10_000)).first()[0]
+            below = rows.where(F.col("x") < a).count()
+            counted = rows.where(F.col("x").between(a, b)).groupBy("x").count().withColumn("upto", F.sum("count").over(Window.orderBy("x")) + below)
+            x, y, last = counted.agg(F.min(F.when(F.col("upto") > low, F.col("x"))), F.min(F.when(F.col("upto") > high, F.col("x"))), F.max("upto")).first()
+            if below <= low and last > high:
+                found = x if low == high else (high - place) * x + (place - low) * y
+            width *= 8
+        out.append(found)
+    return out or [None] * len(shares)
+
+
+@query("dq51_proxy_tier_scores")
+def dq51(spark, sf_dir):
+    rows = written(select(f"WITH {PROXY} SELECT entity_id, report_date, liquidity FROM px2", spark, sf_dir), "liquidity")
+    a, m, z = (F.lit(v).cast("double") for v in quantiles(rows, "liquidity", (0.25, 0.5, 0.75)))
+    x = F.col("liquidity")
+    return rows.select("entity_id", "report_date", F.when(x.isNull(), None).when(x >= z, 85.0).when(x >= m, 65.0).when(x >= a, 40.0).otherwise(15.0).alias("score"))
+
+
 # The reference frequency of a series from the gaps of its dates.
 GAPS = "gp AS (SELECT entity_id, statement, DAYS(lag(report_date) OVER (PARTITION BY entity_id, statement ORDER BY report_date), report_date) AS gap FROM {statement_dates}), gm AS (SELECT entity_id, statement, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(gap AS DOUBLE)) AS gap, count(gap) AS n FROM gp GROUP BY entity_id, statement), gf AS (SELECT *, CASE WHEN gap < 120 THEN 'quarterly' WHEN gap < 250 THEN 'semiannual' WHEN gap < 500 THEN 'annual' ELSE 'unknown' END AS frequency FROM gm)"
 sql_query("scal12_native_frequency", f"WITH {GAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, statement) AS place FROM gf) SELECT entity_id, frequency FROM k WHERE place = 1")

@@ -1,7 +1,9 @@
 """Forecast errors, ensemble weights, intervals, confidence, frequencies and signals that are put together."""
 
+import re
+
 from panelweave.operators.macro import HOME, RET
-from panelweave.sqlops import TEXTS, rounded, sql_query
+from panelweave.sqlops import TEXTS, rounded, sql_query as plain_query
 
 W = "(PARTITION BY entity_id ORDER BY date)"
 # Four models predict the next close from what is known each day: the last value, a short mean, a trend and a pull to the mean.
@@ -9,19 +11,81 @@ MODELS = f"""n AS (SELECT entity_id, date, close, row_number() OVER {W} AS k, le
  f AS (SELECT *, close AS p_last, avg(close) OVER a AS p_mean, CASE WHEN count(close) OVER b >= 5 THEN regr_intercept(close, CAST(k AS DOUBLE)) OVER b + (regr_slope(close, CAST(k AS DOUBLE)) OVER b) * (k + 1) END AS p_trend, close + 0.1 * ((avg(close) OVER b) - close) AS p_pull FROM n WINDOW a AS (PARTITION BY entity_id ORDER BY date ROWS 4 PRECEDING), b AS (PARTITION BY entity_id ORDER BY date ROWS 62 PRECEDING)),
  e AS (SELECT entity_id, date, k, close, later, later_date, model, CASE model WHEN 'last' THEN p_last WHEN 'mean' THEN p_mean WHEN 'trend' THEN p_trend ELSE p_pull END AS predicted FROM f CROSS JOIN (VALUES ('last'), ('mean'), ('trend'), ('pull')) AS t(model)),
  er AS (SELECT *, predicted - later AS err, CASE WHEN abs(RAT(close, lag(close, 4 * 5) OVER (PARTITION BY entity_id, model ORDER BY date)) - 1) > 0.3 THEN 'wild' ELSE 'calm' END AS mode, row_number() OVER (PARTITION BY entity_id, model ORDER BY date DESC) AS back FROM e WHERE predicted IS NOT NULL)"""
-for row, model in (("fc02_walk_forward_last", "last"), ("fc04_walk_forward_trend", "trend"), ("fc05_walk_forward_mean_reversion", "pull")):
-    sql_query(row, f"WITH {MODELS} SELECT entity_id, date, {rounded({'predicted': 'predicted', 'error': 'err'}, 3)} FROM er WHERE model = '{model}'")
 SCORES = f"{MODELS}, sc AS (SELECT entity_id, model, count(err) AS n, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse FROM er GROUP BY entity_id, model)"
-sql_query("agg23_errors_by_mode", f"WITH {MODELS} SELECT entity_id, model, mode, count(err) AS n, {rounded({'mean_squared_error': 'avg(err * err)'}, 2)} FROM er WHERE err IS NOT NULL GROUP BY entity_id, model, mode")
 WEIGHTS = f"{SCORES}, wt AS (SELECT *, (1 / rmse) / sum(1 / rmse) OVER (PARTITION BY entity_id) AS weight FROM sc WHERE rmse > 0)"
 POINT = f"{WEIGHTS}, la AS (SELECT er.entity_id, er.date, er.model, er.predicted, er.close, wt.weight, wt.rmse FROM er JOIN wt ON wt.entity_id = er.entity_id AND wt.model = er.model WHERE back = 1), pt AS (SELECT entity_id, max(date) AS date, max(close) AS close, sum(weight * predicted) / sum(weight) AS point, sum(weight * rmse) / sum(weight) AS rmse, stddev_pop(predicted) AS spread FROM la GROUP BY entity_id)"
+CONFORMAL = f"{POINT}, ql AS (SELECT entity_id, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(err)) AS q FROM er WHERE model = 'last' AND err IS NOT NULL GROUP BY entity_id)"
+
+
+# What Spark runs instead of these: one ordered pass keeps the four forecasts side by side in a day's row, without a copy and a sort for each model.
+# Sums of 63 rows are seven of nine, those three of three, of terms looked up behind the row, so none is added up anew in each frame; ``t`` weighs a term by its age. Counts and places are whole numbers, which running sums keep exact.
+NAMES = {"last": "p_last", "mean": "p_mean", "trend": "p_trend", "pull": "p_pull"}
+
+
+def _sums(s: str, t: str, step: int, number: int) -> str:
+    """``number`` sums of ``step`` rows as one, and the same with terms weighed by age."""
+    back = lambda x, k: f"coalesce(lag({x}, {k * step}) OVER {W}, 0e0)" if k else x
+    total, aged = " + ".join(back(s, k) for k in range(number)), " + ".join(f"({back(t, k)} + {k * step} * {back(s, k)})" if k else t for k in range(number))
+    return f"{total} AS s{step * number}, {aged if step > 1 else ' + '.join(f'{k} * {back(s, k)}' for k in range(1, number))} AS t{step * number}"
+
+
+UP_TO = "(PARTITION BY entity_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+WIDE = f"""n AS (SELECT entity_id, date, close, coalesce(CAST(close AS DOUBLE), 0e0) AS y, CAST(close IS NOT NULL AS BIGINT) AS one, CAST(row_number() OVER {W} AS BIGINT) AS k, lead(close) OVER {W} AS later, lead(date) OVER {W} AS later_date, avg(close) OVER (PARTITION BY entity_id ORDER BY date ROWS 4 PRECEDING) AS p_mean FROM {{px}}),
+ n3 AS (SELECT *, {_sums('y', '', 1, 3)}, struct(sum(one) OVER {UP_TO} AS c, sum(one * k) OVER {UP_TO} AS u, sum(one * k * k) OVER {UP_TO} AS v) AS seen FROM n),
+ n9 AS (SELECT *, {_sums('s3', 't3', 3, 3)}, lag(seen, 63) OVER {W} AS old FROM n3),
+ n63 AS (SELECT entity_id, date, close, k, later, later_date, p_mean, {_sums('s9', 't9', 9, 7)}, seen.c - coalesce(old.c, 0) AS c, seen.u - coalesce(old.u, 0) AS u, seen.v - coalesce(old.v, 0) AS v FROM n9),
+ aged AS (SELECT *, CAST(k * c - u AS DOUBLE) AS a, CAST(k * k * c - 2 * k * u + v AS DOUBLE) AS aa FROM n63),
+ f AS (SELECT entity_id, date, close, CAST(k AS INT) AS k, later, later_date, close AS p_last, p_mean, CASE WHEN c >= 5 THEN s63 / c - (c * t63 - a * s63) / (c * aa - a * a) * (1 + a / c) END AS p_trend, close + 0.1 * (CASE WHEN c > 0 THEN s63 / c END - close) AS p_pull FROM aged)"""
+MARKED = f"""{WIDE}, fm AS (SELECT *, {', '.join(f"lag(CASE WHEN {p} IS NOT NULL THEN struct(close) END, 20) IGNORE NULLS OVER {W} AS was_{m}, count({p}) OVER (PARTITION BY entity_id) - count({p}) OVER {UP_TO} + 1 AS back_{m}" for m, p in NAMES.items())} FROM f)"""
+
+
+def _each(of: str) -> str:
+    return f"CASE model {' '.join(f'WHEN {m!r} THEN {of.format(m=m, p=p)}' for m, p in NAMES.items())} END"
+
+
+ALL = "(VALUES ('last'), ('mean'), ('trend'), ('pull')) AS t(model)"
+LEAN_MODELS = f"""{MARKED}, e AS (SELECT entity_id, date, k, close, later, later_date, model, {_each('{p}')} AS predicted, {_each('was_{m}')} AS was, CAST({_each('back_{m}')} AS INT) AS back FROM fm CROSS JOIN {ALL}),
+ er AS (SELECT entity_id, date, k, close, later, later_date, model, predicted, predicted - later AS err, CASE WHEN abs(RAT(close, was.close) - 1) > 0.3 THEN 'wild' ELSE 'calm' END AS mode, back FROM e WHERE predicted IS NOT NULL)"""
+_ERR = "({p} - later)"
+_ENDS = "CASE WHEN {p} IS NOT NULL THEN date END"
+_TOLD = {"n": f"count({_ERR})", "mae": f"avg(abs({_ERR}))", "rmse": f"sqrt(avg({_ERR} * {_ERR}))", "date": f"max({_ENDS})", "close": f"max_by(close, {_ENDS})", "predicted": f"max_by({{p}}, {_ENDS})"}
+
+
+def _scores(more: str = "") -> str:
+    """A row an entity with all models' scores and last forecasts, then a row a model."""
+    wide = ", ".join(f"{of.format(p=p)} AS {name}_{m}" for m, p in NAMES.items() for name, of in _TOLD.items())
+    return f"g AS (SELECT entity_id, {wide}{more} FROM f GROUP BY entity_id), sc AS (SELECT * FROM (SELECT entity_id, model, {', '.join(f"{_each(name + '_{m}')} AS {name}" for name in _TOLD)}{more and ', q'} FROM g CROSS JOIN {ALL}) a WHERE date IS NOT NULL)"
+
+
+_WEIGHED = "wt AS (SELECT *, (1 / rmse) / sum(1 / rmse) OVER (PARTITION BY entity_id) AS weight FROM sc WHERE rmse > 0)"
+_PT = "pt AS (SELECT entity_id, max(date) AS date, max(close) AS close, sum(weight * predicted) / sum(weight) AS point, sum(weight * rmse) / sum(weight) AS rmse, stddev_pop(predicted) AS spread{0} FROM wt GROUP BY entity_id{1})"
+LEAN_SCORES = f"{WIDE}, {_scores()}"
+LEAN_WEIGHTS = f"{LEAN_SCORES}, {_WEIGHED}"
+LEAN_POINT = f"{LEAN_WEIGHTS}, {_PT.format('', '')}"
+LEAN_CONFORMAL = f"{WIDE}, {_scores(', percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(p_last - later)) AS q')}, {_WEIGHED}, {_PT.format(', max(q) AS q', ' HAVING max(q) IS NOT NULL')}"
+LEAN = {CONFORMAL: LEAN_CONFORMAL, POINT: LEAN_POINT, WEIGHTS: LEAN_WEIGHTS, SCORES: LEAN_SCORES, MODELS: LEAN_MODELS}
+
+
+def sql_query(name: str, text: str, planned: str | None = None) -> None:
+    """Registers ``text``; Spark runs it with the lean form of the step that it begins with, ``er`` only where it names that."""
+    for step, lean in LEAN.items():
+        if step in text:
+            own = text.replace(step, "")
+            named = step != MODELS and re.search(r"\ber\b", own)
+            planned = text.replace(step, lean.replace(WIDE, LEAN_MODELS) if named else lean).replace(" JOIN ql ON ql.entity_id = pt.entity_id", "")
+            break
+    plain_query(name, text, planned)
+
+
+for row, model in (("fc02_walk_forward_last", "last"), ("fc04_walk_forward_trend", "trend"), ("fc05_walk_forward_mean_reversion", "pull")):
+    sql_query(row, f"WITH {MODELS} SELECT entity_id, date, {rounded({'predicted': 'predicted', 'error': 'err'}, 3)} FROM er WHERE model = '{model}'")
+sql_query("agg23_errors_by_mode", f"WITH {MODELS} SELECT entity_id, model, mode, count(err) AS n, {rounded({'mean_squared_error': 'avg(err * err)'}, 2)} FROM er WHERE err IS NOT NULL GROUP BY entity_id, model, mode")
 HORIZONS = "(VALUES (1e0), (5e0), (21e0), (252e0)) AS hz(h)"
 sql_query("agg28_forecast_aggregation", f"WITH {POINT} SELECT entity_id, CAST(h AS INT) AS horizon, {rounded({'forecast': 'close + (point - close) * h'}, 3)} FROM pt CROSS JOIN {HORIZONS}")
 sql_query("agg37_coverage_confidence", f"WITH {MODELS}, q AS (SELECT entity_id, model, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(err)) AS w, max(close) - min(close) AS span FROM er GROUP BY entity_id, model) SELECT er.entity_id, er.model, {rounded({'coverage': 'avg(CASE WHEN abs(err) <= w THEN 1e0 ELSE 0e0 END)', 'confidence': 'avg(CASE WHEN abs(err) <= w THEN 1e0 ELSE 0e0 END) * greatest(0e0, 1 - max(w) / max(span))'}, 5)} FROM er JOIN q ON q.entity_id = er.entity_id AND q.model = er.model WHERE err IS NOT NULL GROUP BY er.entity_id, er.model")
 sql_query("agg77_tier_model_priors", f"WITH {SCORES}, t AS (SELECT tier, model, avg(rmse) AS rmse FROM sc JOIN {{tiers}} s ON s.entity_id = sc.entity_id GROUP BY tier, model) SELECT tier, model, {rounded({'prior': '(1 / rmse) / sum(1 / rmse) OVER (PARTITION BY tier)'})} FROM t")
 sql_query("fc15_temporal_split", f"WITH p AS (SELECT entity_id, date, percent_rank() OVER {W} AS place FROM {{px}}) SELECT entity_id, date, CASE WHEN place > 0.8 THEN 'test' ELSE 'train' END AS part FROM p")
 sql_query("fc81_adaptive_split", f"WITH p AS (SELECT entity_id, date, percent_rank() OVER {W} AS place, count(*) OVER (PARTITION BY entity_id) AS n FROM {{px}}) SELECT entity_id, date, CASE WHEN place > 1 - greatest(0.1e0, least(0.3e0, 4 / sqrt(n))) THEN 'test' ELSE 'train' END AS part FROM p")
-CONFORMAL = f"{POINT}, ql AS (SELECT entity_id, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(err)) AS q FROM er WHERE model = 'last' AND err IS NOT NULL GROUP BY entity_id)"
 sql_query("fc34_conformal_intervals", f"WITH {CONFORMAL} SELECT pt.entity_id, CAST(h AS INT) AS horizon, {rounded({'low': 'point - q * sqrt(h)', 'point': 'point', 'high': 'point + q * sqrt(h)'}, 3)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
 sql_query("fc35_conformal_table", f"WITH {CONFORMAL}, m AS (SELECT entity_id, max_by(mode, date) AS mode FROM er GROUP BY entity_id) SELECT pt.entity_id, CAST(h AS INT) AS horizon, m.mode, {rounded({'width': 'q * sqrt(h) * CASE WHEN mode = ' + repr('wild') + ' THEN 1.5e0 ELSE 1e0 END * CASE WHEN h <= 5 THEN 1.2e0 ELSE 1e0 END'}, 3)} FROM pt JOIN ql ON ql.entity_id = pt.entity_id JOIN m ON m.entity_id = pt.entity_id CROSS JOIN {HORIZONS}")
 # The geometric mean of the models' quality, measured by the median error of all models, and of the entity's chance to survive; a half and 1 where unknown.

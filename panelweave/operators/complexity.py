@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
+from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -22,30 +23,58 @@ from panelweave.plans.views import prices
 from panelweave.registry import query
 from panelweave.scans import numbers
 
-WINDOW, PRICE_WINDOW, CELLS = 63, 126, 1 << 21
+WINDOW, PRICE_WINDOW, CELLS = 63, 126, 1 << 20
 Measure = Callable[[np.ndarray], np.ndarray]
 
 
 def _near(x: np.ndarray, strict: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which values of a window lie within a fifth of its deviation of each other, and whether that is a distance at all."""
+    """Which values of a window lie within a fifth of its deviation of each other, as bits of 64-bit words (by word, window, value), and whether that is a distance at all.
+
+    Near a value is a run of the sorted window, whose end is found by halving
+    steps on the differences themselves, so no pair is compared by itself. A
+    run's bits are the sum of those up to its end less those before it.
+    """
+    rows, n = x.shape
+    ok = np.isfinite(x).all(1) & (n >= 10)
+    x = np.where(ok[:, None], x, 0)
     r = 0.2 * x.std(1)
-    gap = np.abs(x[:, :, None] - x[:, None, :])
-    return (gap < r[:, None, None]) if strict else (gap <= r[:, None, None]), ~np.isnan(x).any(1) & (r >= 1e-12) & (x.shape[1] >= 10)
+    ok &= r >= 1e-12
+    r, order, steps = np.where(ok, r, 1)[:, None], np.argsort(x, 1), [1 << b for b in reversed(range(n.bit_length()))]
+    wide, row = n + 2 * steps[0], np.arange(rows)[:, None]
+    s = np.full((rows, wide), np.inf)
+    s[:, :n] = np.take_along_axis(x, order, 1)
+    flat, low, at = s.reshape(-1), s[:, :n].copy(), row * wide + np.arange(n)
+    for step in steps:
+        gap = flat.take(at + step) - low
+        at += step * ((gap < r) if strict else (gap <= r))
+    end = at - row * wide + 1
+    # the run of the k-th value begins after the values whose runs have ended by then
+    begin = np.bincount((row * (n + 1) + end).reshape(-1), minlength=rows * (n + 1)).reshape(rows, n + 1).cumsum(1)[:, :n]
+    end, begin, own = ((row * width + of).reshape(-1) for width, of in ((n + 1, end), (n + 1, begin), (n, order)))
+    near, upto = np.empty((-(-n // 64), rows * n), np.uint64), np.zeros((rows, n + 1), np.uint64)
+    bit = np.uint64(1) << (order & 63).astype(np.uint64)
+    for k, word in enumerate(near):
+        np.cumsum(np.where(order >> 6 == k, bit, np.uint64(0)), 1, out=upto[:, 1:])
+        word[own] = upto.take(end) - upto.take(begin)
+    return near.reshape(-1, rows, n), ok
 
 
 def _longer(near: np.ndarray, by: int) -> np.ndarray:
-    """Pairs of places from which ``by`` values in a row are near."""
-    n = near.shape[1] - by + 1
-    out = near[:, :n, :n]
+    """For each place from how many places ``by`` values in a row are near."""
+    n = near.shape[2] - by + 1
+    out = near[:, :, :n].copy()
     for k in range(1, by):
-        out = out & near[:, k : k + n, k : k + n]
-    return out
+        later = near[:, :, k : k + n]
+        moved = later >> np.uint64(k)
+        moved[:-1] |= later[1:] << np.uint64(64 - k)
+        out &= moved
+    return np.bitwise_count(out).sum(0, dtype=np.int64)
 
 
 def sample_entropy(x: np.ndarray, order: int = 2) -> np.ndarray:
     """Minus the log of how often templates that match for ``order`` values match for one more; null where none does."""
     near, ok = _near(x, True)
-    pairs = [(_longer(near, m).sum((1, 2)) - (x.shape[1] - m + 1)) // 2 for m in (order + 1, order)]
+    pairs = [(_longer(near, m).sum(1) - (x.shape[1] - m + 1)) // 2 for m in (order + 1, order)]
     ok &= (pairs[0] > 0) & (pairs[1] > 0)
     return np.where(ok, -np.log(np.where(ok, pairs[0], 1) / np.where(ok, pairs[1], 1)), np.nan)
 
@@ -53,16 +82,19 @@ def sample_entropy(x: np.ndarray, order: int = 2) -> np.ndarray:
 def approximate_entropy(x: np.ndarray, order: int = 2) -> np.ndarray:
     """The variant in which a template matches itself."""
     near, ok = _near(x, False)
-    phi = [np.log(np.maximum(m.sum(2), 1) / m.shape[1]).mean(1) for m in (_longer(near, order), _longer(near, order + 1))]
+    logs = lambda m: np.log(np.maximum(np.arange(m.shape[1] + 1), 1) / m.shape[1])[m]
+    phi = [logs(m).mean(1) for m in (_longer(near, order), _longer(near, order + 1))]
     return np.where(ok, np.abs(phi[0] - phi[1]), np.nan)
 
 
 def permutation_entropy(x: np.ndarray, order: int = 3) -> np.ndarray:
-    """Entropy of the order types of ``order`` values in a row, over its maximum; earlier of equal values first."""
+    """Entropy of the order types of ``order`` values in a row, over its maximum; earlier of equal values first, missing ones last."""
     n = x.shape[1] - order + 1
     if n < 5:
         return np.full(len(x), np.nan)
-    types = np.argsort(sliding_window_view(x, order, 1), axis=2, kind="stable") @ (order ** np.arange(order))
+    at, gap, types = [x[:, k : k + n] for k in range(order)], np.isnan(x).any(), np.zeros((len(x), n), np.int64)
+    for bit, (a, b) in enumerate(combinations(at, 2)):
+        types |= ((a > b) | (np.isnan(a) & ~np.isnan(b)) if gap else a > b).astype(np.int64) << bit
     share = np.stack([(types == t).sum(1) for t in np.unique(types)], 1) / n if len(x) else np.zeros((0, 1))
     return -(share * np.log2(share + 1e-15)).sum(1) / np.log2(factorial(order))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -96,3 +97,19 @@ def test_windows_leave_out_the_row(spark, monkeypatch):
                 assert (b is None and math.isnan(want)) or abs(b - want) < 1e-9
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("fast, plain", PLAIN[:2], ids=lambda f: f.__name__)
+def test_entropy_holds_no_pairs(fast, plain):
+    """Words of more than one length, gaps and infinite values; memory grows with the values, not with their pairs."""
+    rng = np.random.default_rng(5)
+    for window in (63, 64, 65, 126, 130):
+        frames = np.array([rng.integers(0, 9, window) * 0.1, rng.normal(size=window).cumsum(), np.full(window, np.nan), np.append(np.inf, np.zeros(window - 1))])
+        got = fast(frames)
+        assert np.isnan(got[2:]).all() and all(abs(g - plain(x)) < 1e-9 for g, x in zip(got, frames[:2]))
+    frames = rng.normal(size=(100, 126))
+    tracemalloc.start()
+    fast(frames)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3e6  # the pairs of one window after the other would be 100 * 126 * 126 flags, and as many differences

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.core import ordered, rounded, ship
 from panelweave.plans.views import peers, prices
 from panelweave.registry import query
-from panelweave.sources.files import scratch
+from panelweave.sources.files import written
 from panelweave.sqlops import select
 
 BLOCKS, BLOCK_ROWS, CLASSES, BINS = 256, 50_000, 5, 512
@@ -49,16 +49,50 @@ def kendall(df: DataFrame, key: str, x: str, y: str, blocks: int = BLOCKS, block
     and those within a cell, which both have counted, are taken off once. A
     task holds the rows of one range, a ``blocks``-th of a key's, or those of
     one repeated value, which have no such pairs and are left out. Equal values
-    are always in one range. tau is null where a side has no two values.
+    are always in one range. Keys of at most ``block_rows`` rows need no
+    ranges; their pairs are counted as a whole. tau is null where a side has no
+    two values.
     """
     ship(df.sparkSession)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = written(rows, "kendall")
+    large = rows.groupBy("k").agg(F.count("*").alias("n")).where(f"n > {block_rows}").select(F.col("k").alias("_k"))
+    large = written(large, "kendall")  # at most one key for so many rows
+    if large.isEmpty():
+        out = _whole(rows)
+    else:
+        on = F.col("k").eqNullSafe(F.col("_k"))
+        out = _whole(rows.join(F.broadcast(large), on, "left_anti")).unionByName(_ranged(rows.join(F.broadcast(large), on, "left_semi"), blocks, block_rows))
+    out = out.withColumn("pairs", F.expr("n * (n - 1) div 2")).withColumn("concordant", F.expr("pairs - tx - ty + txy - discordant"))
+    below = (F.col("pairs") - F.col("tx")).cast("double") * (F.col("pairs") - F.col("ty")).cast("double")
+    return out.select(F.col("k").alias(key), "n", "concordant", "discordant", F.when(below > 0, (F.col("concordant") - F.col("discordant")) / F.sqrt(below)).alias("tau"))
+
+
+def _tied(*sides: np.ndarray) -> int:
+    """Pairs that are equal on all sides; equal rows are neighbours."""
+    new = np.append(True, np.any([s[1:] != s[:-1] for s in sides], axis=0))
+    n = np.diff(np.append(np.flatnonzero(new), len(new)))
+    return int((n * (n - 1) // 2).sum())
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """``k, n``, discordant pairs and pairs tied in x, in y and in both, a key's rows together."""
+
+    def count(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.unique(g[c].to_numpy(), return_inverse=True)[1] for c in ("x", "y"))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        return pd.DataFrame({"k": g["k"].iloc[:1], "n": [len(x)], "discordant": [inversions(y)], "tx": [_tied(x)], "ty": [_tied(np.sort(y))], "txy": [_tied(x, y)]})
+
+    return rows.groupBy("k").applyInPandas(count, f"k {rows.schema['k'].dataType.simpleString()}, n long, discordant long, tx long, ty long, txy long")
+
+
+def _ranged(rows: DataFrame, blocks: int, block_rows: int) -> DataFrame:
+    """The same by ranges of either side."""
     cuts = rows.groupBy("k").agg(_edges("x", blocks).alias("ex"), _edges("y", blocks).alias("ey"), F.least(F.lit(blocks), F.ceil(F.count("*") / block_rows)).alias("parts"))
     place = f"CAST(size(filter({{e}}, e -> e < {{c}})) * parts div {blocks} AS INT)"
     held = rows.join(cuts.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k"))).selectExpr("k", "x", "y", f"{place.format(e='ex', c='x')} AS bx", f"{place.format(e='ey', c='y')} AS bey")
-    path = scratch(df.sparkSession, "kendall")
-    held.write.parquet(path)  # read eight times below
-    held = df.sparkSession.read.schema(held.schema).parquet(path)
+    held = written(held, "kendall")  # read eight times below
     rows = held.select("k", "x", "y")
 
     def within(*by: str) -> DataFrame:
@@ -87,9 +121,7 @@ def kendall(df: DataFrame, key: str, x: str, y: str, blocks: int = BLOCKS, block
     for name, t in (("discordant", total), ("tx", tied("x")), ("ty", tied("y")), ("txy", tied("x", "y"))):
         t = t.toDF("_k", name)
         out = out.join(t, F.col("k").eqNullSafe(F.col("_k")), "left").drop("_k")
-    out = out.withColumn("pairs", F.expr("n * (n - 1) div 2")).withColumn("discordant", F.coalesce("discordant", F.lit(0))).withColumn("concordant", F.expr("pairs - tx - ty + txy - discordant"))
-    below = (F.col("pairs") - F.col("tx")).cast("double") * (F.col("pairs") - F.col("ty")).cast("double")
-    return out.select(F.col("k").alias(key), "n", "concordant", "discordant", F.when(below > 0, (F.col("concordant") - F.col("discordant")) / F.sqrt(below)).alias("tau"))
+    return out.withColumn("discordant", F.coalesce("discordant", F.lit(0)))
 
 
 def partition(value: np.ndarray, count: np.ndarray, total: np.ndarray, squares: np.ndarray, classes: int) -> list[int]:

@@ -37,6 +37,17 @@ def test_kendall(spark):
     assert d.kendall(spark.createDataFrame([], "k string, x double, y double"), "k", "x", "y").collect() == []
 
 
+def test_kendall_cuts_only_large_keys(spark, monkeypatch):
+    """Counted as a whole, by ranges, and both in one frame: the same; ranges are made for keys of more rows than a block alone."""
+    ranged, seen = d._ranged, []
+    monkeypatch.setattr(d, "_ranged", lambda rows, *given: seen.append({r["k"] for r in rows.select("k").distinct().collect()}) or ranged(rows, *given))
+    rows = [(k, float(a), float(b)) for k, x, y in cases() for a, b in zip(x, y)] + [("nan", float("nan"), 1.0), ("nan", float("nan"), 2.0), ("nan", 1.0, float("nan")), ("nan", 1.0, 0.0), ("nan", -0.0, 5.0), ("nan", 0.0, 6.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    got = [sorted(map(repr, d.kendall(df, "k", "x", "y", blocks=8, block_rows=size).collect())) for size in (1, 100, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 9
+    assert seen == [{k for k, *_ in cases()} - {"one"} | {"nan"}, {"noise", "near", "ties", "hot"}]
+
+
 def test_inversions():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 7, 100):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.core import ordered, rounded
+from panelweave.core import ordered, rounded, ship
 from panelweave.plans.views import prices
 from panelweave.registry import query
-from panelweave.sources.files import scratch
+from panelweave.sources.files import scratch, written
 
-COMPONENTS, LEAST, ROUNDS, TOLERANCE, FLOOR = 3, 50, 100, 1e-3, 1e-6
+COMPONENTS, LEAST, MOST, ROUNDS, TOLERANCE, FLOOR = 3, 50, 1 << 18, 100, 1e-3, 1e-6
 #: Rows on either side of a break, and the distance of their means in standard errors that makes one.
 SIDE, LEVEL = 21, 3.0
 
@@ -22,29 +24,58 @@ def with_shares(df: DataFrame, x: str, k: int) -> DataFrame:
     return rows.selectExpr("*", "aggregate(_raw, 0D, (a, v) -> a + v) AS _sum").selectExpr("*", "transform(_raw, v -> v / _sum) AS share", "_top + ln(_sum) AS likelihood").drop("_log", "_top", "_raw", "_sum")
 
 
-def mixture(df: DataFrame, key: str, x: str, k: int = COMPONENTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, least: int = LEAST) -> DataFrame:
-    """Per key weights, means (rising) and variances of ``k`` normal components, with the mean log likelihood and the number of rounds.
+def _start(k: int) -> list[float]:
+    """Where the means begin, in deviations from the key's mean."""
+    return [0.0] if k == 1 else [2.0 * j / (k - 1) - 1 for j in range(k)]
 
-    Expectation-maximisation from means at -1, 0, 1 deviations (evenly spread
-    for other ``k``). A round is one aggregation to sufficient statistics, so
-    only those leave a task; it ends for all keys when no mean likelihood rises
-    by ``tolerance``. Variances are at least a millionth of the key's. Nulls,
-    keys of fewer than ``least`` values and constant keys are left out.
-    """
-    spark = df.sparkSession
-    folder = scratch(spark, "mixture")
-    df.where(F.col(x).isNotNull()).select(F.col(key).alias("of"), F.col(x).cast("double").alias("x")).write.parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows")
-    spots = [0.0] if k == 1 else [2.0 * j / (k - 1) - 1 for j in range(k)]
+
+def _fitted(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``rounds`` rounds over one key's values: weights, means, variances and each round's mean log likelihood."""
+    n, v = len(x), x.var()
+    weight, mean, variance, said = np.full(k, 1 / k), x.mean() + np.sqrt(v) * np.array(_start(k)), np.full(k, v), np.empty(rounds)
+    for number in range(rounds):
+        gap = x - mean[:, None]
+        square = gap * gap
+        logs = square * (-0.5 / variance)[:, None] + (np.log(weight) - 0.5 * np.log(2 * np.pi * variance))[:, None]
+        top = logs.max(0)
+        share = np.exp(np.subtract(logs, top, out=logs), out=logs)
+        total = share.sum(0)
+        said[number] = (top.sum() + np.log(total).sum()) / n
+        share /= total
+        size = share.sum(1)
+        held = np.maximum(size, 1e-300)
+        step = np.einsum("ij,ij->i", share, gap) / held
+        weight, mean, variance = np.maximum(size / n, 1e-300), mean + step, np.maximum(np.einsum("ij,ij->i", share, square) / held - step * step, FLOOR * v)
+    return weight, mean, variance, said
+
+
+def _whole(rows: DataFrame, k: int, rounds: int, least: int) -> DataFrame:
+    """The rounds of keys whose values fit in a task, one group a key; ``said`` has every round's likelihood."""
+    ship(rows.sparkSession)
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x = g["x"].to_numpy()
+        if len(x) < least or x.min() == x.max() or x.var() == 0:
+            return pd.DataFrame({c: [] for c in ("k", "n", "weight", "mean", "variance", "said")}, dtype=object)
+        weight, mean, variance, said = _fitted(x, k, rounds)
+        return pd.DataFrame({"k": g["of"].iloc[:1], "n": [len(x)], "weight": [weight.tolist()], "mean": [mean.tolist()], "variance": [variance.tolist()], "said": [said.tolist()]})
+
+    return rows.groupBy("of").applyInPandas(fit, f"k {rows.schema['of'].dataType.simpleString()}, n long, weight array<double>, mean array<double>, variance array<double>, said array<double>")
+
+
+def _rounds(rows: DataFrame, k: int, rounds: int, tolerance: float, least: int, ended: set[int]) -> tuple[DataFrame, int]:
+    """The rounds of few keys of any size, each an aggregation, up to the first one in ``ended`` in which these have ended too; and its number."""
+    spark, folder, done = rows.sparkSession, scratch(rows.sparkSession, "mixture"), rounds
     start = rows.groupBy(F.col("of").alias("k")).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).where(f"n >= {least} AND v > 0")
-    params = start.select("k", "n", F.col("v").alias("all"), F.array(*[F.lit(1.0 / k)] * k).alias("weight"), F.array(*[F.col("m") + s * F.sqrt("v") for s in spots]).alias("mean"), F.array(*[F.col("v")] * k).alias("variance"), F.lit(float("-inf")).alias("likelihood"))
+    params = start.select("k", "n", F.col("v").alias("all"), F.array(*[F.lit(1.0 / k)] * k).alias("weight"), F.array(*[F.col("m") + s * F.sqrt("v") for s in _start(k)]).alias("mean"), F.array(*[F.col("v")] * k).alias("variance"), F.lit(float("-inf")).alias("likelihood"))
     for number in range(rounds):
         path = f"{folder}/round-{number}"
         params.write.parquet(path)
         params = spark.read.schema(params.schema).parquet(path)
-        if number and params.where(f"rise > {tolerance}").isEmpty():
+        if number in ended and params.where(f"rise > {tolerance}").isEmpty():
+            done = number
             break
-        seen = with_shares(rows.join(params.select("k", "weight", "mean", "variance"), F.col("of").eqNullSafe(F.col("k"))), "x", k)
+        seen = with_shares(rows.join(F.broadcast(params.select("k", "weight", "mean", "variance")), F.col("of").eqNullSafe(F.col("k"))), "x", k)
         # centred on the present means, so that squares keep their digits
         sums = [f"sum({of}) AS {n}{j}" for j in range(k) for n, of in (("n", f"share[{j}]"), ("s", f"share[{j}] * (x - mean[{j}])"), ("q", f"share[{j}] * pow(x - mean[{j}], 2)"))]
         new = seen.groupBy("of").agg(*map(F.expr, ["avg(likelihood) AS now", *sums]))
@@ -53,9 +84,43 @@ def mixture(df: DataFrame, key: str, x: str, k: int = COMPONENTS, rounds: int =
             "k", "n", "all", f"array({', '.join(f'greatest(n{j} / n, 1e-300D)' for j in range(k))}) AS weight", f"array({', '.join(f'mean[{j}] + s{j} / {held[j]}' for j in range(k))}) AS mean",
             f"array({', '.join(f'greatest(q{j} / {held[j]} - pow(s{j} / {held[j]}, 2), {FLOOR}D * all)' for j in range(k))}) AS variance", "now AS likelihood", "now - likelihood AS rise", f"{number + 1} AS rounds",
         )
-    params = params.withColumn("_order", F.array_sort(F.arrays_zip("mean", "variance", "weight")))
+    return params, done
+
+
+def mixture(df: DataFrame, key: str, x: str, k: int = COMPONENTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """Per key weights, means (rising) and variances of ``k`` normal components, with the mean log likelihood and the number of rounds.
+
+    Expectation-maximisation from means at -1, 0, 1 deviations (evenly spread
+    for other ``k``); it ends for all keys when no mean likelihood rises
+    by ``tolerance``. Keys of at most ``most`` values are fitted as a group
+    each, all rounds in one job, and once more if the common end comes earlier.
+    Of larger keys, of which there are few, a round is one aggregation to
+    sufficient statistics, so only those leave a task. Variances are at
+    least a millionth of the key's. Nulls, keys of fewer than ``least`` values
+    and constant keys are left out.
+    """
+    spark = df.sparkSession
+    rows = written(df.where(F.col(x).isNotNull()).select(F.col(key).alias("of"), F.col(x).cast("double").alias("x")), "mixture")
+    large = written(rows.groupBy(F.col("of").alias("k")).agg(F.count("*").alias("n")).where(f"n > {most}").select("k"), "mixture")
+    on = F.col("of").eqNullSafe(F.col("k"))
+    some = not large.isEmpty()
+    small = rows.join(F.broadcast(large), on, "left_anti") if some else rows
+    fit = written(_whole(small, k, rounds, least), "mixture")
+    # the largest rise of each round after the first; the first has none before it
+    told = fit.selectExpr(f"explode(transform(sequence(1, {rounds}), i -> struct(i AS number, CASE WHEN i > 1 THEN said[i - 1] - said[i - 2] END AS rise))) AS r").groupBy("r.number").agg(F.max("r.rise").alias("rise"))
+    ended = {r["number"] for r in told.where(f"number > 1 AND rise <= {tolerance}").collect()} if not fit.isEmpty() else set(range(2, rounds + 1))
+    if some:
+        params, done = _rounds(rows.join(F.broadcast(large), on, "left_semi"), k, rounds, tolerance, least, ended)
+    else:
+        done = min(ended, default=rounds)
+    if done < rounds:
+        fit = _whole(small, k, done, least)
+    out = fit.select("k", "n", "weight", "mean", "variance", F.element_at("said", -1).alias("likelihood"), F.lit(done).alias("rounds"))
+    if some:
+        out = out.unionByName(params.select(*out.columns))
+    out = out.withColumn("_order", F.array_sort(F.arrays_zip("mean", "variance", "weight")))
     fields = {c: F.expr(f"transform(_order, s -> s.{c})") for c in ("weight", "mean", "variance")}
-    return params.select(F.col("k").alias(key), "n", *[v.alias(c) for c, v in fields.items()], "likelihood", "rounds")
+    return out.select(F.col("k").alias(key), "n", *[v.alias(c) for c, v in fields.items()], "likelihood", "rounds")
 
 
 def regimes(df: DataFrame, key: str, x: str, k: int = COMPONENTS, rounds: int = ROUNDS) -> DataFrame:

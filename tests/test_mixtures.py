@@ -51,6 +51,25 @@ def test_mixture(spark):
     assert mixtures.mixture(df.limit(0), "entity_id", "ret", rounds=2).collect() == []
 
 
+def test_keys_of_any_size_end_together(spark):
+    """Groups, rounds of aggregations, and both in one frame: the same fits after the same number of rounds."""
+    df = spark.createDataFrame(rows_of(), "entity_id string, date date, ret double")
+    for rounds in (1, 3, 30):
+        found = [sorted(mixtures.mixture(df, "entity_id", "ret", rounds=rounds, tolerance=0.005, most=most).collect(), key=repr) for most in (10**6, 500, 1)]
+        for got in found[1:]:
+            assert [(r["entity_id"], r["n"], r["rounds"]) for r in got] == [(r["entity_id"], r["n"], r["rounds"]) for r in found[0]] and len(got) == 2
+            for r, want in zip(got, found[0]):
+                assert np.allclose([*r["weight"], *r["mean"], *r["variance"], r["likelihood"]], [*want["weight"], *want["mean"], *want["variance"], want["likelihood"]], rtol=1e-9)
+        assert rounds < 30 or found[0][0]["rounds"] < 30
+
+
+def test_small_keys_take_no_job_a_round(spark):
+    df = spark.createDataFrame(rows_of(), "entity_id string, date date, ret double")
+    spark.sparkContext.setJobGroup("mixture", "")
+    mixtures.mixture(df, "entity_id", "ret", rounds=40, tolerance=-1.0).collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixture")) < 30  # two a round before
+
+
 def test_regimes(spark):
     rows = rows_of()
     found = mixtures.regimes(spark.createDataFrame(rows, "entity_id string, date date, ret double"), "entity_id", "ret", rounds=25).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -23,17 +23,19 @@ from panelweave.sqlops import TEXTS, select
 RATIOS = ("cr", "de", "fy", "drawdown")
 #: Levels of the triggers and whether distress lies below them.
 LEVELS = ((CURRENT_RATIO, True), (DEBT_TO_EQUITY, False), (FCF_YIELD, True), (DRAWDOWN, True))
-LEAST_EVENTS, LEAST_ROWS, DRAWS, REPLICATES, FADE = 5, 50, 100, 500, 0.997
+LEAST_EVENTS, LEAST_ROWS, DRAWS, REPLICATES, FADE, STEP = 5, 50, 100, 500, 0.997, 64
 
 
 def uniform(seed: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit row seeds and draw numbers, broadcast against each other."""
     with np.errstate(over="ignore"):
         x = seed.astype(np.uint64) + (draw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
         x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    x >>= np.uint64(11)
+    return (x.astype(np.float64) + 0.5) / 2.0**53
 
 
 def normal(seed: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -47,26 +49,50 @@ def poisson(seed: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(steps), uniform(seed, draw))
 
 
+def _worst(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """The worst distance to a trigger, or the mean of the distances, 0 without any ratio.
+
+    The mean is the geometric one of numbers of at least a hundredth, less 1,
+    so it exceeds the worst distance only where all lie below -0.99, which it
+    then is.
+    """
+    worst = None
+    for x, (level, below) in zip(columns, LEVELS):
+        far = np.clip((level - x if below else x - level) / max(abs(level), 0.01), -5, 5)
+        worst = far if worst is None else np.fmax(worst, far)
+    return np.where(np.isnan(worst), 0.0, np.maximum(worst, -0.99))
+
+
+def _squashed(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 def probability(ratios: np.ndarray) -> np.ndarray:
     """Distress from the last axis of ``RATIOS``: the worst distance to a trigger or their geometric mean, squashed; a half without any ratio."""
-    far = np.stack([np.clip((level - ratios[..., k] if below else ratios[..., k] - level) / max(abs(level), 0.01), -5, 5) for k, (level, below) in enumerate(LEVELS)], -1)
-    seen = ~np.isnan(far)
-    n = seen.sum(-1)
-    mean = np.prod(np.where(seen, 1 + np.maximum(-0.99, np.where(seen, far, 0)), 1.0), -1) ** (1 / np.maximum(n, 1)) - 1
-    worst = np.maximum(np.where(seen, far, -np.inf).max(-1), mean)
-    return 1 / (1 + np.exp(-worst))
+    return _squashed(_worst(np.moveaxis(ratios, -1, 0)))
+
+
+def _percentile(x: np.ndarray, percent: int) -> np.ndarray:
+    """Of each row's probabilities, whose order is that of ``x``: only its two neighbours are squashed."""
+    at = (x.shape[1] - 1) * (percent / 100)
+    low = int(at)
+    high = min(low + 1, x.shape[1] - 1)
+    x = np.partition(x, (low, high), 1)
+    a, b, t = _squashed(x[:, low]), _squashed(x[:, high]), at - low
+    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
 def _bands(batches: Iterator[pa.RecordBatch], draws: int, kept: Sequence[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            col = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
-            x, scale, seed = numbers(part, RATIOS), numbers(part, [f"{r}_scale" for r in RATIOS]), col("seed").to_numpy()
-            draw = np.arange(draws * len(RATIOS)).reshape(draws, 1, -1)
-            noise = normal(seed[:, None], draw) * 0.5 * np.nan_to_num(scale)
-            low, high = np.percentile(probability(x + noise), [10, 90], axis=0)
-            yield pa.RecordBatch.from_arrays([*[col(k) for k in kept], pa.array(low), pa.array(high)], names=[*kept, "p10", "p90"])
+        col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+        x, scale, seed = numbers(batch, RATIOS), np.nan_to_num(numbers(batch, [f"{r}_scale" for r in RATIOS])), col("seed").to_numpy()
+        found = np.empty((2, batch.num_rows))
+        for at in range(0, batch.num_rows, STEP):
+            part = slice(at, at + STEP)
+            moved = (x[part, k, None] + normal(seed[part, None], np.arange(draws) * len(RATIOS) + k) * 0.5 * scale[part, k, None] for k in range(len(RATIOS)))
+            worst = _worst(moved)
+            found[:, part] = [_percentile(worst, p) for p in (10, 90)]
+        yield pa.RecordBatch.from_arrays([*[col(k) for k in kept], *map(pa.array, found)], names=[*kept, "p10", "p90"])
 
 
 def uncertainty(df: DataFrame, draws: int = DRAWS) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from panelweave import registry
 from panelweave.operators import survival_models as sm
@@ -138,3 +140,25 @@ def test_fits_make_their_frame_once(spark):
         score, found = fit(spark.createDataFrame(rows, SCHEMA).mapInArrow(look, SCHEMA))
         assert found and score.count() == len(rows)
         assert seen.value == len(rows)
+
+
+def test_bands_hold_few_rows_at_a_time():
+    """Percentiles of all draws' probabilities, ratios missing, far below every trigger and far above; memory doesn't grow with a batch's draws."""
+    rng, n = np.random.default_rng(7), 3000
+    x, scale, seed = rng.normal(size=(n, 4)) * 3, np.abs(rng.normal(size=(n, 4))), rng.integers(-(2**63), 2**63 - 1, n)
+    x[rng.random((n, 4)) < 0.3] = np.nan
+    x[:4], x[4], scale[5] = [np.inf, -np.inf, np.inf, np.inf], np.nan, np.nan
+    cols = {"entity_id": np.arange(n), "seed": seed} | {r: x[:, k] for k, r in enumerate(sm.RATIOS)} | {f"{r}_scale": scale[:, k] for k, r in enumerate(sm.RATIOS)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, from_pandas=True) for k, v in cols.items()})
+    tracemalloc.start()
+    out = pa.Table.from_batches(sm._bands(iter([batch]), 100, ["entity_id"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    for row in (*range(8), 77, 2999):
+        drawn = x[row] + np.array([[sm.normal(seed[row : row + 1], np.array([4 * d + k]))[0] for k in range(4)] for d in range(100)]) * 0.5 * np.nan_to_num(scale[row])
+        plain = []
+        for r in drawn:
+            far = [float(np.clip((level - v if below else v - level) / max(abs(level), 0.01), -5, 5)) for v, (level, below) in zip(r, sm.LEVELS) if v == v]
+            plain.append(1 / (1 + math.exp(-max(*far, math.prod(1 + max(-0.99, f) for f in far) ** (1 / len(far)) - 1))) if far else 0.5)
+        assert abs(out["p10"][row].as_py() - np.percentile(plain, 10)) < 1e-12 and abs(out["p90"][row].as_py() - np.percentile(plain, 90)) < 1e-12

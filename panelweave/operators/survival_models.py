@@ -7,13 +7,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.core import forward_fill, ordered, rounded, ship, trailing
+from panelweave.core import forward_fill, ordered, rounded, ship
 from panelweave.operators.survival import CURRENT_RATIO, DEBT, DEBT_TO_EQUITY, DRAWDOWN, FCF_YIELD, FLAGGED
 from panelweave.registry import query
 from panelweave.scans import numbers
@@ -24,6 +25,8 @@ RATIOS = ("cr", "de", "fy", "drawdown")
 #: Levels of the triggers and whether distress lies below them.
 LEVELS = ((CURRENT_RATIO, True), (DEBT_TO_EQUITY, False), (FCF_YIELD, True), (DRAWDOWN, True))
 LEAST_EVENTS, LEAST_ROWS, DRAWS, REPLICATES, FADE, STEP = 5, 50, 100, 500, 0.997, 64
+#: Rows of a trailing deviation, and the least values in them.
+TRAIL, LEAST_TRAIL = 63, 10
 
 
 def uniform(seed: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -95,6 +98,40 @@ def _bands(batches: Iterator[pa.RecordBatch], draws: int, kept: Sequence[str]) -
         yield pa.RecordBatch.from_arrays([*[col(k) for k in kept], *map(pa.array, found)], names=[*kept, "p10", "p90"])
 
 
+def _deviations(x: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """From row ``first`` on, of each column's last ``TRAIL`` rows: how many have a value, and their sample deviation."""
+    lead = np.full((max(0, TRAIL - 1 - first), x.shape[1]), np.nan)
+    x = np.concatenate((lead, x[max(0, first - TRAIL + 1) :]))
+    ok = ~np.isnan(x)
+    values, seen = (sliding_window_view(v, TRAIL, 0) for v in (np.where(ok, x, 0), ok))
+    n, out = seen.sum(2), np.empty(values.shape[:2])
+    for at in range(0, len(values), STEP):
+        part = slice(at, at + STEP)
+        gap = (values[part] - (values[part].sum(2) / np.maximum(n[part], 1))[:, :, None]) * seen[part]
+        out[part] = np.sqrt((gap * gap).sum(2) / np.maximum(n[part] - 1, 1))
+    return n, out
+
+
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scales of rows that come sorted by key and date: the trailing deviation where enough values are seen, else the one given."""
+    now, kept = (), np.zeros((0, len(RATIOS)))
+    for batch in batches:
+        keys, x, given = batch.column(0).to_pylist(), numbers(batch, RATIOS), numbers(batch, [f"{r}_scale" for r in RATIOS])
+        starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            kept = np.concatenate((kept if (keys[a],) == now else kept[:0], x[a:b]))
+            now, first = (keys[a],), len(kept) - (b - a)
+            n, deviation = _deviations(kept, first)
+            given[a:b] = np.where(n >= LEAST_TRAIL, deviation, given[a:b])
+            kept = kept[1 - TRAIL :]
+        at = {f"{r}_scale": pa.array(given[:, k]) for k, r in enumerate(RATIOS)}
+        yield pa.RecordBatch.from_arrays([at.get(c, v) for c, v in zip(batch.schema.names, batch.columns)], names=batch.schema.names)
+
+
+def _moved(batches: Iterator[pa.RecordBatch], draws: int) -> Iterator[pa.RecordBatch]:
+    return _bands(_scaled(batches), draws, ("entity_id", "date"))
+
+
 def uncertainty(df: DataFrame, draws: int = DRAWS) -> DataFrame:
     """P10 and P90 of each day's distress probability when its ratios are moved by half their own deviation, ``draws`` times.
 
@@ -104,11 +141,12 @@ def uncertainty(df: DataFrame, draws: int = DRAWS) -> DataFrame:
     of the probabilities. Draws follow from the entity and the date alone.
     """
     ship(df.sparkSession)
-    last, every = trailing(63), Window.partitionBy("entity_id")
-    scales = {f"{r}_scale": F.coalesce(F.when(F.count(r).over(last) >= 10, F.stddev_samp(r).over(last)), F.stddev_samp(r).over(every)) for r in RATIOS}
-    rows = df.select("entity_id", "date", *RATIOS).withColumns(scales).withColumn("seed", F.xxhash64("entity_id", "date"))
+    every = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order, so that every run adds alike
+    scales = {f"{r}_scale": F.stddev_samp(r).over(every) for r in RATIOS}
+    rows = df.select("entity_id", "date", *[F.col(r).cast("double").alias(r) for r in RATIOS]).withColumns(scales).withColumn("seed", F.xxhash64("entity_id", "date"))
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("entity_id", "date").schema]
-    found = rows.mapInArrow(partial(_bands, draws=draws, kept=("entity_id", "date")), f"{', '.join(keys)}, p10 double, p90 double")
+    # an entity's rows pass through one task in order, a batch at a time
+    found = rows.repartition("entity_id").sortWithinPartitions("entity_id", "date").mapInArrow(partial(_moved, draws=draws), f"{', '.join(keys)}, p10 double, p90 double")
     return found.withColumn("spread", F.col("p90") - F.col("p10"))
 
 

@@ -162,3 +162,24 @@ def test_bands_hold_few_rows_at_a_time():
             far = [float(np.clip((level - v if below else v - level) / max(abs(level), 0.01), -5, 5)) for v, (level, below) in zip(r, sm.LEVELS) if v == v]
             plain.append(1 / (1 + math.exp(-max(*far, math.prod(1 + max(-0.99, f) for f in far) ** (1 / len(far)) - 1))) if far else 0.5)
         assert abs(out["p10"][row].as_py() - np.percentile(plain, 10)) < 1e-12 and abs(out["p90"][row].as_py() - np.percentile(plain, 90)) < 1e-12
+
+
+def test_trailing_deviations_by_batch(spark):
+    """Across small batches and many keys: the last 63 rows of the key, missing values left out, ten at least; before that the whole series'."""
+    rng = np.random.default_rng(8)
+    x = [np.where(rng.random((n, 4)) < 0.2, np.nan, rng.normal(size=(n, 4)).cumsum(0)) for n in (1, 9, 40, 150, 64)]
+    x[3][:, 1] = 0.1
+    day = dt.date(2024, 1, 1)
+    names = ["entity_id", "date", *sm.RATIOS, *[f"{r}_scale" for r in sm.RATIOS]]
+    cols = [(k, day + dt.timedelta(t), *map(float, r), 7.0, 7.0, 7.0, None) for k, rows in enumerate(x) for t, r in enumerate(rows)]
+    table = pa.table({c: pa.array([r[k] for r in cols], from_pandas=True) for k, c in enumerate(names)})
+    table = table.set_column(len(names) - 1, names[-1], pa.nulls(len(cols), pa.float64()))
+    out = pa.Table.from_batches(sm._scaled(iter(table.to_batches(max_chunksize=13)))).to_pylist()
+    assert len(out) == len(cols)
+    for r in out:
+        t = (r["date"] - day).days
+        for k, c in enumerate(sm.RATIOS):
+            seen = x[r["entity_id"]][max(0, t - 62) : t + 1, k]
+            seen = seen[~np.isnan(seen)]
+            want = seen.std(ddof=1) if len(seen) >= 10 else 7.0 if k < 3 else math.nan
+            assert (math.isnan(r[f"{c}_scale"]) and math.isnan(want)) or abs(r[f"{c}_scale"] - want) < 1e-12

@@ -8,14 +8,16 @@ rows have labels up to the cut date, test rows lie after it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.core import ordered, rounded, trailing
+from panelweave.core import rounded, ship
+from panelweave.operators import histogram_trees
 from panelweave.plans.views import peers, prices
 from panelweave.registry import query
 from panelweave.sources.files import written
@@ -26,17 +28,97 @@ LABEL, SHARE, SEED, TREES, ROUNDS, SHADOW_ROUNDS = "label", 0.8, 11, 20, 20, 5
 Z = {"p10": -1.2815515655446004, "p50": 0.0, "p90": 1.2815515655446004}
 
 
+def _trails(x: np.ndarray, place: np.ndarray, sizes: Sequence[int]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each size, of every row's last so many rows in its key: how many have a value, their mean and sample deviation. Gaps are taken from the latest value, so equal values deviate by exactly 0."""
+    ok = ~np.isnan(x)
+    seen = np.maximum.accumulate(np.where(ok, np.arange(len(x)), 0))
+    base, value = np.where(ok[seen], x[seen], 0), np.where(ok, x, 0)
+    n, total, square, out = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x)), {}
+    for lag in range(max(sizes)):
+        if lag < len(x):
+            use = ok[: len(x) - lag] & (place[lag:] >= lag)
+            gap = (value[: len(x) - lag] - base[lag:]) * use
+            n[lag:] += use
+            total[lag:] += gap
+            square[lag:] += gap * gap
+        if lag + 1 in sizes:
+            mean = np.where(n > 0, base + total / np.maximum(n, 1), np.nan)
+            spread = np.maximum(square - total * total / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
+            out[lag + 1] = n.copy(), mean, np.where(n > 1, np.sqrt(spread), np.nan)
+    return out
+
+
+def _own(rows: pa.Table) -> pa.RecordBatch:
+    """The features of whole entities, in order of entity and date."""
+    rows = rows.combine_chunks()
+    keys, n = rows["entity_id"].combine_chunks(), rows.num_rows
+    at = np.arange(n)
+    start = np.maximum.accumulate(np.where(np.append(True, _changes(keys)), at, 0))
+    place, end = at - start, np.append(start[1:] != start[:-1], True)
+    close, volume = (pc.fill_null(pc.cast(rows[c].combine_chunks(), pa.float64()), float("nan")).to_numpy(zero_copy_only=False) for c in ("close", "volume"))
+
+    def lag(x: np.ndarray, k: int) -> np.ndarray:
+        return np.where(place >= k, np.roll(x, k), np.nan)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        before = lag(close, 1)
+        ret = np.where(before != 0, close / before - 1, np.nan)
+        trails, mean_volume = _trails(ret, place, (5, 21, 63)), _trails(volume, place, (21,))[21][1]
+        seen, _, scale = trails[63]
+        scale = np.where(seen >= 20, scale, np.nan)
+        unit = np.where(scale > 0, scale, np.nan)
+        moved = np.where((volume > -1) & (mean_volume > -1), np.log1p(volume) - np.log1p(mean_volume), np.nan)
+        found = {f"r{k}": lag(ret, k) / unit for k in (0, 1, 2, 4)} | {f"mean{k}": trails[k][1] / unit for k in (5, 21)} | {"volume_move": moved}
+        found = {"scale": scale, **found, LABEL: np.where(end, np.nan, np.roll(ret, -1)) / unit}
+    good = np.flatnonzero(scale > 0)
+    follows = np.zeros(n, np.int64)
+    follows[good[:-1]] = good[1:]
+    none = start[follows] != start
+    none[follows == 0] = True
+    dates = rows["date"].combine_chunks()
+    columns = [keys, dates, rows["region"].combine_chunks(), *[pa.array(v, pa.float64(), from_pandas=True) for v in found.values()], dates.take(pa.array(follows, pa.int64(), mask=none))]
+    return pa.RecordBatch.from_arrays(columns, names=["entity_id", "date", "region", *found, "label_date"])
+
+
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Where a key isn't the one before it; null is a key."""
+    void = keys.is_null().to_numpy(zero_copy_only=False)
+    other = pc.not_equal(keys[1:], keys[:-1])
+    return np.where(void[1:] | void[:-1], void[1:] != void[:-1], pc.fill_null(other, False).to_numpy(zero_copy_only=False))
+
+
+def _by_entity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by entity and date; held are those of the entity that isn't over yet."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index("entity_id"))
+        last = np.flatnonzero(_changes(keys))
+        cut = int(last[-1]) + 1 if len(last) else 0 if held and keys[0].as_py() != key else None
+        if cut is not None:
+            if whole := [*held, *([batch.slice(0, cut)] if cut else [])]:
+                yield _own(pa.Table.from_batches(whole))
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+        key = keys[-1].as_py()
+    if held:
+        yield _own(pa.Table.from_batches(held))
+
+
 def features(df: DataFrame) -> DataFrame:
-    """entity_id, date, region, scale, features and label, in units of ``scale``, the deviation of the last 63 returns (20 at least); rows without a feature are left out."""
-    w = ordered()
-    r = F.col("close") / F.lag("close").over(w) - 1
-    rows = df.select("entity_id", "date", "region", "volume", r.alias("ret"))
-    rows = rows.withColumn("scale", F.when(F.count("ret").over(trailing(63)) >= 20, F.stddev_samp("ret").over(trailing(63)))).withColumn("volume_move", F.log1p("volume") - F.log1p(F.avg("volume").over(trailing(21))))
-    rows = rows.withColumn("_next", F.lead("ret").over(w)).withColumns({f"r{k}": F.lag("ret", k).over(w) / F.col("scale") for k in (0, 1, 2, 4)})
-    rows = rows.withColumns({f"mean{k}": F.avg("ret").over(trailing(k)) / F.col("scale") for k in (5, 21)})
+    """entity_id, date, region, scale, features and label, in units of ``scale``, the deviation of the last 63 returns (20 at least); rows without a feature are left out.
+
+    An entity's rows, one a day, are in one task; they are written once, and so are the means of regions by day.
+    """
+    ship(df.sparkSession)
+    rows = df.select("entity_id", "date", "region", "close", "volume").repartition("entity_id").sortWithinPartitions("entity_id", "date")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in ("entity_id", "date", "region"))
+    values = ", ".join(f"{c} double" for c in ("scale", *OWN, LABEL))
+    rows = written(rows.mapInArrow(_by_entity, f"{keys}, {values}, label_date {rows.schema['date'].dataType.simpleString()}"), "features")
     day = rows.groupBy("region", "date").agg(F.avg("r0").alias("region0")).withColumn("region5", F.avg("region0").over(Window.partitionBy("region").orderBy("date").rowsBetween(-4, 0)))
-    rows = rows.join(day, ["region", "date"], "left").withColumn("gap0", F.col("r0") - F.col("region0")).withColumn(LABEL, F.col("_next") / F.col("scale"))
-    return rows.where("scale > 0").select("entity_id", "date", "region", "scale", *CROSS, LABEL, F.lead("date").over(w).alias("label_date")).dropna(subset=list(CROSS))
+    rows = rows.where("scale > 0").join(F.broadcast(written(day, "days")), ["region", "date"], "left").withColumn("gap0", F.col("r0") - F.col("region0"))
+    return rows.select("entity_id", "date", "region", "scale", *CROSS, LABEL, "label_date").dropna(subset=list(CROSS))
 
 
 def parts(df: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -47,25 +129,26 @@ def parts(df: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     return known.where(F.col("label_date") <= day), df.where(F.col("date") > day)
 
 
-def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df)
+def forest(train: DataFrame | histogram_trees.Binned, columns: Sequence[str], label: str = LABEL, seed: int = SEED) -> histogram_trees.Trees:
+    return histogram_trees.forest(binned(train, columns, label), seed, TREES, depth=6, least=10, rate=0.7)
 
 
-def forest(train: DataFrame, columns: Sequence[str], label: str = LABEL, seed: int = SEED):
-    return RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", numTrees=TREES, maxDepth=6, minInstancesPerNode=10, subsamplingRate=0.7, seed=seed).fit(assembled(train, columns))
+def boosted(train: DataFrame | histogram_trees.Binned, columns: Sequence[str], label: str = LABEL, seed: int = SEED) -> histogram_trees.Trees:
+    return histogram_trees.boosted(binned(train, columns, label), seed, ROUNDS, depth=4, least=20, rate=0.7, step=0.1)
 
 
-def boosted(train: DataFrame, columns: Sequence[str], label: str = LABEL, seed: int = SEED):
-    return GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", maxIter=ROUNDS, maxDepth=4, stepSize=0.1, subsamplingRate=0.7, minInstancesPerNode=20, seed=seed).fit(assembled(train, columns))
+def binned(train: DataFrame | histogram_trees.Binned, columns: Sequence[str], label: str) -> histogram_trees.Binned:
+    return train if isinstance(train, histogram_trees.Binned) else histogram_trees.Binned(train, columns, label)
 
 
-def predicted(model, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    return model.transform(assembled(df, columns)).withColumnRenamed("_p", name).drop("_x")
+def predicted(model: histogram_trees.Trees, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    return histogram_trees.predicted(model, df, {name: columns})
 
 
 def ensemble(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
     """``test`` with ``forest``, ``boosted`` and their mean, ``predicted``."""
-    out = predicted(boosted(train, columns, label), predicted(forest(train, columns, label), test, columns, "forest"), columns, "boosted")
+    data = binned(train, columns, label)
+    out = predicted(boosted(data, columns, label), predicted(forest(data, columns, label), test, columns, "forest"), columns, "boosted")
     return out.withColumn("predicted", (F.col("forest") + F.col("boosted")) / 2)
 
 
@@ -113,7 +196,7 @@ def shadow_test(df: DataFrame, columns: Sequence[str], label: str = LABEL, round
     for k in range(rounds):
         rows = dealt(series, columns, SEED + k)
         names = [*columns, *[f"shadow_{c}" for c in columns]]
-        found = forest(rows, names, label, SEED + k).featureImportances.toArray()
+        found = forest(rows, names, label, SEED + k).importances
         best = max(found[len(columns) :])
         for c, v in zip(columns, found):
             wins[c] += int(v > best)
@@ -125,18 +208,16 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], label:
     """Per feature (and ``group``) how much the mean squared error rises when the feature is dealt anew within entities; one pass scores them all."""
     by = [group] if group else []
     rows = permuted(df.where(F.col(label).isNotNull()).select("entity_id", "date", *by, label, *columns), columns, SEED)
-    scored = predicted(model, rows, columns, "_whole")
-    for c in columns:
-        mixed = VectorAssembler(inputCols=[f"shadow_{x}" if x == c else x for x in columns], outputCol="_x").transform(scored)
-        scored = model.transform(mixed, {model.predictionCol: f"_mixed_{c}"}).drop("_x")
+    mixes = {f"_mixed_{c}": [f"shadow_{x}" if x == c else x for x in columns] for c in columns}
+    scored = histogram_trees.predicted(model, rows, {"_whole": columns, **mixes})
     error = lambda p: F.avg(F.pow(F.col(p) - F.col(label), 2))
     each = [F.struct(F.lit(c).alias("feature"), F.count("*").alias("n"), (error(f"_mixed_{c}") - error("_whole")).alias("rise"), F.avg(F.abs(F.col(f"_mixed_{c}") - F.col("_whole"))).alias("sensitivity")) for c in columns]
     return scored.groupBy(*by).agg(F.array(*each).alias("_each")).select(*by, F.explode("_each").alias("_one")).select(*by, "_one.*")
 
 
 def panel(spark, sf_dir) -> DataFrame:
-    """The features of the price panel, written once: fits read them many times."""
-    return written(features(prices(spark, sf_dir).join(peers(spark, sf_dir).select("entity_id", "region"), "entity_id")), "features")
+    """The features of the price panel."""
+    return features(prices(spark, sf_dir).join(peers(spark, sf_dir).select("entity_id", "region"), "entity_id"))
 
 
 def judged(found: DataFrame) -> DataFrame:

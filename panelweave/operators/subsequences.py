@@ -143,34 +143,56 @@ def motifs(found: DataFrame, top: int = MOTIFS, window: int = WINDOW) -> DataFra
 
 
 def warped(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
-    """Dynamic time warping of each row of x to y, steps at most ``band`` apart: the root of the least sum of squared differences."""
-    q = len(y)
-    above = np.full((q + 1, len(x)), np.inf)
-    above[0] = 0
-    for i in range(q):
-        row = np.full((q + 1, len(x)), np.inf)
-        for j in range(max(0, i - band), min(q, i + band + 1)):
-            row[j + 1] = (x[:, i] - y[j]) ** 2 + np.minimum(np.minimum(above[j], above[j + 1]), row[j])
-        above = row
-    return np.sqrt(above[q])
+    """Dynamic time warping of each row of x to y, steps at most ``band`` apart: the root of the least sum of squared differences.
+
+    Further dimensions of x and y are warped side by side. Cells go by diagonals, on which none waits for another.
+    """
+    q, x = len(y), np.ascontiguousarray(np.moveaxis(x, 0, 1))
+    before, last = (np.full((q + 1, *x.shape[1:]), np.inf) for _ in range(2))  # by row of the cell, which begin at 1
+    before[0] = 0
+    for d in range(2 * q - 1):
+        i = np.arange(max(0, d - q + 1, -((band - d) // 2)), min(d, q - 1, (d + band) // 2) + 1)
+        if len(i):
+            own, up = slice(i[0], i[-1] + 1), slice(i[0] + 1, i[-1] + 2)
+            least = np.minimum(before[own], last[own])
+            np.minimum(least, last[up], out=least)
+            gap = x[own] - y[d - i][:, None]
+            gap *= gap
+            np.add(gap, least, out=before[up])
+            before[i[0]] = np.inf  # rows only grow, so no later cell is nearer to the front
+        else:
+            before[:] = np.inf
+        before, last = last, before
+    return np.sqrt(last[q])
 
 
 def bounded(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
-    """At most what ``warped`` gives: how far rows lie outside the band's envelope of y."""
+    """At most what ``warped`` gives: how far rows lie outside the band's envelope of y, or with no band how far y lies outside theirs; the ends always meet."""
     near = np.abs(np.arange(len(y))[:, None] - np.arange(len(y))) <= band
     high, low = np.where(near, y, -np.inf).max(1), np.where(near, y, np.inf).min(1)
-    return np.sqrt((np.maximum(np.maximum(x - high, low - x), 0) ** 2).sum(1))
+    ends = ((x[:, [0, -1]] - y[[0, -1]]) ** 2).sum(1) if len(y) > 1 else (x[:, 0] - y[0]) ** 2
+    found = (np.maximum(np.maximum(x - high, low - x), 0)[:, 1:-1] ** 2).sum(1)
+    if band >= len(y) - 1:
+        over, under = y[1:-1] - x.max(1, keepdims=True), x.min(1, keepdims=True) - y[1:-1]
+        found = np.maximum(found, (np.maximum(np.maximum(over, under), 0) ** 2).sum(1))
+    return np.sqrt(ends + found)
 
 
 def nearest(windows: np.ndarray, last: np.ndarray, k: int, band: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` windows (by length by feature) nearest to ``last`` and their distances, sums over features; only those whose bound allows it are warped."""
-    total = lambda of, w: sum(of(w[:, :, f], last[:, f], band) for f in range(last.shape[1]))
-    least = total(bounded, windows)
-    first = np.argsort(least, kind="stable")[:k]
+    count = range(last.shape[1])
+    least = sum(bounded(windows[:, :, f], last[:, f], band) for f in count)
+
+    def exact(chosen: np.ndarray) -> np.ndarray:
+        each = warped(windows[chosen], last, band)
+        return sum(each[:, f] for f in count)
+
+    first = np.argsort(least, kind="stable")[: 6 * k]
     d = np.full(len(windows), np.inf)
-    d[first] = total(warped, windows[first])
-    rest = np.flatnonzero((least <= d[first].max(initial=0) * (1 + 1e-9) + 1e-9) & np.isinf(d))
-    d[rest] = total(warped, windows[rest])
+    d[first] = exact(first)
+    bar = np.sort(d[first])[:k].max(initial=0)  # k windows are as near as that
+    rest = np.flatnonzero((least <= bar * (1 + 1e-9) + 10.0**-DIGITS) & np.isinf(d))
+    d[rest] = exact(rest)
     d = np.round(d, DIGITS)
     best = np.argsort(d, kind="stable")[:k]
     return best, d[best]

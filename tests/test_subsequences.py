@@ -88,6 +88,17 @@ def test_bound():
         assert (s.bounded(x, y, band) <= d + 1e-12).all()
 
 
+def test_dimensions_are_warped_together():
+    """Each as alone, in a step a diagonal for all of them."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(30, 7, 3)), rng.normal(size=(7, 3))
+    for band in (0, 1, 4, 7):
+        d = s.warped(x, y, band)
+        assert d.shape == (30, 3)
+        assert np.allclose(d, [[plain_warp(a[:, f], y[:, f], band) for f in range(3)] for a in x])
+    assert s.warped(x[:0], y, 7).shape == (0, 3)
+
+
 def test_analogs(spark):
     rng = np.random.default_rng(6)
     sizes, data = {1: 210, 2: 100, 3: 99, 4: 140}, {}

@@ -12,6 +12,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,17 +224,20 @@ def analogs(df: DataFrame, key: str, order: str, close: str, variables: Sequence
     seek = scaled.where("t >= n - q").select("*", F.explode(F.expr(f"sequence(0L, (starts - 1) div {block})")).alias("b"), F.lit(True).alias("last"))
     dealt = scaled.select("*", F.explode(own).alias("b"), F.lit(False).alias("last")).unionByName(seek)
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        size, begin = int(g["q"].iloc[0]), int(g["b"].iloc[0]) * block
-        end = min(begin + block, int(g["starts"].iloc[0]))
-        names = [f"z{j}" for j in range(count)]
-        latest, mine = g[g["last"]].sort_values("t")[names].to_numpy(float), g[~g["last"]]
+    names = [f"z{j}" for j in range(count)]
+
+    def search(g: pa.Table) -> pa.Table:
+        size, begin = g["q"][0].as_py(), g["b"][0].as_py() * block
+        end = min(begin + block, g["starts"][0].as_py())
+        values, t, last = np.column_stack([g[n].to_numpy() for n in names]), g["t"].to_numpy(), g["last"].to_numpy()
+        latest = values[last][t[last].argsort()]
         x = np.zeros((block + size - 1, count))
-        x[mine["t"].to_numpy() - begin] = mine[names].to_numpy(float)
+        x[t[~last] - begin] = values[~last]
         best, d = nearest(sliding_window_view(x[: end - begin + size - 1], size, 0).transpose(0, 2, 1), latest, k, size if band is None else band)
-        return pd.DataFrame({"k": pd.Series([g["k"].iloc[0]] * len(best), dtype=g["k"].dtype), "t": begin + best, "distance": d})
+        return pa.table({"k": g["k"].take(pa.array(np.zeros(len(best), np.int64))), "t": begin + best, "distance": d})
 
-    found = dealt.groupBy("k", "b").applyInPandas(search, f"k {rows.schema['k'].dataType.simpleString()}, t long, distance double")
+    dealt = dealt.select("k", "b", "t", "q", "starts", "last", *names)
+    found = dealt.groupBy("k", "b").applyInArrow(search, f"k {rows.schema['k'].dataType.simpleString()}, t long, distance double")
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("distance", "t"))).where(f"place <= {k}")
     path = scratch(df.sparkSession, "analogs")
     found.write.parquet(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.shared import column, materialize, pack_bits, pieces, ship, windows32
+from panelweave.llm.shared import BATCH_BYTES, column, materialize, pack_bits, pieces, ship, windows32
 from panelweave.llm.tokens import tokenizer, vocabulary
 
 LIMIT, BLOCK_IDS, STEP, END_ID, MAGIC = 16, 1 << 16, 64, 0, b"HID1"
@@ -114,7 +114,7 @@ def decode_block(data: bytes, table: tuple[np.ndarray, np.ndarray], limit: int =
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     tok = tokenizer(path, "byte")
     end = np.array(END_ID, tok.code).tobytes()
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=4 * BATCH_BYTES):  # the more at once, the fewer units are looked up
         ids = [x + end for x in tok.encode([t or "" for t in column(batch, "text")])]
         names = column(batch, "doc_id")
         bucket = np.searchsorted(edges, np.array([np.iinfo(np.int64).min if x is None else x for x in names], np.int64)).astype(np.int32)

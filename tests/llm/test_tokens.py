@@ -25,6 +25,30 @@ def test_units_met_again_are_not_learned_anew(name, style, monkeypatch):
     assert len(tok.known) + len(tok.known_before) < len(learned)  # and not all is kept
 
 
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_a_word_is_learned_once_whatever_signs_follow(name, style):
+    tok, learned = tokens.MemoTokenizer(public_tokenizers.path(name), style), []
+    learn = tok.learn
+    tok.learn = lambda new: (learned.extend(new), learn(new))
+    texts = [f"The garden{x} élevé{x} for" for x in (",", ".", "!!", "###", "&&&", ";", ":", "?")]
+    for text, raw in zip(texts, tok.encode(texts)):
+        assert np.frombuffer(raw, tok.code).tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum("garden" in x for x in learned) == sum("élevé" in x for x in learned) == 1
+
+
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_of_odd_texts_give_the_library_s_ids(name, style):
+    rng, tok = np.random.default_rng(7), tokens.MemoTokenizer(public_tokenizers.path(name), style)
+    often = [*"aZst'.,#<|=>`^~09", " ", "\n", "é", "×", "÷", "ª", "²", "Σ", "İ", "ß", "…", "\u0338", "\u0301", "語", "🙂", "don't"]
+    seldom = ["\u0085", "\xa0", "\t", "\0", "  ", "<|endoftext|>"]
+    for _ in range(40):
+        texts = ["".join((often * 5 + seldom)[k] for k in rng.integers(0, 5 * len(often) + len(seldom), n)) for n in rng.integers(0, 40, 50)]
+        for text, raw in zip(texts, tok.encode(texts)):
+            assert np.frombuffer(raw, tok.code).tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert tok.encode([]) == []
+    assert tok.encode(["", ""]) == [b"", b""]
+
+
 def test_collection_is_resumed():
     assert gc.isenabled()
     with pytest.raises(ZeroDivisionError), tokens.uncollected():

@@ -1,5 +1,6 @@
 """Countries, peers and events around a panel: macro joins, conflict, competition, flows, sector and cross-asset signals."""
 
+from panelweave.operators.names import resolved
 from panelweave.operators.survival import DEBT
 from panelweave.sqlops import ratios, rounded, sql_query
 
@@ -29,13 +30,12 @@ sql_query(
     f"""WITH g AS (SELECT entity_id, report_date, year(report_date) AS year, CASE WHEN quarter(report_date) <> 2 THEN revenue END AS revenue, CASE WHEN quarter(report_date) <> 2 THEN inventory END AS inventory FROM {{fin}}), a AS (SELECT entity_id, year(report_date) AS year, sum(revenue) AS revenue, max_by(inventory, report_date) AS inventory FROM {{fin}} GROUP BY entity_id, year(report_date)), p AS (SELECT *, lag(inventory) OVER (PARTITION BY entity_id ORDER BY year) AS known FROM a)
     SELECT g.entity_id, g.report_date, CAST(g.revenue IS NULL AS INT) AS backfilled, {rounded({"revenue": "coalesce(g.revenue, p.revenue / 4)", "inventory": "coalesce(g.inventory, p.known)"}, 3)} FROM g LEFT JOIN p ON p.entity_id = g.entity_id AND p.year = g.year""",
 )
-# Blocked by country and the key's last two digits; the best candidate of each query by score; Spark keeps one candidate a task instead of sorting all pairs.
+# Blocked by country; the best candidate of each query by score.
 sql_query(
     "join19_entity_resolution",
-    f"""WITH b AS (SELECT s_suppkey, c_custkey, CASE WHEN s_suppkey = c_custkey THEN 40 ELSE 0 END + 30 * (1 - levenshtein(s_name, c_name) / CAST(greatest(length(s_name), length(c_name)) AS DOUBLE)) + 15 + CASE WHEN (s_acctbal > 0) = (c_acctbal > 0) THEN 15 ELSE 0 END AS score FROM {{supplier}} JOIN {{customer}} ON s_nationkey = c_nationkey AND s_suppkey % 20 = c_custkey % 20),
+    f"""WITH b AS (SELECT s_suppkey, c_custkey, CASE WHEN s_suppkey = c_custkey THEN 40 ELSE 0 END + 30 * (1 - levenshtein(s_name, c_name) / CAST(greatest(length(s_name), length(c_name)) AS DOUBLE)) + 15 + CASE WHEN (s_acctbal > 0) = (c_acctbal > 0) THEN 15 ELSE 0 END AS score FROM {{supplier}} JOIN {{customer}} ON s_nationkey = c_nationkey),
     k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(score, 6) DESC, c_custkey) AS place FROM b) SELECT s_suppkey, c_custkey, {rounded({"score": "score"}, 4)}, CAST(score >= 70 AS INT) AS accepted FROM k WHERE place = 1""",
-    f"""WITH b AS (SELECT s_suppkey, c_custkey, CASE WHEN s_suppkey = c_custkey THEN 40 ELSE 0 END + 30 * (1 - levenshtein(s_name, c_name) / CAST(greatest(length(s_name), length(c_name)) AS DOUBLE)) + 15 + CASE WHEN (s_acctbal > 0) = (c_acctbal > 0) THEN 15 ELSE 0 END AS score FROM {{supplier}} JOIN (SELECT /*+ REPARTITION(256, c_custkey) */ * FROM {{customer}}) c ON s_nationkey = c_nationkey AND s_suppkey % 20 = c_custkey % 20),
-    k AS (SELECT s_suppkey, min(struct(score IS NULL AS no, -round(score, 6) AS worst, c_custkey, score)) AS best FROM b GROUP BY s_suppkey) SELECT s_suppkey, best.c_custkey, {rounded({"score": "best.score"}, 4)}, CAST(best.score >= 70 AS INT) AS accepted FROM k""",
+    resolved,
 )
 LOG = f"""{RET}, n AS (SELECT *, row_number() OVER {W} AS k, avg(ret) OVER (PARTITION BY entity_id ORDER BY date ROWS 20 PRECEDING) AS drift, stddev_samp(ret) OVER (PARTITION BY entity_id ORDER BY date ROWS 20 PRECEDING) AS sd, lead(close, 5) OVER {W} AS later, lead(date, 5) OVER {W} AS target_date FROM r),
  g AS (SELECT entity_id, date AS run_date, target_date, close, close * (1 + 5 * drift) AS predicted, close * 1.645 * sd * sqrt(5e0) AS width, later AS actual FROM n WHERE k % 21 = 0 AND drift IS NOT NULL)"""

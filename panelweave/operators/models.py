@@ -2,6 +2,7 @@
 
 from panelweave.operators.ensembles import IC, MODELS, WEIGHTS, sql_query
 from panelweave.operators.macro import HOME, RET
+from panelweave.operators.names import matched
 from panelweave.operators.survival import DEBT, PANEL, normal_cdf
 from panelweave.sqlops import rounded
 
@@ -62,9 +63,9 @@ sql_query("fc76_prediction_log", f"WITH {WEIGHTS}, runs AS (SELECT er.entity_id,
 sql_query("fc32_hierarchy_feedback", f"WITH {IC}, t AS (SELECT entity_id, model, abs(ic) / sum(abs(ic)) OVER (PARTITION BY entity_id) AS importance FROM ic WHERE ic IS NOT NULL) SELECT entity_id, model, {rounded({'weight': '1e0 / 3 + greatest(-0.1e0, least(0.1e0, importance - 1e0 / 3))'}, 5)} FROM t")
 sql_query("dq06_namespace_check", "WITH c AS (SELECT DISTINCT concat(CASE event_type WHEN 'click' THEN 'px_' WHEN 'view' THEN 'fin_' WHEN 'purchase' THEN 'macro_' ELSE 'zz_' END, event_type) AS name FROM {events}) SELECT name, split_part(name, '_', 1) AS namespace FROM c WHERE split_part(name, '_', 1) NOT IN ('px', 'fin', 'macro')")
 sql_query("agg46_transfer_entropy_matrix", f"WITH {RET}, {HOME}, g AS (SELECT region, date, avg(ret) AS mean FROM h GROUP BY region, date), v AS (SELECT region, date, CASE WHEN mean < 0 THEN 0 ELSE 1 END AS b, CASE WHEN lag(mean) OVER (PARTITION BY region ORDER BY date) < 0 THEN 0 ELSE 1 END AS b0 FROM g WHERE mean IS NOT NULL), j AS (SELECT s.region AS src, d.region AS dst, d.b AS y, d.b0 AS y0, s.b0 AS x0, CAST(count(*) AS DOUBLE) AS n FROM v s JOIN v d ON d.date = s.date AND d.region <> s.region GROUP BY s.region, d.region, d.b, d.b0, s.b0), w AS (SELECT *, sum(n) OVER (PARTITION BY src, dst) AS total, sum(n) OVER (PARTITION BY src, dst, y, y0) AS ab, sum(n) OVER (PARTITION BY src, dst, y0, x0) AS bc, sum(n) OVER (PARTITION BY src, dst, y0) AS bb FROM j) SELECT src, dst, {rounded({'transfer_entropy': 'sum(n / total * ln(n * bb / (ab * bc)))'}, 5)} FROM w GROUP BY src, dst")
-# Spark deals one side to many tasks, a table of names being few blocks, and counts no more edits than a similarity of 0.85 allows, and one.
+# Blocked by country; each side's best match.
 sql_query(
     "join20_holder_match",
-    "WITH a AS (SELECT c_custkey, c_name, c_nationkey FROM {customer} WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS other, replace(c_name, '#', ' ') AS name, c_nationkey AS nation FROM {customer} WHERE c_custkey % 2 = 0), s AS (SELECT c_custkey, other, 1 - levenshtein(c_name, name) / CAST(greatest(length(c_name), length(name)) AS DOUBLE) AS similarity FROM a JOIN b ON b.nation = a.c_nationkey AND b.other % 50 = a.c_custkey % 50), k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(similarity, 9) DESC, other) AS p, row_number() OVER (PARTITION BY other ORDER BY round(similarity, 9) DESC, c_custkey) AS q FROM s WHERE similarity >= 0.85) SELECT c_custkey, other, round(similarity + 1e-9, 6) AS similarity FROM k WHERE p = 1 AND q = 1",
-    "WITH a AS (SELECT /*+ REPARTITION(256, c_custkey) */ c_custkey, c_name, c_nationkey FROM {customer} WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS other, replace(c_name, '#', ' ') AS name, c_nationkey AS nation FROM {customer} WHERE c_custkey % 2 = 0), d AS (SELECT c_custkey, other, greatest(length(c_name), length(name)) AS long, levenshtein(c_name, name, CAST(0.15 * greatest(length(c_name), length(name)) AS INT) + 1) AS edits FROM a JOIN b ON b.nation = a.c_nationkey AND b.other % 50 = a.c_custkey % 50), s AS (SELECT c_custkey, other, 1 - edits / CAST(long AS DOUBLE) AS similarity FROM d WHERE edits >= 0), k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(similarity, 9) DESC, other) AS p, row_number() OVER (PARTITION BY other ORDER BY round(similarity, 9) DESC, c_custkey) AS q FROM s WHERE similarity >= 0.85) SELECT c_custkey, other, round(similarity + 1e-9, 6) AS similarity FROM k WHERE p = 1 AND q = 1",
+    "WITH a AS (SELECT c_custkey, c_name, c_nationkey FROM {customer}), b AS (SELECT c_custkey AS other, replace(c_name, '#', ' ') AS name, c_nationkey AS nation FROM {customer}), s AS (SELECT c_custkey, other, 1 - levenshtein(c_name, name) / CAST(greatest(length(c_name), length(name)) AS DOUBLE) AS similarity FROM a JOIN b ON b.nation = a.c_nationkey), k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(similarity, 9) DESC, other) AS p, row_number() OVER (PARTITION BY other ORDER BY round(similarity, 9) DESC, c_custkey) AS q FROM s WHERE similarity >= 0.85) SELECT c_custkey, other, round(similarity + 1e-9, 6) AS similarity FROM k WHERE p = 1 AND q = 1",
+    matched,
 )

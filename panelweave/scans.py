@@ -2,10 +2,12 @@
 
 What a row does to a state is a map, and maps compose associatively, so a key's
 rows need not pass through one task: the frame is sorted by range of (key,
-order), every task composes the maps of its own rows, and of a task's keys only
-the first can have begun before, so one composed map a task, put together on
-the driver, gives every row the map of all rows before it. Rows of one key are
-in as many tasks as they fill; memory is bounded by an Arrow batch.
+order) and written in blocks, each with the map of what came before it in its
+first key and task. Of a task's keys only the first can have begun before, so
+one composed map a task, put together on the driver, gives every block the map
+of all rows before it, and the maps of single rows are made in memory only.
+Rows of one key are in as many tasks as they fill; memory is bounded by an
+Arrow batch.
 
 Rows of one key and order value follow in an arbitrary order.
 """
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 from panelweave.core import ship
 
 TASK_ROWS, LEAST_ROWS = 1_000_000, 4096
+#: Rows that follow each other one by one; and the row groups in which blocks are written, so that a task holds few of them.
+STEPS, FILE_BLOCK = 64, 1 << 24
+STATES = "map array<double>, start array<double>"
+BLOCKS = f"part long, block long, first_key string, rows binary, seen long, {STATES}, last_key string, last_seen long, last_{STATES.replace(', ', ', last_')}"
 
 
 class Family:
@@ -102,7 +108,8 @@ class Smoothed(Family):
 
     def compose(self, first, then):
         (m, v), (n, w) = self._parts(first), self._parts(then)
-        return self._whole(n @ m, (n @ v[..., None])[..., 0] + w)
+        turn = n[..., :, :1] * m[..., :1, :] + n[..., :, 1:] * m[..., 1:, :]
+        return self._whole(turn, n[..., 0] * v[..., :1] + n[..., 1] * v[..., 1:] + w)
 
     def said(self, before, x, start, place):
         out = []
@@ -145,7 +152,7 @@ class LocalLevel(Family):
         return [np.where(place == 1, np.nan, earlier[:, 1]), now[:, 1], now[:, 2]]
 
 
-def prefixes(family: Family, maps: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def doubled(family: Family, maps: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Each row's map composed with those before it from row ``begin`` on, by doubling."""
     out, step, at = maps, 1, np.arange(len(maps))
     while (ok := np.flatnonzero(at - step >= begin)).size:
@@ -155,57 +162,79 @@ def prefixes(family: Family, maps: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefixes(family: Family, maps: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Each row's map composed with those before it from row ``begin`` on: step by step in short runs side by side, whose ends are then put together by doubling."""
+    at = np.arange(len(maps))
+    runs = np.flatnonzero((at - begin) % STEPS == 0)
+    size, out = np.diff(np.append(runs, len(maps))), maps.copy()
+    for step in range(1, int(size.max(initial=0))):
+        rows = runs[size > step] + step
+        out[rows] = family.compose(out[rows - 1], maps[rows])
+    first, run = np.searchsorted(runs, begin[runs]), np.repeat(np.arange(len(runs)), size)
+    if (later := np.flatnonzero(run > first[run])).size:
+        ends = doubled(family, out[runs + size - 1], first)
+        out[later] = family.compose(ends[run[later] - 1], out[later])
+    return out
+
+
+def total(family: Family, maps: np.ndarray) -> np.ndarray:
+    """All rows' maps as one."""
+    while len(maps) > 1:
+        even = len(maps) // 2 * 2
+        maps = np.concatenate((family.compose(maps[:even:2], maps[1:even:2]), maps[even:]))
+    return maps[0]
+
+
 def numbers(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     """Columns as doubles, null as NaN."""
     return np.column_stack([pc.fill_null(pc.cast(batch.column(batch.schema.get_field_index(n)), pa.float64()), float("nan")).to_numpy(zero_copy_only=False) for n in names])
 
 
-def lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
-
-
-def _compose(batches: Iterator[pa.RecordBatch], family: Family, inputs: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted; each gets its place in its key, the key's first inputs and the map of the rows before it, all within this task."""
-    part, key, seen, carried, first = TaskContext.get().partitionId(), None, 0, None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index("scan_key"))
-        x = numbers(batch, inputs)
-        n = len(x)
-        new = np.append(keys[0].as_py() != key, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
-        begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        whole = prefixes(family, family.elements(x), begin)
-        before = np.where((np.arange(n) == begin)[:, None], family.neutral, np.roll(whole, 1, axis=0))
-        place, start = np.arange(n) - begin + 1, x[begin]
-        if not new[0]:  # the first rows carry on the key of the last batch
-            m = int(np.flatnonzero(new)[0]) if new.any() else n
-            before[:m] = family.compose(np.tile(carried, (m, 1)), before[:m])
-            whole[m - 1] = family.compose(carried[None], whole[m - 1][None])[0]
-            place[:m] += seen
-            start[:m] = first
-        key, seen, carried, first = keys[-1].as_py(), int(place[-1]), whole[-1], start[-1]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(place), lists(before), lists(start)], names=[*batch.schema.names, "scan_part", "scan_place", "scan_before", "scan_start"])
+def begins(keys: pa.Array) -> np.ndarray:
+    """The row where each row's key begins."""
+    new = np.append(True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], family: Family, inputs: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted; a batch becomes a block, with the state in which its first key comes to it and its last key leaves, within this task."""
+    part, key, state, zipped = TaskContext.get().partitionId(), None, None, pa.ipc.IpcWriteOptions(compression="zstd")
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("first_key", pa.string()), ("rows", pa.binary()), *[(f"{last}{n}", kind) for last in ("", "last_") for n, kind in (("key", pa.string()), ("seen", pa.int64()), ("map", pa.list_(pa.float64())), ("start", pa.list_(pa.float64()))) if last or n != "key"]])
+    for number, batch in enumerate(b for b in batches if b.num_rows):
+        keys, x = batch.column(batch.schema.get_field_index("scan_key")), numbers(batch, inputs)
+        before = state if keys[0].as_py() == key else (0, family.neutral, x[0])
+        tail = int(begins(keys)[-1])
+        seen, map_, start = (0, family.neutral, x[tail]) if tail else before
+        own = total(family, family.elements(x[tail:]))
+        key, state = keys[-1].as_py(), (seen + len(x) - tail, family.compose(map_[None], own[None])[0], start)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=zipped) as out:
+            out.write_batch(batch)
+        row = [part, number, keys[0].as_py(), sink.getvalue().to_pybytes(), *before, key, *state]
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
 
 def _finish(batches: Iterator[pa.RecordBatch], family: Family, inputs: Sequence[str], kept: Sequence[str], carries: dict) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = lambda n: batch.column(batch.schema.get_field_index(n))
-        x, place = numbers(batch, inputs), col("scan_place").to_numpy().copy()
-        before = col("scan_before").flatten().to_numpy(zero_copy_only=False).reshape(len(x), family.width).copy()
-        start = col("scan_start").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).copy()
-        parts = col("scan_part").to_numpy()
-        for p in np.unique(parts).tolist():
-            if p in carries:
-                key, n, map_, begun = carries[p]
-                at = np.flatnonzero((parts == p) & pc.equal(col("scan_key"), key).to_numpy(zero_copy_only=False))
-                before[at] = family.compose(np.tile(map_, (len(at), 1)), before[at])
-                place[at] += n
-                start[at] = begun
-        out = [pa.array(v, pa.float64(), from_pandas=True) for v in family.said(before, x, start, place)]
-        yield pa.RecordBatch.from_arrays([*[col(n) for n in kept], pa.array(place), *out], names=[*kept, "place", *family.outputs])
+    for blocks in batches:
+        fields = [blocks.column(blocks.schema.get_field_index(n)) for n in ("part", "rows", "seen", "map", "start")]
+        for part, rows, seen, map_, first in zip(*fields):
+            batch = pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+            col = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+            x, keys, at = numbers(batch, inputs), col("scan_key"), np.arange(batch.num_rows)
+            begin = begins(keys)
+            whole = prefixes(family, family.elements(x), begin)
+            before = np.where((at == begin)[:, None], family.neutral, np.roll(whole, 1, axis=0))
+            place, start, m = at - begin + 1, x[begin], int(np.searchsorted(begin, 0, "right"))
+            earlier = [(seen.as_py(), np.array(map_.values), np.array(first.values))]
+            if (carry := carries.get(part.as_py())) and carry[0] == keys[0].as_py():
+                earlier.append(carry[1:])
+            for n, of, begun in earlier:  # of the block's first key
+                if n:
+                    before[:m] = family.compose(np.tile(of, (m, 1)), before[:m])
+                    place[:m] += n
+                    start[:m] = begun
+            out = [pa.array(v, pa.float64(), from_pandas=True) for v in family.said(before, x, start, place)]
+            yield pa.RecordBatch.from_arrays([*[col(n) for n in kept], pa.array(place), *out], names=[*kept, "place", *family.outputs])
 
 
 def scan(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], family: Family, scratch: str) -> DataFrame:
@@ -217,28 +246,26 @@ def scan(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], f
     """
     spark, kept = df.sparkSession, df.columns
     ship(spark)
-    df = df.withColumn("scan_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     df.write.parquet(f"{scratch}/rows")
     rows = spark.read.schema(df.schema).parquet(f"{scratch}/rows")
     n = rows.count()
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_ROWS), -(-n // TASK_ROWS))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.withColumn("scan_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     dealt = rows.repartitionByRange(parts, "scan_key", *order).sortWithinPartitions("scan_key", *order)
-    dealt = dealt.mapInArrow(partial(_compose, family=family, inputs=inputs), f"{ddl}, scan_part long, scan_place long, scan_before array<double>, scan_start array<double>")
-    dealt.write.parquet(f"{scratch}/maps")
-    dealt = spark.read.schema(dealt.schema).parquet(f"{scratch}/maps")
-    last = F.max_by(F.struct("scan_key", "scan_place", "scan_before", "scan_start", F.array(*[F.col(c).cast("double") for c in inputs]).alias("x")), F.struct("scan_key", "scan_place"))
+    dealt = dealt.mapInArrow(partial(_blocks, family=family, inputs=inputs), BLOCKS)
+    dealt.write.option("parquet.block.size", FILE_BLOCK).parquet(f"{scratch}/blocks")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{scratch}/blocks")
+    last = F.max_by(F.struct("last_key", "last_seen", "last_map", "last_start"), "block")
     carries, now = {}, None
-    for r in dealt.groupBy("scan_part").agg(F.min("scan_key").alias("first"), last.alias("last")).orderBy("scan_part").collect():
+    for r in dealt.groupBy("part").agg(F.min_by("first_key", "block").alias("first"), last.alias("last")).orderBy("part").collect():
         if now and now[0] == r["first"]:
-            carries[r["scan_part"]] = now
-        end = r["last"]
-        x = np.array([[np.nan if v is None else v for v in end["x"]]])
-        map_ = family.compose(np.array([end["scan_before"]]), family.elements(x))[0]
-        if r["scan_part"] in carries and end["scan_key"] == r["first"]:
-            _, before, earlier, begun = carries[r["scan_part"]]
-            now = (end["scan_key"], before + end["scan_place"], family.compose(earlier[None], map_[None])[0], begun)
+            carries[r["part"]] = now
+        key_, seen, map_, start = r["last"]
+        map_ = np.array(map_)
+        if r["part"] in carries and key_ == r["first"]:
+            _, before, earlier, begun = carries[r["part"]]
+            now = (key_, before + seen, family.compose(earlier[None], map_[None])[0], begun)
         else:
-            now = (end["scan_key"], end["scan_place"], map_, np.array(end["scan_start"]))
+            now = (key_, seen, map_, np.array(start))
     result = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept], "place long", *[f"{o} double" for o in family.outputs]])
     return dealt.mapInArrow(partial(_finish, family=family, inputs=inputs, kept=kept, carries=carries), result)

@@ -3,8 +3,9 @@
 import os
 
 import numpy as np
+import pytest
 
-from panelweave import scans
+from panelweave import registry, scans
 from panelweave.sources.files import scratch
 
 
@@ -29,3 +30,12 @@ def test_a_scan_writes_its_rows_not_their_maps(spark, monkeypatch):
         assert got[e, t][0] == place and abs(got[e, t][1] - level - trend) < 1e-9
     size = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path.removeprefix("file://")) for f in files)
     assert size < 100 * len(rows)
+
+
+@pytest.mark.parametrize("name", ["anal14_vanity_score", "win53_vanity_trend", "anal36_tier_scores"])
+def test_days_are_made_once_and_stay_where_they_are(spark, name):
+    """The scores keep the day's fields instead of joining the panel with itself; after the as-of join days aren't dealt again."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1  # prices; statements don't read the order key
+    days = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and ", date#" in line]
+    assert len(days) == 1 and "report_date" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning" in line)

@@ -11,7 +11,8 @@ are percentiles within a thousandth of the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
+from copy import copy
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from panelweave.sources.files import scratch
 
 BINS, BLOCK, FILE_BLOCK, ACCURACY = 32, 1 << 14, 1 << 24, 1000
 BLOCKS = "x binary, h binary, y binary, m int"
+KEYED = "x binary, h binary, y binary, m int, entity binary, day binary"
 SPLITS = "tree int, cut_column binary, cut binary, gain binary, left binary, right binary"
 
 
@@ -78,6 +80,12 @@ class Draw:
         mass = np.exp(-rate) * np.cumprod(np.append(1.0, rate / np.arange(1, 12))) if replace else np.array([1 - rate, rate])
         self.table = np.searchsorted(np.cumsum(mass)[:-1], (np.arange(1 << 16) + 0.5) / (1 << 16), "right").astype(np.uint8)
 
+    def __add__(self, more: Draw) -> Draw:
+        """The trees of both; their tables are the same."""
+        both = copy(self)
+        both.odd = np.concatenate((self.odd, more.odd))
+        return both
+
     def of(self, h: np.ndarray, tree: int) -> np.ndarray:
         return self.table[(h * self.odd[tree]) >> np.uint64(48)]
 
@@ -125,10 +133,23 @@ def _drawn(batches: Iterator[pa.RecordBatch], model: Trees, draw: Draw, tree: in
         yield batched(x.take(order, 1), h.take(order), y.take(order), len(first))
 
 
-def _count(batches: Iterator[pa.RecordBatch], model: Trees, draw: Draw | None, chosen: dict[int, np.ndarray], level: int) -> Iterator[pa.RecordBatch]:
-    """A task's counts and sums of labels by tree, node, chosen column and bin; without ``draw`` of the rows that come first as drawn."""
+def shadowed(batches: Iterator[pa.RecordBatch], model: Trees, chosen: dict[int, np.ndarray], rounds: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, dict[int, np.ndarray]]]:
+    """Blocks of whole entities, once for each seed: their columns, the same dealt anew among the rows of their entity, and the seed's trees. The rows in order of day take values in order of a hash of the day."""
+    share = len(model.column) // len(rounds)
+    for batch in batches:
+        extra = [batch.column(batch.schema.get_field_index(n)) for n in ("entity", "day")]
+        for (x, h, y, m), *keys in zip(opened([batch], len(model.columns) // 2), *extra):
+            entity, day = (np.frombuffer(k.as_buffer(), "<i4") for k in keys)
+            for k, seed in enumerate(rounds):
+                order = np.lexsort((day, mixed((day.astype(np.int64) ^ (seed * 0x9E3779B1)) & 0xFFFFFFFF), entity))
+                yield np.concatenate((x, x.take(order, 1))), h, y, m, {t: of for t, of in chosen.items() if t // share == k}
+
+
+def _count(batches: Iterator[pa.RecordBatch], model: Trees, draw: Draw | None, chosen: dict[int, np.ndarray], level: int, rounds: Sequence[int] = ()) -> Iterator[pa.RecordBatch]:
+    """A task's counts and sums of labels by tree, node, chosen column and bin; without ``draw`` of the rows that come first as drawn; with ``rounds`` each seed's share of the trees sees the columns and their values as that seed deals them."""
     total = {}
-    for bins, h, y, m in opened(batches, len(model.columns)):
+    blocks = shadowed(batches, model, chosen, rounds) if rounds else ((*block, chosen) for block in opened(batches, len(model.columns)))
+    for bins, h, y, m, chosen in blocks:
         width = bins.shape[1]
         if draw is None:
             bins, y, width = np.ascontiguousarray(bins[:, :m]), y[:m], m
@@ -172,7 +193,7 @@ def split(found: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, ..
     return np.where(ok, of[nodes, j], 0), np.where(ok, k, 255).astype(np.uint8), np.where(ok, top, 0.0), a, b
 
 
-def grown(blocks: DataFrame, model: Trees, draw: Draw | None, chosen: dict[int, np.ndarray], level: int, least: int) -> None:
+def grown(blocks: DataFrame, model: Trees, draw: Draw | None, chosen: dict[int, np.ndarray], level: int, least: int, rounds: Sequence[int] = ()) -> None:
     """Splits the nodes of a level of the trees that ``chosen`` names, each by its columns there."""
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +201,7 @@ def grown(blocks: DataFrame, model: Trees, draw: Draw | None, chosen: dict[int,
         found = sum(np.frombuffer(x) for x in g["found"]).reshape(2, chosen[tree].shape[1], -1)
         return pd.DataFrame([[tree, *(x.tobytes() for x in split(found, chosen[tree], least))]], columns=["tree", "cut_column", "cut", "gain", "left", "right"])
 
-    tables = blocks.mapInArrow(partial(_count, model=model, draw=draw, chosen=chosen, level=level), "tree int, found binary")
+    tables = blocks.mapInArrow(partial(_count, model=model, draw=draw, chosen=chosen, level=level, rounds=rounds), "tree int, found binary")
     first, kinds = (1 << level) - 1, (("cut_column", np.int64), ("cut", np.uint8), ("gain", float), ("left", float), ("right", float))
     rows = tables.groupBy("tree").applyInPandas(meet, SPLITS).collect()
     if not rows:
@@ -220,6 +241,64 @@ def forest(data: Binned, seed: int, trees: int, depth: int, least: int, rate: fl
     return model
 
 
+def _entities(batches: Iterator[pa.RecordBatch], model: Trees) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole entities, whose rows come one after another in order of day; a block ends with the first entity that fills it."""
+    held, size, last, number = [], 0, None, 0
+
+    def block() -> pa.RecordBatch:
+        x, h, y, entity, day = (np.concatenate(p, -1) for p in zip(*held))
+        out = batched(x, h, y, x.shape[1])
+        return pa.RecordBatch.from_arrays([*out.columns, *[pa.array([v.astype("<i4").tobytes()], pa.binary()) for v in (entity, day)]], names=[*out.schema.names, "entity", "day"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, day, h = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("_entity", "_day", "_hash"))
+        new = np.append(key[0] != last, key[1:] != key[:-1])
+        entity, last = number + np.cumsum(new), key[-1]
+        number = int(entity[-1])
+        row = model.binned(numbers(batch, model.columns)), h & 0xFFFFFFFF, numbers(batch, ["_label"])[:, 0], entity, day
+        start = 0
+        for cut in np.flatnonzero(new).tolist():
+            if size + cut - start >= BLOCK:
+                held.append([p[..., start:cut] for p in row])
+                yield block()
+                held, size, start = [], 0, cut
+        held.append([p[..., start:] for p in row])
+        size += batch.num_rows - start
+    if size:
+        yield block()
+
+
+def shadow_forests(series: DataFrame, columns: Sequence[str], label: str, seeds: Sequence[int], trees: int, depth: int, least: int, rate: float) -> list[np.ndarray]:
+    """The importances of columns and their shadows in a forest for each seed; all forests grow in the same passes over blocks that are written once.
+
+    ``series`` has a row ``_entity, _rows`` for each entity with its rows in order of date. A shadow has the values of its column, so it has its edges and bins too.
+    """
+    spark = series.sparkSession
+    ship(spark)
+    rows = series.select("_entity", F.explode("_rows").alias("r")).select("_entity", F.unix_date(F.col("r.date").cast("date")).alias("_day"), *[F.col(f"r.{c}").cast("double").alias(c) for c in columns], F.col(f"r.{label}").cast("double").alias("_label"))
+    found = rows.agg(*[F.percentile_approx(c, [k / BINS for k in range(1, BINS)], ACCURACY).alias(c) for c in columns]).first()
+    edges = [np.unique(np.array(found[c] or [], float)) for c in columns]
+    path = scratch(spark, "blocks")
+    hashed = rows.withColumn("_hash", F.xxhash64("_entity", "_day", *columns, "_label"))
+    blocks = hashed.mapInArrow(partial(_entities, model=Trees(columns, edges, 0, 0, np.zeros(0))), KEYED)
+    blocks.write.option("parquet.block.size", FILE_BLOCK).parquet(path)
+    blocks = spark.read.schema(blocks.schema).parquet(path)
+    names, count = [*columns, *[f"shadow_{c}" for c in columns]], 2 * len(columns)
+    model = Trees(names, edges * 2, depth, trees * len(seeds), np.full(trees * len(seeds), 1 / trees))
+    draw, rngs, some = reduce(Draw.__add__, [Draw(rate, True, trees, seed) for seed in seeds]), [np.random.default_rng(seed + 1) for seed in seeds], -(-count // 3)
+    for level in range(depth):
+        chosen = {k * trees + t: rng.random((1 << level, count)).argsort(1)[:, :some] for k, rng in enumerate(rngs) for t in range(trees)}
+        grown(blocks, model, draw, chosen, level, least, list(seeds))
+    out = []
+    for k in range(len(seeds)):
+        own = Trees(names, edges * 2, depth, trees, np.full(trees, 1 / trees))
+        own.column, own.gain = (v[k * trees : (k + 1) * trees] for v in (model.column, model.gain))
+        out.append(own.importances)
+    return out
+
+
 def boosted(data: Binned, seed: int, trees: int, depth: int, least: int, rate: float, step: float) -> Trees:
     """A tree of the labels, then trees of what is left: each is twice the mean that is left (the slope of the squared error), taken by ``step``.
 

@@ -189,14 +189,12 @@ def shadow_test(df: DataFrame, columns: Sequence[str], label: str = LABEL, round
     """Per feature: in how many rounds a forest gave it more weight than every shuffled copy, its mean weight, and the verdict.
 
     Confirmed with wins in all rounds, rejected with wins in less than half.
-    Entities' series are written once; a round deals them anew without a shuffle.
+    Entities' series are written once, and the forests of all rounds grow in
+    the same passes, which deal the shadows anew in memory.
     """
-    series = written(packed(df.select("entity_id", "date", label, *columns)), "series")
+    series = written(packed(df.select("entity_id", "date", label, *columns)), "series").select(F.col("entity_id").alias("_entity"), "_rows")
     wins, weight = dict.fromkeys(columns, 0), dict.fromkeys(columns, 0.0)
-    for k in range(rounds):
-        rows = dealt(series, columns, SEED + k)
-        names = [*columns, *[f"shadow_{c}" for c in columns]]
-        found = forest(rows, names, label, SEED + k).importances
+    for found in histogram_trees.shadow_forests(series, columns, label, [SEED + k for k in range(rounds)], TREES, depth=6, least=10, rate=0.7):
         best = max(found[len(columns) :])
         for c, v in zip(columns, found):
             wins[c] += int(v > best)
